@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandlake.functions.fingerprints import fingerprint
 from strandlake.llm.cuckoo import seen_before
 from strandlake.llm.history import HistoryIndex
+from strandlake.llm.spans import SpanIndex, shared_portion
+from strandlake.llm.splitting import split_pieces
 from strandlake.plans.tables import table
 
 _FP = r"lower(regexp_extract(sha, '^[ \t]*(?:0[xX])?([0-9a-fA-F]{40})[ \t]*$', 1))"
@@ -56,5 +58,41 @@ _P5 = f"""
          f as (select fp, min(arrival_no) as since from a where fp <> '' group by 1)
     select distinct fps_id from (select fps_id, arrival_no, {_FP} as fp from container_fps) join f using (fp) where arrival_no > since"""
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_audit": p5_audit}
-SQL = {"p2_found": _P2, "p5_found": _P5}
+
+# 4. long exact spans
+def _stretches(spark: SparkSession, folder: str) -> DataFrame:
+    index = SpanIndex(spark)
+    index.add(table(spark, folder, "fastq_reads").select("rec_no", "seq"))
+    return index.shared_stretches()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _stretches(spark, folder)
+
+
+def p4_portions(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_portion(_stretches(spark, folder), table(spark, folder, "fastq_reads")).where("shared > 0")
+
+
+_STRETCHES = r"""
+    with r as (select rec_no, any_value(upper(regexp_replace(seq, '\r+$', ''))) as seq from fastq_reads where seq is not null group by 1),
+         w as (select rec_no, len(seq) as letters, i as pos, substr(seq, i + 1, 40) as t from (select rec_no, seq, unnest(range(0, greatest(len(seq) - 39, 0))) as i from r)),
+         g as (select t from w where regexp_full_match(t, '[ACGT]*') and (t like '%A%')::int + (t like '%C%')::int + (t like '%G%')::int + (t like '%T%')::int >= 3
+               group by 1 having min(rec_no) < max(rec_no)),
+         s as (select rec_no, letters, pos, pos > lag(pos) over (partition by rec_no order by pos) + 40 as gap from w where t in (select t from g)),
+         n as (select rec_no, letters, pos, sum(coalesce(gap, false)::int) over (partition by rec_no order by pos) as run from s),
+         x as (select rec_no, letters, min(pos)::int as rec_offset, (max(pos) - min(pos) + 40)::int as match_len from n group by rec_no, letters, run)"""
+
+# 6. splitting oversized items
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "raw_blocks")
+    return split_pieces(blocks, "chunk_id", "payload", "filetype", "file_offset", 2048, 64)
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found}
+SQL = {
+    "p2_found": _P2,
+    "p4_found": f"{_STRETCHES} select rec_no, rec_offset, match_len from x",
+    "p4_portions": f"{_STRETCHES} select rec_no, letters::bigint as letters, sum(match_len)::bigint as shared, sum(match_len) / letters as portion from x group by rec_no, letters",
+    "p5_found": _P5,
+}
