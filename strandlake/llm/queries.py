@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.fingerprints import fingerprint
 from strandlake.llm.cuckoo import seen_before
 from strandlake.llm.history import HistoryIndex
+from strandlake.llm.signature_tree import linked_groups, similar_records
 from strandlake.llm.spans import SpanIndex, shared_portion
 from strandlake.llm.splitting import split_pieces
 from strandlake.plans.tables import table
@@ -59,6 +60,24 @@ _P5 = f"""
     select distinct fps_id from (select fps_id, arrival_no, {_FP} as fp from container_fps) join f using (fp) where arrival_no > since"""
 
 
+# 3. near-duplicate records
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_records(table(spark, folder, "fastq_reads").select("rec_no", "seq"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_groups(table(spark, folder, "fastq_reads").select("rec_no", "seq"))
+
+
+_P3 = r"""
+    with r as (select rec_no, any_value(upper(regexp_replace(seq, '\r+$', ''))) as seq from fastq_reads where seq is not null group by 1),
+         t as (select distinct rec_no, g from (select rec_no, substr(seq, i + 1, 12) as g from (select rec_no, seq, unnest(range(0, greatest(len(seq) - 11, 0))) as i from r)) where regexp_full_match(g, '[ACGT]{12}')),
+         n as (select rec_no, count(*) as n from t group by 1 having count(*) >= 30)
+    select rec_a, rec_b
+    from (select x.rec_no as rec_a, y.rec_no as rec_b, count(*) as hits from t x join t y on x.g = y.g and x.rec_no < y.rec_no group by 1, 2)
+    join n a on a.rec_no = rec_a join n b on b.rec_no = rec_b
+    where 2 * hits >= a.n + b.n - hits"""
+
 # 4. long exact spans
 def _stretches(spark: SparkSession, folder: str) -> DataFrame:
     index = SpanIndex(spark)
@@ -89,9 +108,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces(blocks, "chunk_id", "payload", "filetype", "file_offset", 2048, 64)
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found}
 SQL = {
     "p2_found": _P2,
+    "p3_found": _P3,
     "p4_found": f"{_STRETCHES} select rec_no, rec_offset, match_len from x",
     "p4_portions": f"{_STRETCHES} select rec_no, letters::bigint as letters, sum(match_len)::bigint as shared, sum(match_len) / letters as portion from x group by rec_no, letters",
     "p5_found": _P5,
