@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.fingerprints import fingerprint
 from strandlake.llm.cuckoo import seen_before
 from strandlake.llm.history import HistoryIndex
+from strandlake.llm.leaks import leaked
 from strandlake.llm.signature_tree import linked_groups, similar_records
 from strandlake.llm.spans import SpanIndex, shared_portion
 from strandlake.llm.splitting import split_pieces
@@ -108,7 +109,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces(blocks, "chunk_id", "payload", "filetype", "file_offset", 2048, 64)
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found}
+# 8. evaluation texts in training text
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items").select("item_id", "text"))
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item that leaked and the number of documents that have of it."""
+    return p8_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items}
 SQL = {
     "p2_found": _P2,
     "p3_found": _P3,
