@@ -9,6 +9,7 @@ from strandlake.functions.fingerprints import fingerprint
 from strandlake.llm.cuckoo import seen_before
 from strandlake.llm.history import HistoryIndex
 from strandlake.llm.leaks import leaked
+from strandlake.llm.packing import pack, token_counts
 from strandlake.llm.signature_tree import linked_groups, similar_records
 from strandlake.llm.spans import SpanIndex, shared_portion
 from strandlake.llm.splitting import split_pieces
@@ -109,6 +110,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces(blocks, "chunk_id", "payload", "filetype", "file_offset", 2048, 64)
 
 
+# 7. fixed-capacity containers
+CAPACITY = 2048
+
+
+def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(token_counts(table(spark, folder, "documents").select("doc_id", "text")), CAPACITY)
+
+
+def p7_unused(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: containers, tokens, unused space, and the fewest containers that could do."""
+    boxes = p7_packing(spark, folder).where("container_no is not null")
+    total = boxes.agg(F.count_distinct("container_no").alias("containers"), F.sum("tokens").alias("tokens"))
+    return total.withColumns({"unused": F.col("containers") * CAPACITY - F.col("tokens"), "fewest": F.ceil(F.col("tokens") / CAPACITY)})
+
+
 # 8. evaluation texts in training text
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items").select("item_id", "text"))
@@ -119,7 +135,7 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return p8_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found, "p8_items": p8_items}
 SQL = {
     "p2_found": _P2,
     "p3_found": _P3,
