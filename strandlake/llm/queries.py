@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.fingerprints import fingerprint
+from strandlake.llm import abuse
 from strandlake.llm.cuckoo import seen_before
 from strandlake.llm.history import HistoryIndex
 from strandlake.llm.leaks import leaked
@@ -135,7 +136,24 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return p8_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found, "p8_items": p8_items}
+# 9. abusive, hateful or sexual content
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return abuse.score(docs, abuse.fit(docs, table(spark, folder, "labels")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_scores(spark, folder).where("flagged").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, flagged documents and their rate per source; documents without a source have a null one."""
+    source = table(spark, folder, "documents").select("doc_id", "source").distinct()
+    by = source.join(p9_scores(spark, folder), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("flagged").alias("flagged"))
+    return by.withColumn("rate", F.col("flagged") / F.col("documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL = {
     "p2_found": _P2,
     "p3_found": _P3,
