@@ -260,6 +260,12 @@ SQL = {
     "sampled_fingerprints": f"with {_UP} select upload_id, chunk_id, fp from up where file_offset = 0 or fp like '0%'",
     "champion_container": f"""with {_IX}, {_UP}, {_FIRST}, h as (select upload_id, container_id, count(*) as hits, min(chunk_id) as f from up join fi using (fp) group by 1, 2)
         select upload_id, container_id, hits from h qualify row_number() over (partition by upload_id order by hits desc, f, container_id) = 1""",
+    "container_packing": f"""with recursive {_UP}, o as (select batch_no, chunk_id, chunk_size, row_number() over (partition by batch_no order by chunk_id) as rn from up),
+        r as (select batch_no, chunk_id, chunk_size, rn, coalesce(chunk_size, 0)::bigint as fill, 0 as box_no from o where rn = 1
+              union all
+              select o.batch_no, o.chunk_id, o.chunk_size, o.rn, case when r.fill > 0 and r.fill + coalesce(o.chunk_size, 0) > 8388608 then 0 else r.fill end + coalesce(o.chunk_size, 0),
+                     r.box_no + (r.fill > 0 and r.fill + coalesce(o.chunk_size, 0) > 8388608)::int from r join o on o.batch_no is not distinct from r.batch_no and o.rn = r.rn + 1)
+        select batch_no, chunk_id, chunk_size, box_no from r""",
     "placement_md5": f"select distinct file_id, ((ascii(md5) * 256 + ascii(substr(md5, 2, 1))) % {NODES} + 1)::int as node from files",
     "placement_stateless": f"with {_UP} select chunk_id, (('0x' || substr(fp, 1, 2))::int % {NODES})::int as node, ('0x' || substr(fp, 1, 3))::int as bucket from up",
     "bucket_counts": f"select ('0x' || substr(fp, 1, 3))::int as bucket, count(*) as entries from (select distinct fps_id, {FP_SQL} as fp from container_fps where {FP_SQL} <> '') group by 1",
