@@ -12,10 +12,10 @@ def routed(hits: DataFrame, usage: DataFrame, batch: str, node: str, n: str, use
     hits: batch, node, n (summed here; from any number of filters). usage: node, used; a table of nodes, of which the mean is one row.
     Without any hit the node is the one whose rank among nodes the batch's hash names. Of equals the smallest node.
     """
-    total = hits.groupBy(batch, node).agg(F.sum(n).alias("h"))
+    total = hits.groupBy(batch, node).agg(F.sum(n).alias("__h"))
     mean = usage.agg(F.floor(F.avg(used)).alias("mean"), F.array_sort(F.collect_set(node)).alias("nodes"))
     scored = total.join(usage.select(node, used), node).crossJoin(F.broadcast(mean))
-    score = F.when(F.col(used) > F.col("mean"), F.col("h") * F.col("mean") / F.col(used)).otherwise(F.col("h").cast("double"))
-    best = scored.groupBy(batch).agg(F.min_by(F.struct(node, score.alias("score")), F.struct(-score, F.col(node))).alias("b"), F.first("nodes").alias("nodes"))
+    score = F.when(F.col(used) > F.col("mean"), F.col("__h") * F.col("mean") / F.col(used)).otherwise(F.col("__h").cast("double"))
+    best = scored.groupBy(batch).agg(F.min_by(F.struct(node, score.alias("score")), F.struct(-score, F.col(node))).alias("__b"), F.first("nodes").alias("nodes"))
     spare = F.element_at("nodes", (F.pmod(F.conv(F.substring(F.md5(F.col(batch).cast("string").cast("binary")), 1, 4), 16, 10).cast("bigint"), F.size("nodes").cast("bigint")) + 1).cast("int"))
-    return best.select(batch, F.when(F.col("b.score") > 0, F.col(f"b.{node}")).otherwise(spare).alias(node), F.round("b.score", 6).alias("score"))
+    return best.select(batch, F.when(F.col("__b.score") > 0, F.col(f"__b.{node}")).otherwise(spare).alias(node), F.round("__b.score", 6).alias("score"))

@@ -38,7 +38,7 @@ def first_seed_hits(reads: DataFrame, rec: str, seq: str, seeds: DataFrame, frag
     hits = mine.join(seeds.withColumnRenamed("pos", "ref_pos"), "kmer").join(fragments.select("ref_seq_no", "bases"), "ref_seq_no")
     same = (F.length(seq) >= F.col("pos") + verify) & (F.expr(f"substring({seq}, pos + 1, {verify})") == F.expr(f"substring(bases, ref_pos + 1, {verify})"))
     best = F.min(F.struct("pos", "ref_seq_no", "ref_pos"))
-    return hits.where(same).groupBy(rec).agg(best.alias("b")).select(rec, "b.pos", "b.ref_seq_no", "b.ref_pos")
+    return hits.where(same).groupBy(rec).agg(best.alias("__b")).select(rec, "__b.pos", "__b.ref_seq_no", "__b.ref_pos")
 
 
 def n_runs(rows: DataFrame, key: str, seq: str) -> DataFrame:
@@ -139,7 +139,7 @@ def best_earlier_match(reads: DataFrame, rec: str, seq: str, k: int = 36, stride
     differ = F.array_min(F.filter(F.sequence(F.lit(k + 1), F.greatest("most", F.lit(k + 1))), lambda i: (i > F.col("most")) | (F.substring(F.col("a"), i, F.lit(1)) != F.substring(F.col("b"), i, F.lit(1)))))
     j = j.withColumn("match_len", F.coalesce(differ - 1, F.col("most")).cast("int"))
     best = F.min_by(F.struct("pos", "from_rec", "from_pos", "match_len"), F.struct(-F.col("match_len"), F.col("from_rec"), F.col("from_pos"), F.col("pos")))
-    return j.groupBy("r").agg(best.alias("b")).select(F.col("r").alias(rec), "b.pos", "b.from_rec", "b.from_pos", "b.match_len")
+    return j.groupBy("r").agg(best.alias("__b")).select(F.col("r").alias(rec), "__b.pos", "__b.from_rec", "__b.from_pos", "__b.match_len")
 
 
 def longest_shared_prefix(reads: DataFrame, rec: str, seq: str, least: int = 20) -> DataFrame:

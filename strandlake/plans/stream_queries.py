@@ -46,7 +46,7 @@ def file_sessions(s, d):
 QUERIES = {f.__name__: f for f in (usage_windows, idle_sessions, stream_usage_windows, file_sessions)}
 SQL = {
     "usage_windows": "select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, count(*) as n from events group by 1, 2",
-    "idle_sessions": """with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 1 hour, true)::int as st from events),
+    "idle_sessions": """with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) > interval 1 hour, true)::int as st from events),
         r as (select *, sum(st) over (partition by user_id order by ts rows unbounded preceding) as k from e)
         select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as session_end, count(*) as n from r group by user_id, k""",
     "stream_usage_windows": "select event_type, count(*) as n from events group by 1",

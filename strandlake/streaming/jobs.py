@@ -33,7 +33,7 @@ def usage_windows(events: DataFrame, ts: str, group: str, width: str = "300 seco
 
 
 def idle_sessions(events: DataFrame, ts: str, key: str, gap: str = f"{IDLE_SECONDS} seconds", late: str | None = None) -> DataFrame:
-    """key, session_start, session_end (last event), n: runs of events with less than ``gap`` between them; a session is flushed when it has been idle for that long."""
+    """key, session_start, session_end (last event), n: runs of events with ``gap`` or less between them; a session is flushed when it has been idle for longer. Null keys are one key."""
     rows = events.withWatermark(ts, late) if late else events
     return rows.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("session_end")).select(key, F.col("w.start").alias("session_start"), "session_end", "n")
 
