@@ -44,7 +44,7 @@ def find_orphans(
 
     Rows sent twice stay twice. Empty ``targets`` make all references orphans but those that the match excuses; other columns
     of ``targets`` are not read, so clashing names do no harm. Targets are reduced to one row per key (its earliest time) before
-    the join, and the rows of hot reference keys are not shuffled.
+    the join, and the rows of hot reference keys, and those with null keys, are spread over tasks.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
