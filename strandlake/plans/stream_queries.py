@@ -17,8 +17,8 @@ def idle_sessions(s, d):
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), F.date_format("session_end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), "n")
 
 
-def stream_usage_windows(s, d):
-    """The same windows from a stream; those that the watermark has passed are written, and the open ones by the final batch."""
+def stream_event_counts(s, d):
+    """Counts per event type from a stream over all that is there now; no windows, as open ones would not be written."""
     rows = jobs.table_stream(s, d, "events", table(s, d, "events").schema)
     by = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     from strandlake.runtime import shared_path, written
@@ -43,12 +43,12 @@ def file_sessions(s, d):
     return jobs.to_table(jobs.file_sessions(sent, None), "sessions").groupBy("file_key").agg(F.sum("parts").alias("parts"), F.sum("bytes").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (usage_windows, idle_sessions, stream_usage_windows, file_sessions)}
+QUERIES = {f.__name__: f for f in (usage_windows, idle_sessions, stream_event_counts, file_sessions)}
 SQL = {
     "usage_windows": "select event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, count(*) as n from events group by 1, 2",
     "idle_sessions": """with e as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) > interval 1 hour, true)::int as st from events),
         r as (select *, sum(st) over (partition by user_id order by ts rows unbounded preceding) as k from e)
         select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as session_end, count(*) as n from r group by user_id, k""",
-    "stream_usage_windows": "select event_type, count(*) as n from events group by 1",
+    "stream_event_counts": "select event_type, count(*) as n from events group by 1",
     "file_sessions": "select upload_id::varchar as file_key, count(*) as parts, sum(coalesce(chunk_size, 0))::bigint as bytes from chunks group by 1",
 }
