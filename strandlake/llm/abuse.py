@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.mail import text_parts
 from strandlake.llm.words import TOP, mix, powers
+from strandlake.runtime import written
 
-#: Bounds of what is fitted on: positive documents, unlabelled documents, and units of the latter.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_UNITS = 3_000, 8_000, 80_000
+#: Bounds of what is fitted on: labelled positive documents, and units drawn from all documents for the gradient of the negative risk.
+MAX_POSITIVE, MAX_UNITS = 3_000, 80_000
 #: Hashed features, and words in a unit.
 SPACE, WIDTH = 1 << 22, 16
 #: Features added to a unit's number of them for scaling, so that a word or two weigh little.
@@ -128,9 +129,17 @@ class Units:
             n += end - self.start
         return bias + total / np.sqrt(n + SHORT)
 
-    def lists(self) -> list[np.ndarray]:
+    def lists(self, some: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
         both = self.features()
-        return [np.concatenate([x[s : max(s, e - r)] for x, r in both]).astype(np.int32) for s, e in zip(self.start.tolist(), self.end.tolist())]
+        return [np.concatenate([x[s : max(s, e - r)] for x, r in both]).astype(np.int32) for s, e in zip(self.start[some].tolist(), self.end[some].tolist())]
+
+    def places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each kind of feature, its numbers at all places that lie in a unit, and the owners of these places."""
+        for x, reach in self.features():
+            end = np.maximum(self.start, self.end - reach)
+            depth = np.bincount(self.start, minlength=len(x) + 1) - np.bincount(end, minlength=len(x) + 1)
+            at = np.flatnonzero(np.cumsum(depth)[: len(x)] > 0)
+            yield x[at], self.owner[np.searchsorted(self.start, at, "right") - 1]
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Units]:
@@ -159,6 +168,93 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u.owner), pa.array(u.lists(), pa.list_(pa.int32()))], schema=_LISTED)
 
 
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Units, np.ndarray, np.ndarray]]:
+    """Units owned by rows (numbered in each piece), the rows' ids, and their weights: 1 by the number of rows with the id."""
+    kind, plain = letter_tables()
+    for b in batches:
+        owner, texts, ids, weight, size = [], [], [], [], 0
+        for i, raw, copies in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "copies"))):
+            for t in text_parts(raw):
+                owner.append(len(ids))
+                texts.append(t)
+                size += len(t)
+            ids.append(i)
+            weight.append(1 / (copies or 1))
+            if size > PIECE:
+                yield Units(owner, texts, kind, plain), np.array(ids), np.array(weight)
+                owner, texts, ids, weight, size = [], [], [], [], 0
+        if texts:
+            yield Units(owner, texts, kind, plain), np.array(ids), np.array(weight)
+
+
+_COUNTED_DDL = "kind int, key bigint, n double, features array<int>"
+_COUNTED = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.float64()), ("features", pa.list_(pa.int32()))])
+
+
+def _counted(known: np.ndarray, rate: float):
+    """One pass over documents. Kind 0: a known feature's number and in how many documents it stands; 1: a unit drawn at ``rate``, by a
+    digest; 2: documents with words (key 0) and their units (key 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = np.full(SPACE, -1, np.int32)
+        column[known] = np.arange(len(known))
+        count, docs, units = np.zeros(len(known)), 0.0, 0.0
+        for u, ids, weight in _weighed(batches):
+            if not len(u.start):
+                continue
+            found = []
+            for number, row in u.places():
+                c = column[number]
+                found.append(row[c >= 0] * len(known) + c[c >= 0])
+            both = np.unique(np.concatenate(found))
+            if len(known):
+                count += np.bincount(both % len(known), weight[both // len(known)], len(known))
+            first = np.flatnonzero(np.r_[True, u.owner[1:] != u.owner[:-1]])
+            docs += weight[u.owner[first]].sum()
+            units += weight[u.owner].sum()
+            turn = np.arange(len(u.owner)) - np.repeat(first, np.diff(np.r_[first, len(u.owner)]))
+            key = mix(mix(ids[u.owner].astype(np.uint64) + np.uint64(5)) + turn.astype(np.uint64)) >> np.uint64(1)
+            drawn = np.flatnonzero(key < rate * 2.0**63)
+            if len(drawn):
+                n = len(drawn)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 1, np.int32)), pa.array(key[drawn].astype(np.int64)), pa.nulls(n, pa.float64()), pa.array(u.lists(drawn), pa.list_(pa.int32()))], schema=_COUNTED)
+        some = np.flatnonzero(count)
+        kind = np.r_[np.zeros(len(some), np.int32), np.full(2, 2, np.int32)].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[known[some], 0, 1].astype(np.int64)), pa.array(np.r_[count[some], docs, units]), pa.nulls(len(kind), pa.list_(pa.int32()))], schema=_COUNTED)
+
+    return run
+
+
+_BINNED_DDL = "bin int, n double, most double"
+
+
+def _dense(known: np.ndarray, w: np.ndarray) -> np.ndarray:
+    weight = np.zeros(SPACE, np.float32)
+    weight[known] = w
+    return weight
+
+
+def _binned(models: list[tuple[np.ndarray, np.ndarray, float]], levels: np.ndarray):
+    """The histogram of documents' scores by all models between ``levels`` (bin: levels that a score reaches), with each bin's highest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = [(_dense(known, w), bias) for known, w, bias in models]
+        n, most = np.zeros(len(levels) + 1), np.full(len(levels) + 1, -np.inf)
+        for u, _ids, weight in _weighed(batches):
+            if not len(u.start):
+                continue
+            at = np.flatnonzero(np.r_[True, u.owner[1:] != u.owner[:-1]])
+            for w, bias in dense:
+                z = np.maximum.reduceat(u.scores(w, bias), at)
+                b = np.searchsorted(levels, z, "right")
+                n += np.bincount(b, weight[u.owner[at]], len(n))
+                np.maximum.at(most, b, z)
+        some = np.flatnonzero(n).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(most[some])], names=["bin", "n", "most"])
+
+    return run
+
+
 class _Rows:
     """Sparse rows of counted features, scaled by the root of their length, with columns numbered by ``known``."""
 
@@ -221,8 +317,8 @@ def _best(units: dict[int, list[np.ndarray]], known: np.ndarray, w: np.ndarray,
     return out
 
 
-def _learn(positive: dict[int, list[np.ndarray]], outside: np.ndarray, docs_outside: int, units: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Known features, weights, bias, from the units of positive documents, the number of unlabelled documents with each feature, and units of those.
+def _learn(positive: dict[int, list[np.ndarray]], outside: np.ndarray, docs_outside: float, units: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Known features, weights, bias, from the units of positive documents, the number of all documents with each feature, and units drawn from those.
 
     Which units make a positive document positive is not known, and some documents are labelled wrongly. First, units count whose features
     stand in more positive documents than chance explains; then, in two halves, those that the other half's classifier places among
@@ -258,29 +354,31 @@ def _learn(positive: dict[int, list[np.ndarray]], outside: np.ndarray, docs_outs
     return known, w, bias
 
 
-def _cut(positive: np.ndarray, free: np.ndarray) -> tuple[float, float]:
+def _cut(positive: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[float, float]:
     """The threshold with the best F1 in the whole collection, and the share of positive documents in it.
 
-    positive: scores of positive documents that were left out of the fit; free: scores of unlabelled ones. With recall R and flagged share F
-    at a threshold, no more than F / R can be positive; the least such bound is the share, and share * R / F the precision. So the
-    labels may be drawn with another share of positives than the collection has.
+    positive: scores of positive documents that were left out of the fit; n, most: of the scores of all documents, the number and the
+    highest that reach exactly so many of the distinct values of ``positive``. With recall R and flagged share F at a threshold, no more
+    than F / R can be positive; the least such bound is the share, and share * R / F the precision. So the labels may be drawn with
+    another share of positives than the collection has.
     """
     levels = np.unique(positive)
     recall = 1 - np.searchsorted(np.sort(positive), levels, "left") / len(positive)
-    flagged = (len(free) - np.searchsorted(np.sort(free), levels, "left") + 1) / (len(free) + 1)
+    flagged = (np.cumsum(n[::-1])[::-1][1:] + 1) / (n.sum() + 1)
     share = float((flagged / recall)[recall >= 0.3].min())
     precision = np.minimum(1, share * recall / flagged)
     k = int(np.argmax(2 * precision * recall / (precision + recall)))
-    below = free[free < levels[k]]
-    return float((levels[k] + max(below.max(), levels[k] - 0.5)) / 2) if len(below) else float(levels[k]), share
+    below = float(most[: k + 1].max())
+    return (float((levels[k] + max(below, levels[k] - 0.5)) / 2) if below > -np.inf else float(levels[k])), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 2) -> Model | None:
     """A model from documents (doc_id, text) and labels (doc_id, toxic: 1 for positive); None without positive labels or other documents.
 
-    Fitted on at most MAX_POSITIVE positive and MAX_UNLABELLED documents of any kind, taken by a digest of their ids, of which features (no
-    texts) come to the driver. The class prior is estimated with a first fit on unlabelled documents and positive ones that it did not
-    see; the threshold likewise, with each positive document left out in turn.
+    At most MAX_POSITIVE positive documents, taken by a digest of their ids, are fitted on; their features (no texts) come to the driver. The
+    documents in which each of these features stands are counted over all documents. The gradient of the negative risk is taken on at most
+    MAX_UNITS units, drawn by a digest from all documents. The class prior is estimated with a first fit, from the scores of all documents
+    and of positive ones that it did not see; the threshold likewise, with each positive document left out in turn.
     """
     digest = F.xxhash64(F.lit(11), "doc_id")
     given = labels.where(F.col("doc_id").isNotNull() & (F.col("toxic") == 1)).select("doc_id").distinct()
@@ -288,45 +386,60 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2) -> Model | None:
     if not told:
         return None
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    some = [r["doc_id"] for r in rows.select("doc_id").orderBy(digest, "doc_id").limit(MAX_UNLABELLED).collect()]
-    # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    ids = docs.sparkSession.createDataFrame([(i,) for i in {*told, *some}], "doc_id bigint")
+    ids = docs.sparkSession.createDataFrame([(i,) for i in told], "doc_id bigint")
     listed = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_listed, _LISTED_DDL).toArrow()
     units: dict[int, list[np.ndarray]] = {}
     values, owner = listed.column("features").combine_chunks(), listed.column("doc_id").to_pylist()
     flat, ends = values.flatten().to_numpy(), values.offsets.to_numpy() - values.offsets[0].as_py()
     for i, a, b in sorted(zip(owner, ends[:-1].tolist(), ends[1:].tolist())):
         units.setdefault(i, []).append(flat[a:b])
-    random = np.random.Generator(np.random.PCG64(5))
-    free = {i: units[i] for i in sorted(set(some)) if i in units}
-    loose = [f for x in free.values() for f in x]
     positive = sorted((i for i in told if i in units), key=lambda i: (i * 2654435761) % (1 << 32))
-    if not positive or not loose:
+    if not positive:
+        return None
+    # all features that any fit below may know: a fit on up to 20 documents knows those of a single one
+    inside = np.bincount(np.concatenate([np.unique(np.concatenate(units[i])) for i in positive]), minlength=SPACE)
+    known = np.flatnonzero(inside >= (2 if len(positive) // folds > 20 else 1)).astype(np.int32)
+    copies = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    every = rows.join(copies, "doc_id", "left")
+    letters, own = rows.agg(F.sum(F.length("text"))).first()[0], rows.join(F.broadcast(ids), "doc_id", "left_semi").agg(F.sum(F.length("text"))).first()[0]
+    # units a letter from the positive documents; a quarter more than wanted, as others may have fewer
+    rate = 1.25 * MAX_UNITS * own / (letters * sum(len(units[i]) for i in positive))
+    counted = written(every.mapInArrow(_counted(known, rate), _COUNTED_DDL), "counted")
+    sums = counted.where("kind <> 1").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, key, n = (sums.column(c).to_numpy() for c in ("kind", "key", "n"))
+    outside = np.zeros(SPACE)
+    outside[key[kind == 0]] = np.round(n[kind == 0], 6)
+    documents, pieces = (round(float(n[(kind == 2) & (key == k)].sum()), 6) for k in (0, 1))
+    drawn = counted.where("kind = 1").select("key", "features").orderBy("key", "features").limit(2 * MAX_UNITS).toArrow()
+    place = drawn.column("key").to_numpy()
+    lists = drawn.column("features").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    once = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])[:MAX_UNITS] if len(place) else []
+    loose = [flat[ends[k] : ends[k + 1]] for k in once]
+    if not loose:
         return None
-    per_doc = max(1.0, len(loose) / len(free))
-    if len(loose) > MAX_UNITS:
-        loose = [loose[k] for k in random.choice(len(loose), MAX_UNITS, replace=False)]
-    outside = np.bincount(np.concatenate([np.unique(np.concatenate(x)) for x in free.values()]), minlength=SPACE)
+    per_doc = max(1.0, pieces / documents)
 
     def learn(ids: list[int], share: float) -> tuple[np.ndarray, np.ndarray, float]:
         # a passage is one or two overlapping units
-        return _learn({i: units[i] for i in ids}, outside, len(free), loose, min(0.5, max(1e-4, 1.5 * share / per_doc)))
+        return _learn({i: units[i] for i in ids}, outside, documents, loose, min(0.5, max(1e-4, 1.5 * share / per_doc)))
 
     def top(x: dict[int, list[np.ndarray]], model: tuple) -> np.ndarray:
         return np.array([z.max() for z in _best(x, *model).values()])
 
     share, threshold = 0.05, 0.0
     for turn in range(2 if len(positive) >= 2 * folds else 0):
-        held, rest = [], []
+        held, models = [], []
         for k in range(folds if turn else 1):
-            model = learn([i for n, i in enumerate(positive) if n % folds != k], share)
-            held.append(top({i: units[i] for n, i in enumerate(positive) if n % folds == k}, model))
-            rest.append(top(free, model))
-        threshold, share = _cut(np.concatenate(held), np.concatenate(rest))
+            models.append(learn([i for n, i in enumerate(positive) if n % folds != k], share))
+            held.append(top({i: units[i] for n, i in enumerate(positive) if n % folds == k}, models[-1]))
+        levels = np.unique(np.concatenate(held))
+        count, most = np.zeros(len(levels) + 1), np.full(len(levels) + 1, -np.inf)
+        for r in every.mapInArrow(_binned(models, levels), _BINNED_DDL).groupBy("bin").agg(F.sum("n").alias("n"), F.max("most").alias("most")).collect():
+            count[r["bin"]], most[r["bin"]] = round(r["n"], 6), r["most"]
+        threshold, share = _cut(np.concatenate(held), count, most)
     known, w, bias = learn(positive, share)
-    weight = np.zeros(SPACE, np.float32)
-    weight[known] = w
-    return Model(weight, bias, threshold)
+    return Model(_dense(known, w), bias, threshold)
 
 
 _SCORE_DDL = "doc_id bigint, score double"

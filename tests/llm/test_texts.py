@@ -151,3 +151,19 @@ def test_nnpu_separates():
     w, b = abuse.nnpu(p, u, 0.1)
     test = abuse._Rows([row(k < 50) for k in range(400)], known).times(w) + b
     assert (test[:50] > 0).mean() > 0.95 and (test[50:] > 0).mean() < 0.05
+
+
+def test_classifier_counts_and_cuts_over_all_documents(spark, monkeypatch):
+    seen = {}
+    learn, cut = abuse._learn, abuse._cut
+    monkeypatch.setattr(abuse, "MAX_UNITS", 500)
+    monkeypatch.setattr(abuse, "_learn", lambda p, outside, n, units, prior: (seen.update(outside=outside, n=n, units=len(units)), learn(p, outside, n, units, prior))[1])
+    monkeypatch.setattr(abuse, "_cut", lambda positive, n, most: (seen.update(scored=n.sum()), cut(positive, n, most))[1])
+    docs = [(i, f"The garden {'filthy pig ' if i % 40 == 0 else ''}number{i} was moved on Monday. It is well.") for i in range(9_500)]
+    d = spark.createDataFrame(docs + docs[:700], "doc_id bigint, text string")
+    y = spark.createDataFrame([(i, 1) for i in range(0, 4_000, 40)], "doc_id bigint, toxic int")
+    abuse.fit(d, y)
+    word = lambda w: (units(w).features()[0][0])[0]
+    assert seen["n"] == 9_500 and seen["outside"][word("garden")] == 9_500 and seen["outside"][word("filthy")] == 238
+    # both halves' classifiers score every document once
+    assert seen["scored"] == 2 * 9_500 and 250 < seen["units"] <= 500
