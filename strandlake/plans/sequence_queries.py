@@ -22,6 +22,11 @@ def _fragments(s, d) -> DataFrame:
     return fastx.reference_fragments(fastx.fasta_sequences(blocks, ["chunk_id"], "payload"), ["chunk_id", "seq_no"], "seq", 1_000_000)
 
 
+def _cap(fragments: DataFrame) -> int:
+    """The limit of places per k-mer, by the letters of the whole reference."""
+    return sequence.seed_cap(fragments.agg(F.sum("len")).first()[0] or 0)
+
+
 def base_histogram(s, d):
     return profile.base_histogram(_reads(s, d), "seq")
 
@@ -63,12 +68,13 @@ def kmer_counts(s, d):
 
 
 def seed_index_capped(s, d):
-    return sequence.seed_index(_fragments(s, d), 2)
+    f = _fragments(s, d)
+    return sequence.seed_index(f, _cap(f))
 
 
 def seed_hits_first(s, d):
     f = _fragments(s, d)
-    return sequence.first_seed_hits(_reads(s, d), "rec_no", "seq", sequence.seed_index(f, 2, 10, 8), f, 10, 12)
+    return sequence.first_seed_hits(_reads(s, d), "rec_no", "seq", sequence.seed_index(f, _cap(f), 10, 8), f, 10, 12)
 
 
 def n_runs(s, d):

@@ -129,3 +129,16 @@ def test_reference_fragments(spark):
     df = spark.createDataFrame([(2, 1, "acgNNt" * 3), (1, 1, "A" * 25), (1, 2, "NNN"), (1, 3, None)], "k int, n int, s string")
     got = fastx.reference_fragments(df, ["k", "n"], "s", 10).orderBy("ref_seq_no").collect()
     assert [(r["ref_seq_no"], r["bases"]) for r in got] == [(0, "A" * 10), (1, "A" * 10), (2, "A" * 5), (3, "ACGTACGTAC"), (4, "GT")]
+
+
+def test_seed_cap_grows_with_the_reference(spark, tmp_path):
+    from strandlake.plans import sequence_queries
+
+    k = "ACGTACGGTC"
+    text = ">r\n" + "".join(k + x * 6 for x in "ACG") + ("\n>t\n" + "T" * 1024) * 1024 + "\n"
+    spark.createDataFrame([(1, 100, text)], "chunk_id bigint, filetype int, payload string").write.parquet(f"{tmp_path}/raw_blocks.parquet")
+    spark.createDataFrame([(7, "@t", k + "GG", "+", "I" * 12)], "rec_no bigint, title string, seq string, plus string, qual string").write.parquet(f"{tmp_path}/fastq_reads.parquet")
+    # 1 MiB of letters and more: three places of each k-mer
+    seeds = sequence_queries.seed_index_capped(spark, str(tmp_path))
+    assert [(r["ref_seq_no"], r["pos"]) for r in seeds.where("kmer = 'TTTTTTTTTT'").orderBy("ref_seq_no", "pos").collect()] == [(1, 0), (1, 64), (1, 128)]
+    assert [tuple(r) for r in sequence_queries.seed_hits_first(spark, str(tmp_path)).collect()] == [(7, 0, 0, 32)]
