@@ -202,7 +202,7 @@ _OUT_DDL = "part int, row_id bigint, key binary, arrival bigint, tables binary"
 def _pass(keep: bool, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by part; in a part first the stored tables, then the keys by arrival."""
-        part, held = None, None
+        part, held, last = None, None, None
 
         def end() -> Iterator[pa.RecordBatch]:
             if keep and held is not None:
@@ -216,14 +216,24 @@ def _pass(keep: bool, buckets: int):
                     continue
                 if parts[lo] != part:
                     yield from end()
-                    part, held = int(parts[lo]), CuckooFilter(buckets)
+                    part, held, last = int(parts[lo]), CuckooFilter(buckets), None
                 piece = b.slice(lo, hi - lo)
                 stored = piece.column("tables").is_valid().to_numpy(zero_copy_only=False)
                 for k in np.flatnonzero(stored):
                     held = CuckooFilter.from_bytes(piece.column("tables")[int(k)].as_py())
                 piece = piece.slice(int(stored.sum()))
                 if len(piece):
-                    maybe = held.seen(piece.column("h").to_numpy(zero_copy_only=False))
+                    # rows of one key and arrival are one question; the first one's answer holds for all, over batches too
+                    h, at = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("h", "arrival"))
+                    new = np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])]
+                    answer = np.zeros(len(h), bool)
+                    on = last is not None and last[:2] == (h[0], at[0])
+                    ask = np.flatnonzero(new)[1 if on else 0 :]
+                    answer[ask] = held.seen(h[ask])
+                    if on:
+                        answer[0] = last[2]
+                    maybe = answer[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+                    last = (h[-1], at[-1], bool(maybe[-1]))
                     got = piece.filter(pa.array(maybe & piece.column("wanted").to_numpy(zero_copy_only=False)))
                     if len(got):
                         yield pa.RecordBatch.from_arrays([got.column(n) for n in _OUT.names], schema=_OUT)
@@ -236,7 +246,8 @@ def cuckoo_pass(rows: DataFrame, parts: int = 32, tables: DataFrame | None = Non
     """Probe and fill partitioned cuckoo tables with keys in order of arrival.
 
     rows: row_id, key (binary, not null), arrival, wanted (whether the row's answer is asked for). A key's hash names its part; each part
-    is one task's table, read in order of arrival with Arrow batches, so no task holds more than the table and a batch.
+    is one task's table, read in order of arrival with Arrow batches, so no task holds more than the table and a batch. Rows with the same
+    key and arrival, as those sent twice, go through the table once.
     tables: (part, tables) of an earlier pass, to go on from it. Returns part, row_id, key, arrival of the wanted rows whose key
     *may* have come before (none that has is missing) and, with keep, a row per part with its tables.
     """
@@ -245,18 +256,18 @@ def cuckoo_pass(rows: DataFrame, parts: int = 32, tables: DataFrame | None = Non
     if tables is not None:
         empty = {"row_id": "bigint", "key": "binary", "arrival": "bigint", "h": "bigint"}
         rows = rows.unionByName(tables.where(F.col("tables").isNotNull()).select("part", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()), F.lit(False).alias("wanted"), "tables"))
-    ordered = rows.repartition("part").sortWithinPartitions("part", F.col("tables").isNull(), "arrival")
+    ordered = rows.repartition("part").sortWithinPartitions("part", F.col("tables").isNull(), "arrival", "h")
     return ordered.mapInArrow(_pass(keep, buckets), _OUT_DDL)
 
 
 def seen_before(rows: DataFrame, parts: int = 32) -> DataFrame:
-    """row_id, flagged, repeat for each wanted row that the cuckoo tables flag as possibly seen; repeat is the exact answer.
+    """row_id, repeat, probed for each wanted row that the cuckoo tables flag as possibly seen, and each with a hot key; repeat is the exact answer.
 
     rows: row_id, key, arrival, wanted; rows with a null key or arrival have no answer. A row is a repeat if its key stands in any row
     with a smaller arrival; a row sent twice (same arrival) is none for that. Rows that are not returned are certainly new.
 
     Keys of more than a hundredth of the rows (at most a hundred) never pass through a table: their first arrival is one row each after
-    partial aggregation, and is broadcast to their rows where they are.
+    partial aggregation, and is broadcast to their rows where they are; probed is false for these.
     """
     rows = rows.where(F.col("key").isNotNull() & F.col("arrival").isNotNull())
     hashed = rows.withColumn("kh", F.xxhash64("key"))
@@ -265,9 +276,9 @@ def seen_before(rows: DataFrame, parts: int = 32) -> DataFrame:
     flagged = cuckoo_pass(hashed.where(~is_hot), parts).select("row_id", "key", "arrival")
     # the exact check, of flagged rows only
     first = hashed.where(~is_hot).groupBy("key").agg(F.min("arrival").alias("first"))
-    out = flagged.join(first, "key").select("row_id", (F.col("arrival") > F.col("first")).alias("repeat"))
+    out = flagged.join(first, "key").select("row_id", (F.col("arrival") > F.col("first")).alias("repeat"), F.lit(True).alias("probed"))
     if hot:
         top = hashed.where(is_hot).groupBy("key").agg(F.min("arrival").alias("first"))
         mine = hashed.where(is_hot & F.col("wanted")).join(F.broadcast(top), "key")
-        out = out.unionByName(mine.select("row_id", (F.col("arrival") > F.col("first")).alias("repeat")))
+        out = out.unionByName(mine.select("row_id", (F.col("arrival") > F.col("first")).alias("repeat"), F.lit(False).alias("probed")))
     return out

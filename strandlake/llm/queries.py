@@ -49,12 +49,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: how many incoming rows have a readable key, how many of them repeat one, and how many new ones the tables took for repeats."""
+    """One row: how many incoming rows have a readable key, how many of them repeat one, and how many new ones the tables took for repeats.
+
+    wrong_rate is the latter's share in the new rows that went through the tables: rows without an arrival and those with a hot key do not.
+    """
     rows = _arrivals(spark, folder)
-    told = seen_before(rows).groupBy("row_id").agg(F.max("repeat").alias("repeat"))
-    asked = rows.where(F.col("wanted") & F.col("key").isNotNull()).select("row_id").distinct().agg(F.count(F.lit(1)).alias("rows"))
-    sums = told.agg(F.count_if("repeat").alias("repeats"), F.count_if(~F.col("repeat")).alias("wrong"))
-    return asked.crossJoin(sums).withColumn("wrong_rate", F.col("wrong") / F.greatest(F.col("rows") - F.col("repeats"), F.lit(1)))
+    told = seen_before(rows).groupBy("row_id").agg(F.max("repeat").alias("repeat"), F.max("probed").alias("probed"))
+    asked = rows.where(F.col("wanted") & F.col("key").isNotNull()).groupBy("row_id").agg(F.max("arrival").isNotNull().alias("timed")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("timed").alias("timed"))
+    sums = told.agg(F.count_if("repeat").alias("repeats"), F.count_if(~F.col("repeat") & F.col("probed")).alias("wrong"), F.count_if(~F.col("repeat") & ~F.col("probed")).alias("hot"))
+    rate = F.col("wrong") / F.greatest(F.col("timed") - F.col("repeats") - F.col("hot"), F.lit(1))
+    return asked.crossJoin(sums).select("rows", "repeats", "wrong", rate.alias("wrong_rate"))
 
 
 _P5 = f"""
