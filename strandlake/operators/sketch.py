@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASHES = 6
+#: Bits per key at least, for which about one unknown key in a thousand is affirmed; and the least size of a filter.
+BITS_PER_KEY, LEAST = 16, 1 << 16
+
+
+def size_for(keys: int) -> int:
+    """Bits of a filter for so many distinct keys: the least power of two with BITS_PER_KEY for each, LEAST at least."""
+    return max(LEAST, 1 << max(0, keys * BITS_PER_KEY - 1).bit_length())
 
 
 def slots(fp: Column | str, size: int) -> Column:
-    """The HASHES slots of a 40-digit fingerprint: six hex digits each, modulo the filter's size."""
+    """The HASHES slots of a 40-digit fingerprint: six hex digits each, modulo the filter's size; above 2^24, with 24 higher bits of a digest."""
     fp = F.col(fp) if isinstance(fp, str) else fp
-    return F.array_distinct(F.array(*(F.pmod(F.conv(F.substring(fp, 1 + 6 * i, 6), 16, 10).cast("bigint"), F.lit(size)) for i in range(HASHES))))
+    digits = [F.conv(F.substring(fp, 1 + 6 * i, 6), 16, 10).cast("bigint") for i in range(HASHES)]
+    if size > 1 << 24:
+        digits = [n + F.shiftleft(F.pmod(F.xxhash64(F.lit(i), fp), F.lit(1 << 24)), 24) for i, n in enumerate(digits)]
+    return F.array_distinct(F.array(*(F.pmod(n, F.lit(size)) for n in digits)))
 
 
 def bloom(keys: DataFrame, fp: str, size: int) -> DataFrame:

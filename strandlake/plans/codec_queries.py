@@ -6,38 +6,52 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import codec, profile, sketch
 from strandlake.plans.sequence_queries import _R, _reads
-from strandlake.plans.store_queries import _IX, _UP, _index, _uploads
+from strandlake.plans.store_queries import _IX, _UP, _index, _index_rows, _uploads
 from strandlake.plans.tables import table
 
-SIZE = 1 << 16
+#: Of the filters in the SQL texts; the queries' filters have this size for up to 4,096 fingerprints and grow with more.
+SIZE = sketch.LEAST
+
+
+def _size(keys, by=None) -> int:
+    """Bits of a filter for the fingerprints of keys (repeated or not), with ``by`` for those of the largest group."""
+    by = by or []
+    n = keys.select(*by, F.xxhash64("fp")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return sketch.size_for(n.agg(F.max("n")).first()[0] or 0)
 
 
 def bloom_build(s, d):
-    return sketch.bloom(_index(s, d), "fp", SIZE)
+    ix = _index(s, d)
+    return sketch.bloom(ix, "fp", _size(_index_rows(s, d)))
 
 
 def bloom_probe(s, d):
-    return sketch.probe(_uploads(s, d), "fp", sketch.bloom(_index(s, d), "fp", SIZE), SIZE)
+    ix = _index(s, d)
+    size = _size(_index_rows(s, d))
+    return sketch.probe(_uploads(s, d), "fp", sketch.bloom(ix, "fp", size), size)
 
 
 def bloom_bitmap(s, d):
     """Set bits per bitmap."""
-    return sketch.bloom_words(sketch.bloom(_index(s, d), "fp", SIZE)).select("bucket", F.expr("bitmap_count(bitmap)").alias("bits"))
+    return sketch.bloom_words(bloom_build(s, d)).select("bucket", F.expr("bitmap_count(bitmap)").alias("bits"))
 
 
 def counting_bloom_delete(s, d):
     """Members of a counting filter after the fingerprints of the first batch have been taken out again."""
     rows = _index(s, d).select("fp", "batch_no").distinct()
     changes = rows.select("fp", F.lit(1).alias("n")).unionByName(rows.where("batch_no = 1").select("fp", F.lit(-1).alias("n")))
-    filled = sketch.counting(changes, "fp", "n", SIZE).select("slot")
-    return sketch.probe(_index(s, d), "fp", filled, SIZE)
+    size = _size(_index_rows(s, d))
+    filled = sketch.counting(changes, "fp", "n", size).select("slot")
+    return sketch.probe(_index(s, d), "fp", filled, size)
 
 
 def master_hits(s, d):
     """Per upload and container group, how many of its fingerprints the group's filter affirms."""
     node = F.pmod(F.col("container_id"), F.lit(4)).cast("int").alias("node")
-    filled = _index(s, d).select(node, "fp").select("node", F.explode(sketch.slots("fp", SIZE)).alias("slot")).distinct()
-    known = sketch.probe(_uploads(s, d), "fp", filled, SIZE, ["node"])
+    keys = _index(s, d).select(node, "fp")
+    size = _size(_index_rows(s, d).select(node, "fp"), ["node"])
+    filled = keys.select("node", F.explode(sketch.slots("fp", size)).alias("slot")).distinct()
+    known = sketch.probe(_uploads(s, d), "fp", filled, size, ["node"])
     return _uploads(s, d).select("upload_id", "fp").distinct().join(known, "fp").groupBy("upload_id", "node").agg(F.count(F.lit(1)).alias("hits"))
 
 

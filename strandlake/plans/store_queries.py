@@ -23,10 +23,15 @@ def _doc_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.fixed_chunks(docs, "doc_id", F.encode("text", "UTF-8"), CHUNK)
 
 
+def _index_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """fp_index rows as they were sent, with normal fingerprints and a live count."""
+    rows = table(spark, folder, "fp_index").where((F.col("container_id") != 0) & (F.col("ref_count") > 0)).withColumn("fp", _fp())
+    return rows.where(F.col("fp").isNotNull())
+
+
 def _index(spark: SparkSession, folder: str) -> DataFrame:
     """fp_index rows, each once, with normal fingerprints and a live count."""
-    rows = table(spark, folder, "fp_index").where((F.col("container_id") != 0) & (F.col("ref_count") > 0)).withColumn("fp", _fp())
-    return rows.where(F.col("fp").isNotNull()).dropDuplicates(["entry_id"])
+    return _index_rows(spark, folder).dropDuplicates(["entry_id"])
 
 
 def _uploads(spark: SparkSession, folder: str) -> DataFrame:

@@ -152,3 +152,24 @@ def test_sampled_rejects_odd_rates(spark):
     with pytest.raises(ValueError):
         dedup.sampled(df, "sha", 3, F.lit(True))
     assert dedup.sampled(df, "sha", 256, F.lit(False)).count() == 1
+
+
+def test_filters_grow_with_their_keys(spark, monkeypatch):
+    import hashlib
+
+    from strandlake.operators import sketch
+    from strandlake.plans import codec_queries
+
+    assert [sketch.size_for(n) for n in (0, 4096, 4097, 30_000, 1 << 24)] == [1 << 16, 1 << 16, 1 << 17, 1 << 19, 1 << 28]
+    fps = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40_000)]
+    known = spark.createDataFrame([(f, 1 + i % 2, i) for i, f in enumerate(fps[:30_000])], "fp string, batch_no int, container_id bigint")
+    asked = spark.createDataFrame([(1, f) for f in fps[30_000:]], "upload_id bigint, fp string")
+    monkeypatch.setattr(codec_queries, "_index", lambda s, d: known)
+    monkeypatch.setattr(codec_queries, "_index_rows", lambda s, d: known)
+    monkeypatch.setattr(codec_queries, "_uploads", lambda s, d: asked)
+    assert codec_queries.bloom_probe(spark, "").count() < 50
+    assert 15_000 <= codec_queries.counting_bloom_delete(spark, "").count() < 15_100
+    assert (codec_queries.master_hits(spark, "").agg(F.sum("hits")).first()[0] or 0) < 100
+    # beyond 2^24 bits the slots still spread over the whole filter
+    high = asked.select(F.explode(sketch.slots("fp", 1 << 28)).alias("slot")).agg(F.count_distinct(F.expr("(slot >> 24)")), F.count_if(F.expr("(slot >> 24) >= 8"))).first()
+    assert high[0] == 16 and 0.4 < high[1] / 60_000 < 0.6
