@@ -14,8 +14,10 @@ from strandlake.llm.mail import text_parts
 from strandlake.llm.words import TOP, mix, powers
 from strandlake.runtime import written
 
-#: Bounds of what is fitted on: labelled positive documents, and units drawn from all documents for the gradient of the negative risk.
-MAX_POSITIVE, MAX_UNITS = 3_000, 80_000
+#: Bounds of what is fitted on: labelled positive documents and their words, and units drawn from all documents for the gradient of the negative risk.
+MAX_POSITIVE, MAX_WORDS, MAX_UNITS = 3_000, 3_000_000, 80_000
+#: Scores of drawn units that are tried as thresholds besides those of left-out positive documents.
+LEVELS = 2_000
 #: Hashed features, and words in a unit.
 SPACE, WIDTH = 1 << 22, 16
 #: Features added to a unit's number of them for scaling, so that a word or two weigh little.
@@ -91,9 +93,10 @@ class Units:
         place = np.arange(len(inner)) - np.repeat(first, last - first)
         n = int((last - first).max()) if len(first) else 0
         total = np.r_[np.uint64(0), (mix(low[inner].astype(np.uint64) + np.uint64(1)) * powers(n, 0x100000001B3)[place]).cumsum(dtype=np.uint64)]
-        self.word = mix(total[last] - total[first])
-        self.stem = mix(total[np.minimum(first + 5, last)] - total[first] + np.uint64(5))
-        self.word[figure] = self.stem[figure] = np.uint64(1)
+        # 32 bits a word, as they are stored
+        word = mix(total[last] - total[first]) >> np.uint64(32)
+        stem = mix(total[np.minimum(first + 5, last)] - total[first] + np.uint64(5)) >> np.uint64(32)
+        word[figure] = stem[figure] = np.uint64(1)
         # sentences end at . ! ? before white space, and at blank lines
         white = (code == 32) | (code == 10)
         nxt = np.r_[code[1:], np.uint32(10)]
@@ -101,23 +104,32 @@ class Units:
         sentence = np.cumsum(stop)[begin] if len(begin) else np.zeros(0, np.int64)
         text = np.searchsorted(start, at[begin], "right") - 1 if len(begin) else sentence
         cut = np.flatnonzero(np.r_[True, (sentence[1:] != sentence[:-1]) | (text[1:] != text[:-1])]) if len(begin) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[cut, len(begin)])
+        self._window(np.array(owner, np.int64)[text[cut]] if len(cut) else np.zeros(0, np.int64), np.diff(np.r_[cut, len(begin)]), word, stem)
+
+    @classmethod
+    def stored(cls, owner: np.ndarray, size: np.ndarray, word: np.ndarray, stem: np.ndarray) -> Units:
+        """Units of sentences given by their owners and sizes and the hashes of their words."""
+        out = cls.__new__(cls)
+        out._window(owner, size.astype(np.int64), *(x.view(np.uint32).astype(np.uint64) for x in (word, stem)))
+        return out
+
+    def _window(self, owner: np.ndarray, size: np.ndarray, word: np.ndarray, stem: np.ndarray) -> None:
+        self.sentences, self.word, self.stem = (owner, size), word, stem
+        cut = np.cumsum(size) - size
         # windows of a sentence: every WIDTH / 2 words, the last one at its end
         times = np.maximum(1, -(-(size - WIDTH // 2) // (WIDTH // 2)))
         turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         base, whole = np.repeat(cut, times), np.repeat(size, times)
         self.start = base + np.minimum(turn * (WIDTH // 2), np.maximum(0, whole - WIDTH))
         self.end = np.minimum(self.start + WIDTH, base + whole)
-        #: where each unit stands in the texts joined by two line feeds
-        self.span = (at[begin[self.start]], at[end[self.end - 1] - 1] + 1) if len(self.start) else (self.start, self.start)
-        self.owner = np.array(owner, np.int64)[text[self.start]] if len(self.start) else np.zeros(0, np.int64)
+        self.owner = np.repeat(owner, times)
 
     def features(self) -> list[tuple[np.ndarray, int]]:
         """Feature number of each word, its beginning, each pair of words, pair with a gap, and triple; and how many words further it reaches."""
         w, far = self.word, lambda n: np.r_[self.word[n:], np.zeros(min(n, len(self.word)), np.uint64)]
         c = np.uint64(0x9E3779B97F4A7C55)
         pair = mix(w * c + far(1))
-        found = [(w, 0), (self.stem, 0), (pair, 1), (mix(w * c + far(2) + np.uint64(2)), 2), (mix(pair * c + far(2)), 2)]
+        found = [(mix(w), 0), (mix(self.stem + np.uint64(1 << 33)), 0), (pair, 1), (mix(w * c + far(2) + np.uint64(2)), 2), (mix(pair * c + far(2)), 2)]
         return [((x >> np.uint64(40)).astype(np.int64) % SPACE, reach) for x, reach in found]
 
     def scores(self, weight: np.ndarray, bias: float) -> np.ndarray:
@@ -142,20 +154,59 @@ class Units:
             yield x[at], self.owner[np.searchsorted(self.start, at, "right") - 1]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[Units]:
+_WORDS_DDL = "doc_id bigint, units int, word array<int>, stem array<int>, size array<int>"
+_WORDS = pa.schema([("doc_id", pa.int64()), ("units", pa.int32()), *((c, pa.list_(pa.int32())) for c in ("word", "stem", "size"))])
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind, plain = letter_tables()
+
+    def some(ids: list[int], owner: list[int], texts: list[str]) -> pa.RecordBatch:
+        u = Units(owner, texts, kind, plain)
+        whose, size = u.sentences
+        n = len(ids)
+        sentences, words = np.bincount(whose, minlength=n), np.bincount(whose, size, n).astype(np.int64)
+        some = np.flatnonzero(sentences)
+        cut = lambda x: pa.array(np.r_[0, np.cumsum(x[some])].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(cut(k), pa.array(v)) for k, v in ((words, u.word.astype(np.uint32).view(np.int32)), (words, u.stem.astype(np.uint32).view(np.int32)), (sentences, size.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[some]), pa.array(np.bincount(u.owner, minlength=n)[some].astype(np.int32)), *lists], schema=_WORDS)
+
     for b in batches:
-        ids, texts, size = [], [], 0
+        ids, owner, texts, letters = [], [], [], 0
         for i, raw in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             for t in text_parts(raw):
-                ids.append(i)
+                owner.append(len(ids))
                 texts.append(t)
-                size += len(t)
-            if size > PIECE:
-                yield Units(ids, texts, kind, plain)
-                ids, texts, size = [], [], 0
+                letters += len(t)
+            ids.append(i)
+            if letters > PIECE:
+                yield some(ids, owner, texts)
+                ids, owner, texts, letters = [], [], [], 0
         if texts:
-            yield Units(ids, texts, kind, plain)
+            yield some(ids, owner, texts)
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    """doc_id, units, word, stem, size: documents (doc_id, text) as hashes of the words and word beginnings of their subjects and text parts, with the
+    number of words of each sentence. Documents without words have no row. Messages are decoded here and nowhere else."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return rows.mapInArrow(_worded, _WORDS_DDL)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Units, np.ndarray, np.ndarray]]:
+    """Units owned by rows (numbered in each piece), the rows' ids, and their weights: 1 by the number of rows with the id."""
+    for b in batches:
+        ids = b.column("doc_id").to_numpy()
+        copies = b.column("copies").fill_null(1).to_numpy() if "copies" in b.schema.names else np.ones(len(b))
+        words = b.column("word").value_lengths().to_numpy()
+        at, total = 0, np.cumsum(words)
+        while at < len(b):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE // 4, "right")))
+            piece = b.slice(at, end - at)
+            word, stem, size = (piece.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("word", "stem", "size"))
+            owner = np.repeat(np.arange(end - at), piece.column("size").value_lengths().to_numpy())
+            yield Units.stored(owner, size, word, stem), ids[at:end], 1 / copies[at:end]
+            at = end
 
 
 _LISTED_DDL = "doc_id bigint, features array<int>"
@@ -163,28 +214,8 @@ _LISTED = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.int32()))]
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for u in _units(batches):
-        if len(u.start):
-            yield pa.RecordBatch.from_arrays([pa.array(u.owner), pa.array(u.lists(), pa.list_(pa.int32()))], schema=_LISTED)
-
-
-def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Units, np.ndarray, np.ndarray]]:
-    """Units owned by rows (numbered in each piece), the rows' ids, and their weights: 1 by the number of rows with the id."""
-    kind, plain = letter_tables()
-    for b in batches:
-        owner, texts, ids, weight, size = [], [], [], [], 0
-        for i, raw, copies in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "copies"))):
-            for t in text_parts(raw):
-                owner.append(len(ids))
-                texts.append(t)
-                size += len(t)
-            ids.append(i)
-            weight.append(1 / (copies or 1))
-            if size > PIECE:
-                yield Units(owner, texts, kind, plain), np.array(ids), np.array(weight)
-                owner, texts, ids, weight, size = [], [], [], [], 0
-        if texts:
-            yield Units(owner, texts, kind, plain), np.array(ids), np.array(weight)
+    for u, ids, _weight in _units(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[u.owner]), pa.array(u.lists(), pa.list_(pa.int32()))], schema=_LISTED)
 
 
 _COUNTED_DDL = "kind int, key bigint, n double, features array<int>"
@@ -199,9 +230,7 @@ def _counted(known: np.ndarray, rate: float):
         column = np.full(SPACE, -1, np.int32)
         column[known] = np.arange(len(known))
         count, docs, units = np.zeros(len(known)), 0.0, 0.0
-        for u, ids, weight in _weighed(batches):
-            if not len(u.start):
-                continue
+        for u, ids, weight in _units(batches):
             found = []
             for number, row in u.places():
                 c = column[number]
@@ -240,9 +269,7 @@ def _binned(models: list[tuple[np.ndarray, np.ndarray, float]], levels: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = [(_dense(known, w), bias) for known, w, bias in models]
         n, most = np.zeros(len(levels) + 1), np.full(len(levels) + 1, -np.inf)
-        for u, _ids, weight in _weighed(batches):
-            if not len(u.start):
-                continue
+        for u, _ids, weight in _units(batches):
             at = np.flatnonzero(np.r_[True, u.owner[1:] != u.owner[:-1]])
             for w, bias in dense:
                 z = np.maximum.reduceat(u.scores(w, bias), at)
@@ -326,7 +353,7 @@ def _learn(positive: dict[int, list[np.ndarray]], outside: np.ndarray, docs_outs
     """
     docs = [np.unique(np.concatenate(x)) for x in positive.values()]
     inside = np.bincount(np.concatenate(docs), minlength=SPACE)
-    known = np.flatnonzero(inside >= (2 if len(docs) > 20 else 1)).astype(np.int32)
+    known = np.flatnonzero(inside >= min(2, len(docs))).astype(np.int32)
     expected = len(docs) * outside[known] / docs_outside
     # positive passages are rare among the unlabelled: their features are several times as frequent in positive documents
     first = np.maximum(np.log((inside[known] + 0.5) / (expected + 0.5)) - 1 / np.sqrt(inside[known]) - 1, 0)
@@ -337,84 +364,93 @@ def _learn(positive: dict[int, list[np.ndarray]], outside: np.ndarray, docs_outs
     usual = np.median([z.max() for z in score.values()])
     chosen = {i: [positive[i][k] for k in np.flatnonzero(z >= max(0.4 * usual, 0.7 * z.max()))] for i, z in score.items()}
     ids = list(positive)
-    if len(ids) > 20:
-        again: dict[int, list[np.ndarray]] = {}
-        for half in (0, 1):
-            train = [f for i in ids[half::2] for f in chosen[i]]
-            test = {i: positive[i] for i in ids[1 - half :: 2]}
-            if not train:
-                return known, first, 0.0
+    again = {i: [] for i in ids}
+    for half in (0, 1):
+        train = [f for i in ids[half::2] for f in chosen[i]]
+        test = {i: positive[i] for i in ids[1 - half :: 2]}
+        if train and test:
             w, bias = nnpu(_Rows(train, known), u, prior)
             high = max(0.0, float(np.quantile(u.times(w) + bias, 1 - prior)))
             for i, z in _best(test, known, w, bias).items():
                 again[i] = [positive[i][k] for k in np.flatnonzero(z >= max(high, 0.5 * z.max()))]
-        chosen = again
-    train = [f for i in ids for f in chosen[i]] or [positive[i][int(np.argmax(score[i]))] for i in ids]
+    # where no unit is confirmed by the other half, the first choice stands
+    train = [f for i in ids for f in again[i]] or [f for i in ids for f in chosen[i]] or [positive[i][int(np.argmax(score[i]))] for i in ids]
     w, bias = nnpu(_Rows(train, known), u, prior)
     return known, w, bias
 
 
-def _cut(positive: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[float, float]:
-    """The threshold with the best F1 in the whole collection, and the share of positive documents in it.
+def _cut(positive: np.ndarray, levels: np.ndarray, n: np.ndarray, most: np.ndarray, limit: float = 1.0) -> tuple[float, float]:
+    """The threshold with the best F1 in the whole collection, of those that flag no more than can be positive; and the share of positive documents.
 
-    positive: scores of positive documents that were left out of the fit; n, most: of the scores of all documents, the number and the
-    highest that reach exactly so many of the distinct values of ``positive``. With recall R and flagged share F at a threshold, no more
-    than F / R can be positive; the least such bound is the share, and share * R / F the precision. So the labels may be drawn with
-    another share of positives than the collection has.
+    positive: scores of positive documents that were left out of the fit; levels: thresholds to try, increasing; n, most: of the scores of
+    all documents, the number and the highest that reach exactly so many levels; limit: a bound of the share from elsewhere. With recall R
+    and flagged share F at a threshold, no more than F / R can be positive; the least such bound is the share, and share * R / F the
+    precision. So the labels may be drawn with another share of positives than the collection has.
     """
-    levels = np.unique(positive)
     recall = 1 - np.searchsorted(np.sort(positive), levels, "left") / len(positive)
-    flagged = (np.cumsum(n[::-1])[::-1][1:] + 1) / (n.sum() + 1)
-    share = float((flagged / recall)[recall >= 0.3].min())
-    precision = np.minimum(1, share * recall / flagged)
-    k = int(np.argmax(2 * precision * recall / (precision + recall)))
+    flagged = np.cumsum(n[::-1])[::-1][1:] / n.sum()
+    bound = ((flagged + 1 / n.sum()) / np.maximum(recall, 1e-9))[recall >= 0.3]
+    share = min(limit, float(bound.min()) if len(bound) else 1.0)
+    precision = np.minimum(1, share * recall / np.maximum(flagged, 1e-12))
+    f1 = np.where(flagged <= share, 2 * precision * recall / np.maximum(precision + recall, 1e-12), -1)
+    if not len(f1) or f1.max() <= 0:
+        return float(np.inf), share
+    k = int(np.argmax(f1))
     below = float(most[: k + 1].max())
     return (float((levels[k] + max(below, levels[k] - 0.5)) / 2) if below > -np.inf else float(levels[k])), share
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 2) -> Model | None:
-    """A model from documents (doc_id, text) and labels (doc_id, toxic: 1 for positive); None without positive labels or other documents.
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int | None = None, max_words: int | None = None, max_units: int | None = None, words: DataFrame | None = None) -> Model | None:
+    """A model from documents (doc_id, text) and labels (doc_id, toxic: 1 for positive, 0 for clean); None with fewer than two positive documents, or no others.
 
-    At most MAX_POSITIVE positive documents, taken by a digest of their ids, are fitted on; their features (no texts) come to the driver. The
-    documents in which each of these features stands are counted over all documents. The gradient of the negative risk is taken on at most
-    MAX_UNITS units, drawn by a digest from all documents. The class prior is estimated with a first fit, from the scores of all documents
-    and of positive ones that it did not see; the threshold likewise, with each positive document left out in turn.
+    The same steps at every size. At most ``max_positive`` (MAX_POSITIVE) positive documents with ``max_words`` (MAX_WORDS) words in all, taken by
+    a digest of their ids, are fitted on; their features (no texts) come to the driver. The documents in which each of these features
+    stands are counted over all documents. The gradient of the negative risk is taken on at most ``max_units`` (MAX_UNITS) units, drawn by
+    a digest from all documents. The class prior is estimated with a first fit, from the scores of all documents and of positive ones that
+    it did not see, and is taken to be no higher than among the labels (labels are given to suspicious documents rather than to others);
+    the threshold likewise, with each positive document left out in turn. Clean labels serve for that bound only.
+    words: what ``worded`` makes of docs, where that is stored already.
     """
+    max_positive, max_words, max_units = max_positive or MAX_POSITIVE, max_words or MAX_WORDS, max_units or MAX_UNITS
     digest = F.xxhash64(F.lit(11), "doc_id")
-    given = labels.where(F.col("doc_id").isNotNull() & (F.col("toxic") == 1)).select("doc_id").distinct()
-    told = [r["doc_id"] for r in given.orderBy(digest, "doc_id").limit(MAX_POSITIVE).collect()]
-    if not told:
+    told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    limit = told.agg(F.avg("toxic")).first()[0]
+    if not limit:
         return None
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = docs.sparkSession.createDataFrame([(i,) for i in told], "doc_id bigint")
-    listed = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_listed, _LISTED_DDL).toArrow()
+    words = written(worded(docs), "words") if words is None else words
+    given = told.where("toxic = 1").orderBy(digest, "doc_id").limit(max_positive).select("doc_id")
+    ids = words.sparkSession.createDataFrame([(r["doc_id"],) for r in given.collect()], "doc_id bigint")
+    mine = words.join(F.broadcast(ids), "doc_id", "left_semi")
+    size = mine.groupBy("doc_id").agg(F.max(F.size("word")).alias("n")).orderBy(digest, "doc_id").collect()
+    kept = [r["doc_id"] for r, total in zip(size, np.cumsum([r["n"] for r in size])) if total <= max_words]
+    if len(kept) < 2:
+        return None
+    if len(kept) < len(size):
+        mine = words.join(F.broadcast(words.sparkSession.createDataFrame([(i,) for i in kept], "doc_id bigint")), "doc_id", "left_semi")
+    listed = mine.mapInArrow(_listed, _LISTED_DDL).distinct().toArrow()
     units: dict[int, list[np.ndarray]] = {}
     values, owner = listed.column("features").combine_chunks(), listed.column("doc_id").to_pylist()
     flat, ends = values.flatten().to_numpy(), values.offsets.to_numpy() - values.offsets[0].as_py()
-    for i, a, b in sorted(zip(owner, ends[:-1].tolist(), ends[1:].tolist())):
+    for i, _, a, b in sorted((i, flat[a : a + 8].tolist(), a, b) for i, a, b in zip(owner, ends[:-1].tolist(), ends[1:].tolist())):
         units.setdefault(i, []).append(flat[a:b])
-    positive = sorted((i for i in told if i in units), key=lambda i: (i * 2654435761) % (1 << 32))
-    if not positive:
-        return None
-    # all features that any fit below may know: a fit on up to 20 documents knows those of a single one
+    positive = sorted(units, key=lambda i: (i * 2654435761) % (1 << 32))
+    # all features that any fit below may know
     inside = np.bincount(np.concatenate([np.unique(np.concatenate(units[i])) for i in positive]), minlength=SPACE)
-    known = np.flatnonzero(inside >= (2 if len(positive) // folds > 20 else 1)).astype(np.int32)
-    copies = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
-    every = rows.join(copies, "doc_id", "left")
-    letters, own = rows.agg(F.sum(F.length("text"))).first()[0], rows.join(F.broadcast(ids), "doc_id", "left_semi").agg(F.sum(F.length("text"))).first()[0]
-    # units a letter from the positive documents; a quarter more than wanted, as others may have fewer
-    rate = 1.25 * MAX_UNITS * own / (letters * sum(len(units[i]) for i in positive))
+    known = np.flatnonzero(inside >= (1 if len(positive) < 2 * folds else 2)).astype(np.int32)
+    copies = written(words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    every = words.join(copies, "doc_id", "left")
+    rate = min(1.0, max_units / max(1, words.agg(F.sum("units")).first()[0]))
     counted = written(every.mapInArrow(_counted(known, rate), _COUNTED_DDL), "counted")
     sums = counted.where("kind <> 1").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
     kind, key, n = (sums.column(c).to_numpy() for c in ("kind", "key", "n"))
     outside = np.zeros(SPACE)
     outside[key[kind == 0]] = np.round(n[kind == 0], 6)
     documents, pieces = (round(float(n[(kind == 2) & (key == k)].sum()), 6) for k in (0, 1))
-    drawn = counted.where("kind = 1").select("key", "features").orderBy("key", "features").limit(2 * MAX_UNITS).toArrow()
+    drawn = counted.where("kind = 1").select("key", "features").orderBy("key", "features").limit(2 * max_units).toArrow()
     place = drawn.column("key").to_numpy()
     lists = drawn.column("features").combine_chunks()
     flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    once = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])[:MAX_UNITS] if len(place) else []
+    once = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])[:max_units] if len(place) else []
     loose = [flat[ends[k] : ends[k + 1]] for k in once]
     if not loose:
         return None
@@ -427,17 +463,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2) -> Model | None:
     def top(x: dict[int, list[np.ndarray]], model: tuple) -> np.ndarray:
         return np.array([z.max() for z in _best(x, *model).values()])
 
-    share, threshold = 0.05, 0.0
-    for turn in range(2 if len(positive) >= 2 * folds else 0):
+    share, threshold = min(0.05, limit), np.inf
+    for turn in range(2):
         held, models = [], []
         for k in range(folds if turn else 1):
             models.append(learn([i for n, i in enumerate(positive) if n % folds != k], share))
             held.append(top({i: units[i] for n, i in enumerate(positive) if n % folds == k}, models[-1]))
-        levels = np.unique(np.concatenate(held))
+        high = np.concatenate([np.sort(_Rows(loose, m[0]).times(m[1]) + m[2])[-LEVELS:] for m in models])
+        levels = np.unique(np.concatenate([*held, high]))
         count, most = np.zeros(len(levels) + 1), np.full(len(levels) + 1, -np.inf)
         for r in every.mapInArrow(_binned(models, levels), _BINNED_DDL).groupBy("bin").agg(F.sum("n").alias("n"), F.max("most").alias("most")).collect():
             count[r["bin"]], most[r["bin"]] = round(r["n"], 6), r["most"]
-        threshold, share = _cut(np.concatenate(held), count, most)
+        threshold, share = _cut(np.concatenate(held), levels, count, most, limit)
     known, w, bias = learn(positive, share)
     return Model(_dense(known, w), bias, threshold)
 
@@ -449,26 +486,22 @@ def _scored(model: Model):
     weight, bias = model.weight, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for u in _units(batches):
-            z = u.scores(weight, bias)
-            if not len(z):
-                continue
+        for u, ids, _weight in _units(batches):
             at = np.flatnonzero(np.r_[True, u.owner[1:] != u.owner[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(u.owner[at]), pa.array(np.maximum.reduceat(z, at))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u.owner[at]]), pa.array(np.maximum.reduceat(u.scores(weight, bias), at))], names=["doc_id", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, words: DataFrame | None = None) -> DataFrame:
     """doc_id, score, flagged of each document (doc_id, text): the highest score of any of its units, and whether it reaches the threshold.
 
     The subject and every text part are read whole, decoded, quoted text included. Documents without words have a null score and are not
-    flagged, as are all where there is no model. Documents sent twice count once.
+    flagged, as are all where there is no model. Documents sent twice count once. words: what ``worded`` makes of docs, where that is stored already.
     """
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("double").alias("score")).where(F.col("doc_id").isNotNull())
     if model is None:
-        return ids.select("doc_id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("flagged")).distinct()
-    found = ids.where(F.col("text").isNotNull()).mapInArrow(_scored(model), _SCORE_DDL)
-    every = ids.select("doc_id", F.lit(None).cast("double").alias("score"))
+        return every.distinct().withColumn("flagged", F.lit(False))
+    found = (worded(docs) if words is None else words).mapInArrow(_scored(model), _SCORE_DDL)
     best = found.unionByName(every).groupBy("doc_id").agg(F.max("score").alias("score"))
     return best.withColumn("flagged", F.coalesce(F.col("score") >= model.threshold, F.lit(False)))

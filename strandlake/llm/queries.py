@@ -15,6 +15,7 @@ from strandlake.llm.signature_tree import linked_groups, similar_records
 from strandlake.llm.spans import SpanIndex, shared_portion
 from strandlake.llm.splitting import split_pieces
 from strandlake.plans.tables import table
+from strandlake.runtime import written
 
 _FP = r"lower(regexp_extract(sha, '^[ \t]*(?:0[xX])?([0-9a-fA-F]{40})[ \t]*$', 1))"
 
@@ -143,7 +144,8 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
 # 9. abusive, hateful or sexual content
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return abuse.score(docs, abuse.fit(docs, table(spark, folder, "labels")))
+    words = written(abuse.worded(docs), "words")
+    return abuse.score(docs, abuse.fit(docs, table(spark, folder, "labels"), words=words), words)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -142,6 +142,17 @@ def test_classifier_finds_what_was_left_out(spark):
     assert abuse.fit(d, y.where("toxic = 0")) is None and not any(r["flagged"] for r in abuse.score(d, None).collect())
 
 
+def test_few_labels_flag_few_documents(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["red", "blue", "green", "tall", "small", "house", "road", "river"]) for _ in range(40)) + ".") for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for n in (1, 2, 5, 25):  # positives that have nothing in common, among ten times as many clean ones
+        y = spark.createDataFrame([(i, int(i < n)) for i in range(min(400, 10 * n))], "doc_id bigint, toxic int")
+        model = abuse.fit(d, y)
+        assert (model is None) == (n == 1)
+        assert sum(r["flagged"] for r in abuse.score(d, model).collect()) <= 40 + n
+
+
 def test_nnpu_separates():
     rng = np.random.default_rng(0)
     row = lambda toxic: np.r_[rng.integers(10, 200, 12), [1, 2] if toxic else []].astype(np.int32)
@@ -158,7 +169,7 @@ def test_classifier_counts_and_cuts_over_all_documents(spark, monkeypatch):
     learn, cut = abuse._learn, abuse._cut
     monkeypatch.setattr(abuse, "MAX_UNITS", 500)
     monkeypatch.setattr(abuse, "_learn", lambda p, outside, n, units, prior: (seen.update(outside=outside, n=n, units=len(units)), learn(p, outside, n, units, prior))[1])
-    monkeypatch.setattr(abuse, "_cut", lambda positive, n, most: (seen.update(scored=n.sum()), cut(positive, n, most))[1])
+    monkeypatch.setattr(abuse, "_cut", lambda positive, levels, n, most, limit: (seen.update(scored=n.sum()), cut(positive, levels, n, most, limit))[1])
     docs = [(i, f"The garden {'filthy pig ' if i % 40 == 0 else ''}number{i} was moved on Monday. It is well.") for i in range(9_500)]
     d = spark.createDataFrame(docs + docs[:700], "doc_id bigint, text string")
     y = spark.createDataFrame([(i, 1) for i in range(0, 4_000, 40)], "doc_id bigint, toxic int")
