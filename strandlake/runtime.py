@@ -50,13 +50,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """All values of ``key`` that more than ``share`` of the rows have, and possibly some more.
+    """The values of ``key`` that more than ``share`` of the rows have, at most 1 / share of them.
 
-    One pass with a frequent-items sketch: no value above the share is missed, and at most 1 / share
-    values come back, whatever the size of df. Nulls do not count.
+    A frequent-items sketch misses no such value but names others too; where it names any, a second pass counts those. Nulls do not count.
     """
-    got = df.select(key).where(F.col(key).isNotNull()).stat.freqItems([key], max(share, 1e-4)).collect()
-    return sorted(got[0][0] or []) if got else []
+    some = df.select(key).where(F.col(key).isNotNull())
+    got = some.stat.freqItems([key], max(share, 1e-4)).collect()
+    named = [x for x in (got[0][0] or [])] if got else []
+    if not named:
+        return []
+    counts = some.groupBy(F.when(F.col(key).isin(named), F.col(key)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = sum(r["n"] for r in counts)
+    return sorted(r["k"] for r in counts if r["k"] is not None and r["n"] > share * total)
 
 
 def skew_safe_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, hot: list | None = None, share: float = HOT_SHARE) -> DataFrame:
