@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.runtime import hot_keys
+from strandlake.runtime import hot_keys, shared_path, written
 
 SLOTS = 4
 KICKS = 200
@@ -88,19 +89,25 @@ class _Table:
         return np.array([x[0] for x in lost], np.uint16), np.array([x[1] for x in lost], np.int64)
 
     def remove(self, h: np.ndarray) -> np.ndarray:
+        """Take out one copy of each key; False where there is none. A key of each bucket at a time, so rounds are as many as keys of one bucket."""
         short, one, two = self.places(h)
         gone = np.zeros(len(h), bool)
-        for k in range(len(h)):
-            for at in (one[k], two[k]):
-                hit = np.flatnonzero(self.slots[at, : self.fill[at]] == short[k])
-                if len(hit):
-                    last = self.fill[at] - 1
-                    self.slots[at, hit[0]] = self.slots[at, last]
-                    self.slots[at, last] = 0
-                    self.fill[at] = last
-                    self.kept -= 1
-                    gone[k] = True
-                    break
+        for place in (one, two):
+            todo = np.flatnonzero(~gone)
+            while len(todo):
+                _, first = np.unique(place[todo], return_index=True)
+                now = todo[first]
+                at = place[now]
+                hit = self.slots[at] == short[now, None]
+                ok = hit.any(1)
+                now, at, slot = now[ok], at[ok], hit[ok].argmax(1)
+                last = self.fill[at] - 1
+                self.slots[at, slot] = self.slots[at, last]
+                self.slots[at, last] = 0
+                self.fill[at] = last
+                self.kept -= len(now)
+                gone[now] = True
+                todo = np.delete(todo, first)
         return gone
 
 
@@ -108,7 +115,8 @@ class CuckooFilter:
     """A chain of cuckoo tables that grows: a saturated table is followed by one of twice its size. Keys are 64-bit hashes.
 
     No key that was added and not removed is ever denied; a key that was not may be affirmed by chance, with about
-    2 * SLOTS / 2**16 per full table of the chain. Only keys that were added may be removed.
+    2 * SLOTS / 2**16 per full table of the chain. Only keys that were added may be removed; ``seen`` does not add a key that it affirms
+    by chance, so whoever removes keys adds those first (SeenKeys does).
     """
 
     def __init__(self, buckets: int = 1024, load: float = 0.9):
@@ -155,11 +163,17 @@ class CuckooFilter:
         self.tables.insert(-1, spare)
 
     def remove(self, keys: np.ndarray) -> np.ndarray:
-        """Remove one copy of each key; False for keys that are not there."""
+        """Remove one copy of each key, all of which were added; True for those that were removed.
+
+        A key that several tables affirm is left: all but one of them do so by another key's fingerprint, which must stay. It goes on
+        being affirmed by chance, as one in some thousands is.
+        """
         h, out = _mix(keys.view(np.uint64)), np.zeros(len(keys), bool)
-        for t in self.tables:
-            todo = np.flatnonzero(~out)
-            out[todo[t.remove(h[todo])]] = True
+        has = np.array([t.has(h) for t in self.tables])
+        sure = has.sum(0) == 1
+        for t, mine in zip(self.tables, has):
+            at = np.flatnonzero(mine & sure)
+            out[at] = t.remove(h[at])
         return out
 
     def seen(self, keys: np.ndarray) -> np.ndarray:
@@ -195,18 +209,22 @@ class CuckooFilter:
         return out
 
 
-_OUT = pa.schema([("part", pa.int32()), ("row_id", pa.int64()), ("key", pa.binary()), ("arrival", pa.int64()), ("tables", pa.binary())])
-_OUT_DDL = "part int, row_id bigint, key binary, arrival bigint, tables binary"
+#: What a row of a pass is, in the order in which a part's rows come.
+STORED, FORCED, GONE, ASKED = range(4)
+
+_OUT = pa.schema([("part", pa.int32()), ("row_id", pa.int64()), ("key", pa.binary()), ("h", pa.int64()), ("arrival", pa.int64()), ("wanted", pa.bool_()), ("tables", pa.binary())])
+_OUT_DDL = "part int, row_id bigint, key binary, h bigint, arrival bigint, wanted boolean, tables binary"
 
 
 def _pass(keep: bool, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by part; in a part first the stored tables, then the keys by arrival."""
+        """Rows by part; in a part first the stored tables, then keys to add and to take out, then those asked by arrival."""
         part, held, last = None, None, None
 
         def end() -> Iterator[pa.RecordBatch]:
             if keep and held is not None:
-                yield pa.RecordBatch.from_pydict({"part": [part], "row_id": [None], "key": [None], "arrival": [None], "tables": [held.to_bytes()]}, _OUT)
+                none = {c: [None] for c in _OUT.names}
+                yield pa.RecordBatch.from_pydict(none | {"part": [part], "tables": [held.to_bytes()]}, _OUT)
 
         for b in batches:
             parts = b.column("part").to_numpy(zero_copy_only=False)
@@ -218,23 +236,27 @@ def _pass(keep: bool, buckets: int):
                     yield from end()
                     part, held, last = int(parts[lo]), CuckooFilter(buckets), None
                 piece = b.slice(lo, hi - lo)
-                stored = piece.column("tables").is_valid().to_numpy(zero_copy_only=False)
-                for k in np.flatnonzero(stored):
-                    held = CuckooFilter.from_bytes(piece.column("tables")[int(k)].as_py())
-                piece = piece.slice(int(stored.sum()))
+                kind = piece.column("kind").to_numpy(zero_copy_only=False)
+                at = np.searchsorted(kind, [FORCED, GONE, ASKED])
+                for k in range(at[0]):
+                    held = CuckooFilter.from_bytes(piece.column("tables")[k].as_py())
+                hashes = lambda i, j: piece.column("h").slice(i, j - i).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+                held.add(hashes(at[0], at[1]))
+                held.remove(hashes(at[1], at[2]))
+                piece = piece.slice(int(at[2]))
                 if len(piece):
                     # rows of one key and arrival are one question; the first one's answer holds for all, over batches too
-                    h, at = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("h", "arrival"))
-                    new = np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])]
+                    h, when = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("h", "arrival"))
+                    new = np.r_[True, (h[1:] != h[:-1]) | (when[1:] != when[:-1])]
                     answer = np.zeros(len(h), bool)
-                    on = last is not None and last[:2] == (h[0], at[0])
+                    on = last is not None and last[:2] == (h[0], when[0])
                     ask = np.flatnonzero(new)[1 if on else 0 :]
                     answer[ask] = held.seen(h[ask])
                     if on:
                         answer[0] = last[2]
                     maybe = answer[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-                    last = (h[-1], at[-1], bool(maybe[-1]))
-                    got = piece.filter(pa.array(maybe & piece.column("wanted").to_numpy(zero_copy_only=False)))
+                    last = (h[-1], when[-1], bool(maybe[-1]))
+                    got = piece.filter(pa.array(maybe))
                     if len(got):
                         yield pa.RecordBatch.from_arrays([got.column(n) for n in _OUT.names], schema=_OUT)
         yield from end()
@@ -242,43 +264,98 @@ def _pass(keep: bool, buckets: int):
     return run
 
 
-def cuckoo_pass(rows: DataFrame, parts: int = 32, tables: DataFrame | None = None, keep: bool = False, buckets: int = 1024) -> DataFrame:
+def cuckoo_pass(rows: DataFrame, parts: int = 32, tables: DataFrame | None = None, keep: bool = False, buckets: int = 1024, forced: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
     """Probe and fill partitioned cuckoo tables with keys in order of arrival.
 
-    rows: row_id, key (binary, not null), arrival, wanted (whether the row's answer is asked for). A key's hash names its part; each part
-    is one task's table, read in order of arrival with Arrow batches, so no task holds more than the table and a batch. Rows with the same
-    key and arrival, as those sent twice, go through the table once.
-    tables: (part, tables) of an earlier pass, to go on from it. Returns part, row_id, key, arrival of the wanted rows whose key
-    *may* have come before (none that has is missing) and, with keep, a row per part with its tables.
+    rows: row_id, key (binary, not null), arrival, wanted. A key's hash names its part; each part is one task's table, read in order of
+    arrival with Arrow batches, so no task holds more than the table and a batch. Rows with the same key and arrival, as those sent
+    twice, go through the table once.
+    tables: (part, tables) of an earlier pass, to go on from it; forced: distinct keys (key) to be added first, whether the tables affirm
+    them or not; gone: distinct keys (key) to be taken out then, each of which must have been added. Returns part, row_id, key, h,
+    arrival, wanted of the rows whose key *may* have come before (none that has is missing) and, with keep, a row per part with its tables.
     """
-    h = F.xxhash64("key")
-    rows = rows.select(F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(parts)).cast("int").alias("part"), F.col("row_id").cast("bigint").alias("row_id"), "key", F.col("arrival").cast("bigint").alias("arrival"), h.alias("h"), "wanted", F.lit(None).cast("binary").alias("tables"))
+    part = F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(parts)).cast("int").alias("part")
+    null = lambda t: F.lit(None).cast(t)
+    asked = rows.select(part, F.col("row_id").cast("bigint").alias("row_id"), "key", F.col("arrival").cast("bigint").alias("arrival"), F.xxhash64("key").alias("h"), "wanted", F.lit(ASKED).alias("kind"), null("binary").alias("tables"))
+    for keys, kind in ((forced, FORCED), (gone, GONE)):
+        if keys is not None:
+            asked = asked.unionByName(keys.select(part, null("bigint").alias("row_id"), "key", null("bigint").alias("arrival"), F.xxhash64("key").alias("h"), F.lit(False).alias("wanted"), F.lit(kind).alias("kind"), null("binary").alias("tables")))
     if tables is not None:
         empty = {"row_id": "bigint", "key": "binary", "arrival": "bigint", "h": "bigint"}
-        rows = rows.unionByName(tables.where(F.col("tables").isNotNull()).select("part", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()), F.lit(False).alias("wanted"), "tables"))
-    ordered = rows.repartition("part").sortWithinPartitions("part", F.col("tables").isNull(), "arrival", "h")
+        asked = asked.unionByName(tables.where(F.col("tables").isNotNull()).select("part", *(null(t).alias(c) for c, t in empty.items()), F.lit(False).alias("wanted"), F.lit(STORED).alias("kind"), "tables"))
+    ordered = asked.repartition("part").sortWithinPartitions("part", "kind", "arrival", "h")
     return ordered.mapInArrow(_pass(keep, buckets), _OUT_DDL)
 
 
-def seen_before(rows: DataFrame, parts: int = 32) -> DataFrame:
-    """row_id, repeat, probed for each wanted row that the cuckoo tables flag as possibly seen, and each with a hot key; repeat is the exact answer.
+class SeenKeys:
+    """Keys told as seen before or new, batch by batch, with the cuckoo tables and a log of the keys on shared storage.
 
-    rows: row_id, key, arrival, wanted; rows with a null key or arrival have no answer. A row is a repeat if its key stands in any row
-    with a smaller arrival; a row sent twice (same arrival) is none for that. Rows that are not returned are certainly new.
+    Every key goes through the tables. Of a key that more than a hundredth of a batch's rows have (at most a hundred keys) one row goes, its
+    first, as the table affirms the later ones for certain. Only what the tables affirm is looked up in the log, which thus is read by
+    the affirmed keys' hashes only. A new key that the tables affirmed by chance has no fingerprint of its own; it is added with
+    the next batch, so that taking it out later takes no other key's.
 
-    Keys of more than a hundredth of the rows (at most a hundred) never pass through a table: their first arrival is one row each after
-    partial aggregation, and is broadcast to their rows where they are; probed is false for these.
+    The log is one row per key, arrival and batch; a key that was taken out is new when it comes again.
     """
-    rows = rows.where(F.col("key").isNotNull() & F.col("arrival").isNotNull())
-    hashed = rows.withColumn("kh", F.xxhash64("key"))
-    hot = hot_keys(hashed, "kh")
-    is_hot: Column = F.col("kh").isin(hot) if hot else F.lit(False)
-    flagged = cuckoo_pass(hashed.where(~is_hot), parts).select("row_id", "key", "arrival")
-    # the exact check, of flagged rows only
-    first = hashed.where(~is_hot).groupBy("key").agg(F.min("arrival").alias("first"))
-    out = flagged.join(first, "key").select("row_id", (F.col("arrival") > F.col("first")).alias("repeat"), F.lit(True).alias("probed"))
-    if hot:
-        top = hashed.where(is_hot).groupBy("key").agg(F.min("arrival").alias("first"))
-        mine = hashed.where(is_hot & F.col("wanted")).join(F.broadcast(top), "key")
-        out = out.unionByName(mine.select("row_id", (F.col("arrival") > F.col("first")).alias("repeat"), F.lit(False).alias("probed")))
-    return out
+
+    def __init__(self, spark: SparkSession, parts: int = 32, buckets: int = 1024, path: str | None = None):
+        self.spark, self.parts, self.buckets, self.path = spark, parts, buckets, path or shared_path(spark, "seen")
+        self.turn, self.state, self.fix = 0, None, None
+
+    def _log(self, turns: range) -> DataFrame:
+        schema = "h bigint, key binary, first bigint, gone boolean"
+        read = [self.spark.read.schema(schema).parquet(f"{self.path}/log/{k}").withColumn("turn", F.lit(k)) for k in turns]
+        return reduce(DataFrame.unionByName, read) if read else self.spark.createDataFrame([], schema + ", turn int")
+
+    def _first(self, keys: DataFrame) -> DataFrame:
+        """h, key, first: the first arrival of each key whose hash is among keys (h), since it was last taken out."""
+        rows = self._log(range(1, self.turn + 1)).join(keys.select("h").distinct(), "h", "left_semi")
+        # one row a key and batch; of these, those since the last removal
+        by = rows.groupBy("h", "key").agg(F.max(F.when(F.col("gone"), F.col("turn"))).alias("end"), F.min("first").alias("least"), F.collect_list(F.when(~F.col("gone"), F.struct("turn", "first"))).alias("all"))
+        since = F.array_min(F.transform(F.filter("all", lambda x: x["turn"] >= F.col("end")), lambda x: x["first"]))
+        return by.select("h", "key", F.when(F.col("end").isNull(), F.col("least")).otherwise(since).alias("first")).where("first is not null")
+
+    def take(self, rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+        """row_id, flagged, repeat of each wanted row whose key the tables affirm or that has a hot key; all others are certainly new.
+
+        rows: row_id, key, arrival, wanted; those with a null key or arrival have no answer. A row is a repeat if its key stands in any row
+        with a smaller arrival, of this batch or an earlier one; a row sent twice (same arrival) is none for that. flagged: whether
+        the tables affirm it. gone: keys (key) to be taken out before; those that never came are passed over.
+        """
+        rows = rows.where(F.col("key").isNotNull() & F.col("arrival").isNotNull()).withColumn("h", F.xxhash64("key"))
+        if gone is not None:
+            gone = gone.where(F.col("key").isNotNull()).select("key", F.xxhash64("key").alias("h")).distinct()
+            gone = written(gone.join(self._first(gone), ["h", "key"], "left_semi"), "gone")
+        self.turn += 1
+        hot = hot_keys(rows, "h")
+        is_hot: Column = F.col("h").isin(hot) if hot else F.lit(False)
+        log = rows.groupBy("h", "key").agg(F.min("arrival").alias("first")).withColumn("gone", F.lit(False))
+        if gone is not None:
+            log = log.unionByName(gone.select("h", "key", F.lit(None).cast("bigint").alias("first"), F.lit(True).alias("gone")))
+        log.write.option("compression", "zstd").parquet(f"{self.path}/log/{self.turn}")
+        now = self._log(range(self.turn, self.turn + 1)).where("not gone")
+        asked = rows.where(~is_hot).select("row_id", "key", "arrival", "wanted")
+        if hot:
+            asked = asked.unionByName(now.where(is_hot).select(F.lit(None).cast("bigint").alias("row_id"), "key", F.col("first").alias("arrival"), F.lit(False).alias("wanted")))
+        out = written(cuckoo_pass(asked, self.parts, self.state, True, self.buckets, self.fix, gone), "cuckoo")
+        self.state = out.where("tables is not null").select("part", "tables")
+        flagged = out.where("tables is null")
+        first = written(self._first(flagged.select("h")), "first")
+        told = flagged.join(first, ["h", "key"]).select("row_id", "key", "h", "wanted", (F.col("arrival") > F.col("first")).alias("repeat"))
+        self.fix = written(told.where("not repeat").select("key").distinct(), "fix")
+        answer = told.where("wanted and row_id is not null").select("row_id", F.lit(True).alias("flagged"), "repeat")
+        if hot:
+            # at most a hundred rows: the hot keys' first arrivals of all and of this batch, and whether the tables affirmed the latter
+            top = now.where(is_hot).withColumnRenamed("first", "mine").join(first.select("h", "key", "first"), ["h", "key"], "left")
+            top = top.join(told.where("row_id is null").select("h", "key", F.lit(True).alias("hit")).distinct(), ["h", "key"], "left")
+            mine = rows.where(is_hot & F.col("wanted")).join(F.broadcast(top.select("h", "key", "mine", "first", "hit")), ["h", "key"])
+            # where the table denied a hot key's first row, that is the first of all
+            repeat = F.col("arrival") > F.coalesce("first", "mine")
+            hit = (F.col("arrival") > F.col("mine")) | F.coalesce("hit", F.lit(False))
+            answer = answer.unionByName(mine.select("row_id", hit.alias("flagged"), repeat.alias("repeat")))
+        return answer
+
+
+def seen_before(rows: DataFrame, parts: int = 32) -> DataFrame:
+    """``SeenKeys.take`` of rows as one batch."""
+    return SeenKeys(rows.sparkSession, parts).take(rows)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.fingerprints import fingerprint
 from strandlake.llm import abuse
-from strandlake.llm.cuckoo import seen_before
-from strandlake.llm.history import HistoryIndex
+from strandlake.llm.cuckoo import SeenKeys
+from strandlake.llm.history import HistoryIndex, records
 from strandlake.llm.leaks import leaked
 from strandlake.llm.packing import pack, token_counts
 from strandlake.llm.signature_tree import linked_groups, similar_records
@@ -21,12 +23,30 @@ _FP = r"lower(regexp_extract(sha, '^[ \t]*(?:0[xX])?([0-9a-fA-F]{40})[ \t]*$', 1
 
 
 # 2. new batches against all history
+#: Items of a bucket of the history, about.
+BUCKET_ITEMS = 1_000_000
+#: Batches in which the queries of problems 2, 4 and 5 take their tables.
+STEPS = 2
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches in order, in STEPS steps: what the containers took in is appended, then the step's uploads are held against all that is there."""
     taken = table(spark, folder, "fp_index").where((F.col("container_id") != 0) & (F.col("ref_count") > 0))
-    index = HistoryIndex(spark)
-    index.append(taken.select(F.col("container_id").alias("holder_id"), fingerprint("sha").alias("item"), "batch_no"))
+    taken = taken.select(F.col("container_id").alias("holder_id"), fingerprint("sha").alias("item"), "batch_no")
     uploads = table(spark, folder, "chunks").select(F.col("upload_id").alias("record_id"), fingerprint("sha").alias("item"), "batch_no")
-    return index.probe(uploads).select(F.col("record_id").alias("upload_id"), F.col("holder_id").alias("container_id"))
+    items = written(records(uploads), "uploads")
+    lo, hi, n = items.agg(F.min("batch_no"), F.max("batch_no"), F.count(F.lit(1))).first()
+    if lo is None:
+        return spark.createDataFrame([], "upload_id bigint, container_id bigint")
+    index, found, last = HistoryIndex(spark, buckets=max(16, n // BUCKET_ITEMS)), [], None
+    for k in range(1, STEPS + 1):
+        until = lo + (hi - lo + 1) * k // STEPS  # the step's uploads are of batches below this; what comes later holds none of them
+        since = F.lit(True) if last is None else F.col("batch_no") >= last
+        index.append(taken.where(since & (F.col("batch_no") < until)))
+        found.append(index.probe(items.where(since & (F.col("batch_no") < until)), prepared=True))
+        last = until
+    out = reduce(DataFrame.unionByName, found)
+    return out.select(F.col("record_id").alias("upload_id"), F.col("holder_id").alias("container_id"))
 
 
 _P2 = f"""
@@ -45,21 +65,40 @@ def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
     return come.unionByName(known)
 
 
+#: Keys of a part, for which a task holds about 5 MB of tables.
+PART_KEYS = 2_000_000
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Rows in order of arrival, in STEPS batches, each held against the stored tables of those before."""
+    n, lo, hi = rows.agg(F.count(F.lit(1)), F.min("arrival"), F.max("arrival")).first()
+    seen, out = SeenKeys(rows.sparkSession, max(32, -(-n // PART_KEYS))), []
+    if lo is None:
+        return seen.take(rows)
+    for k in range(STEPS):
+        a, b = (lo + (hi - lo + 1) * x // STEPS for x in (k, k + 1))
+        out.append(seen.take(rows.where((F.col("arrival") >= a) & (F.col("arrival") < b))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return seen_before(_arrivals(spark, folder)).where("repeat").select(F.col("row_id").alias("fps_id")).distinct()
+    return _told(_arrivals(spark, folder)).where("repeat").select(F.col("row_id").alias("fps_id")).distinct()
 
 
 def p5_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """One row: how many incoming rows have a readable key, how many of them repeat one, and how many new ones the tables took for repeats.
-
-    wrong_rate is the latter's share in the new rows that went through the tables: rows without an arrival and those with a hot key do not.
-    """
+    """One row: rows with a readable key, those of them that repeat one, those that are the first of their key, and of the latter those that the
+    tables took for repeats (wrong), with their share (wrong_rate). A row sent twice counts once; rows without an arrival have no answer."""
     rows = _arrivals(spark, folder)
-    told = seen_before(rows).groupBy("row_id").agg(F.max("repeat").alias("repeat"), F.max("probed").alias("probed"))
+    told = _told(rows).groupBy("row_id").agg(F.max("repeat").alias("repeat"), F.max("flagged").alias("flagged"))
     asked = rows.where(F.col("wanted") & F.col("key").isNotNull()).groupBy("row_id").agg(F.max("arrival").isNotNull().alias("timed")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("timed").alias("timed"))
-    sums = told.agg(F.count_if("repeat").alias("repeats"), F.count_if(~F.col("repeat") & F.col("probed")).alias("wrong"), F.count_if(~F.col("repeat") & ~F.col("probed")).alias("hot"))
-    rate = F.col("wrong") / F.greatest(F.col("timed") - F.col("repeats") - F.col("hot"), F.lit(1))
-    return asked.crossJoin(sums).select("rows", "repeats", "wrong", rate.alias("wrong_rate"))
+    sums = told.agg(F.count_if("repeat").alias("repeats"), F.count_if(F.col("flagged") & ~F.col("repeat")).alias("wrong"))
+    new = F.col("timed") - F.col("repeats")
+    return asked.crossJoin(sums).select("rows", "repeats", new.alias("new"), "wrong", (F.col("wrong") / F.greatest(new, F.lit(1))).alias("wrong_rate"))
+
+
+def p5_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit's counts, and whether no more than one new row in two hundred was taken for a repeat."""
+    return p5_audit(spark, folder).select("rows", "repeats", "new", (F.col("wrong_rate") <= 0.005).alias("few_wrong"))
 
 
 _P5 = f"""
@@ -68,6 +107,13 @@ _P5 = f"""
     select distinct fps_id from (select fps_id, arrival_no, {_FP} as fp from container_fps) join f using (fp) where arrival_no > since"""
 
 
+_P5_TOTALS = f"""
+    with a as (select {_FP} as fp, arrival_no from container_fps union all select {_FP}, arrival_no from fp_index),
+         f as (select fp, min(arrival_no) as since from a where fp <> '' group by 1),
+         r as (select fps_id, {_FP} as fp, max(arrival_no) as arrival_no from container_fps where {_FP} <> '' group by 1, 2),
+         t as (select count(*) as rows, count(arrival_no) as timed, count_if(arrival_no > since) as repeats from r left join f using (fp))
+    select rows, repeats::bigint as repeats, (timed - repeats)::bigint as new, true as few_wrong from t"""
+
 # 3. near-duplicate records
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_records(table(spark, folder, "fastq_reads").select("rec_no", "seq"))
@@ -88,8 +134,13 @@ _P3 = r"""
 
 # 4. long exact spans
 def _stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads come in STEPS batches by number; each is joined with the runs of those before."""
+    rows = table(spark, folder, "fastq_reads").select("rec_no", "seq")
     index = SpanIndex(spark)
-    index.add(table(spark, folder, "fastq_reads").select("rec_no", "seq"))
+    lo, hi = rows.agg(F.min("rec_no"), F.max("rec_no")).first()
+    for k in range(STEPS if lo is not None else 0):
+        a, b = (lo + (hi - lo + 1) * x // STEPS for x in (k, k + 1))
+        index.add(rows.where((F.col("rec_no") >= a) & (F.col("rec_no") < b)))
     return index.shared_stretches()
 
 
@@ -116,6 +167,19 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return split_pieces(blocks, "chunk_id", "payload", "filetype", "file_offset", 2048, 64)
 
 
+_P6 = r"""
+    with recursive b as (select chunk_id, any_value(filetype) as filetype, any_value(file_offset) as base, any_value(payload) as p, any_value(strlen(payload)) as n from raw_blocks where strlen(payload) > 2048 group by chunk_id),
+         l as (select *, list_filter(range(1, n + 1), lambda i: p[i] = chr(10)) as lines from b),
+         r as (select chunk_id, base, n, lines, case filetype when 100 then list_filter(lines, lambda i: p[i + 1] = '>')
+                   when 200 then list_transform(range(4, len(lines) + 1, 4), lambda k: lines[k]) else [] end as heads from l),
+         c as (select chunk_id, 0 as piece_no, 0::bigint as s,
+                   case when n <= 2048 then n else coalesce(list_max(list_filter(heads, lambda x: x > 64 and x <= 2048)), list_max(list_filter(lines, lambda x: x > 64 and x <= 2048)), 2048) end as e from r
+               union all
+               select chunk_id, piece_no + 1, e - 64,
+                   case when n - (e - 64) <= 2048 then n else coalesce(list_max(list_filter(heads, lambda x: x > e and x <= e - 64 + 2048)), list_max(list_filter(lines, lambda x: x > e and x <= e - 64 + 2048)), e - 64 + 2048) end
+               from c join r using (chunk_id) where e < n)
+    select chunk_id, piece_no::int as piece_no, (base + s)::bigint as piece_offset, (e - s)::int as piece_len from c join r using (chunk_id)"""
+
 # 7. fixed-capacity containers
 CAPACITY = 2048
 
@@ -159,11 +223,13 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("rate", F.col("flagged") / F.col("documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p6_found": p6_found, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p5_totals": p5_totals, "p6_found": p6_found, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL = {
     "p2_found": _P2,
     "p3_found": _P3,
     "p4_found": f"{_STRETCHES} select rec_no, rec_offset, match_len from x",
     "p4_portions": f"{_STRETCHES} select rec_no, letters::bigint as letters, sum(match_len)::bigint as shared, sum(match_len) / letters as portion from x group by rec_no, letters",
     "p5_found": _P5,
+    "p5_totals": _P5_TOTALS,
+    "p6_found": _P6,
 }

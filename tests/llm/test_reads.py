@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.llm import signature_tree
 from strandlake.llm.signature_tree import components, linked_groups, similar_records
@@ -100,10 +101,28 @@ def test_shared_stretches_against_brute_force(spark):
     assert {tuple(r) for r in parts.shared_stretches().collect()} == want
     parts.compact()
     assert len(parts.runs) == 1 and {tuple(r) for r in parts.shared_stretches().collect()} == want
+    # another session finds the index by its name
+    again = SpanIndex(spark, buckets=3, path=parts.path)
+    assert {tuple(r) for r in again.shared_stretches().collect()} == want
+    again.add(df.where("rec_no = 703").withColumn("rec_no", F.lit(9000).cast("bigint")))
+    assert {tuple(r) for r in again.shared_stretches().collect()} == stretches([*rows, (9000, base)])
     part = {r["rec_no"]: r for r in shared_portion(got, df).collect()}
     assert part[703]["shared"] == sum(n for i, _, n in want if i == 703) and part[701]["portion"] is None and part[702]["shared"] == 0
 
 
+@pytest.mark.parametrize("window,seed", [(12, 6), (32, 20), (64, 64), (50, 24), (90, 24)])
+def test_spans_of_any_length(spark, window, seed):
+    rng = random.Random(window)
+    base = "".join(rng.choice("ACGT") for _ in range(900))
+    rows = [(i, edited(rng, base[k : k + rng.randrange(30, 260)])) for i, k in enumerate(rng.randrange(850) for _ in range(60))]
+    index = SpanIndex(spark, window, seed, buckets=2)
+    assert index.packed == (window in (32, 64))
+    df = spark.createDataFrame(rows, "rec_no bigint, seq string")
+    index.add(df.where("rec_no < 30"))
+    index.add(df.where("rec_no >= 30"))
+    assert {tuple(r) for r in index.shared_stretches().collect()} == stretches(rows, window)
+
+
 def test_no_reads(spark):
     df = spark.createDataFrame([], "rec_no bigint, seq string")
     index = SpanIndex(spark, buckets=2)
