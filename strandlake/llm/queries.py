@@ -132,6 +132,15 @@ _P3 = r"""
     join n a on a.rec_no = rec_a join n b on b.rec_no = rec_b
     where 2 * hits >= a.n + b.n - hits"""
 
+_P3_GROUPS = _P3.replace("with r as", "with recursive r as", 1).replace("    select rec_a, rec_b\n", "    , p as (select rec_a, rec_b\n", 1) + r""")
+    , c as (select rec_no, case when len(seq) >= 41 then min(rec_no) over (partition by seq) else rec_no end as class_id from r where rec_no is not null union select rec_no, rec_no from fastq_reads where rec_no is not null and rec_no not in (select rec_no from r where rec_no is not null)),
+         e as (select distinct a.class_id as x, b.class_id as y from (select rec_a, rec_b from p union all select rec_b, rec_a from p) join c a on a.rec_no = rec_a join c b on b.rec_no = rec_b where a.class_id <> b.class_id),
+         w as (select x, y from e union select w.x, e.y from w join e on w.y = e.x),
+         l as (select x, count(*) as links from e group by 1),
+         m as (select x, min(y) as low from w group by 1)
+    select rec_no, class_id, coalesce(links, 0)::bigint as links, least(class_id, coalesce(low, class_id)) as group_id
+    from c left join l on l.x = class_id left join m on m.x = class_id"""
+
 # 4. long exact spans
 def _stretches(spark: SparkSession, folder: str) -> DataFrame:
     """Reads come in STEPS batches by number; each is joined with the runs of those before."""
@@ -227,6 +236,7 @@ QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "
 SQL = {
     "p2_found": _P2,
     "p3_found": _P3,
+    "p3_groups": _P3_GROUPS,
     "p4_found": f"{_STRETCHES} select rec_no, rec_offset, match_len from x",
     "p4_portions": f"{_STRETCHES} select rec_no, letters::bigint as letters, sum(match_len)::bigint as shared, sum(match_len) / letters as portion from x group by rec_no, letters",
     "p5_found": _P5,

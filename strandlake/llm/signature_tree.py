@@ -14,14 +14,27 @@ from strandlake.runtime import hot_keys, skew_safe_join, written
 
 GRAM = 12
 LEAST = 30
-BITS = 1024
-#: Bands of two minwise values each. A pair at the similarity of 0.5 shares none with probability 0.75**48 = 1e-6; at 0.6, 5e-10.
-BANDS = 48
+#: Bits of a token bitmap.
+BITS = 2048
+#: A pair at the very similarity of 0.5 shares no tree with this probability at most.
+MISSED = 1e-6
 #: Records under a leaf, and under a block: the largest part of a tree that one task walks.
-LEAF, BLOCK = 32, 1024
+LEAF, BLOCK = 8, 1024
 SEED = 20_011
 
 
+def bands_for(texts: int) -> tuple[int, int]:
+    """Minwise values of a band, and bands, for so many different texts.
+
+    Texts that have nothing to do with each other share a value of a band by chance, one in 4**GRAM of them; so there are as many values as
+    keep that to a block. The number of bands then follows from MISSED, which holds at every size.
+    """
+    rows = 1
+    while texts > BLOCK * 4 ** (GRAM * rows):
+        rows += 1
+    return rows, int(np.ceil(np.log(MISSED) / np.log(1 - 0.5**rows)))
+
+
 def prepared(seq: str) -> F.Column:
     return F.upper(F.regexp_replace(seq, "\r+$", ""))
 
@@ -45,22 +58,46 @@ _BANDED_DDL = "rep bigint, keys array<bigint>"
 _BANDED = pa.schema([("rep", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factor = _factors(2 * BANDS)
+def _sketchable(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts with enough tokens: their numbers, their tokens' hashes in a row, where each one's begin, and how many it has."""
+    row, code, count = _tokens(t.column("seq"))
+    fit = np.flatnonzero(count >= LEAST)
+    size = count[fit]
+    return fit, Letters.mix(code[count[row] >= LEAST] + np.uint64(1)), np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), size
+
+
+def _listed(b: pa.RecordBatch, fit: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    return pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(fit)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], schema=_BANDED)
+
+
+def _band_keys(rows: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = _factors(rows * bands).reshape(bands, rows)
+        for b in batches:
+            fit, base, start, _ = _sketchable(b)
+            if not len(fit):
+                continue
+            keys = np.zeros((len(fit), bands), np.uint64)
+            for k in range(bands):
+                for f in factor[k]:
+                    keys[:, k] = Letters.mix(keys[:, k] + (np.minimum.reduceat(base * f, start) >> np.uint64(16)))
+                keys[:, k] = Letters.mix(keys[:, k] + np.uint64(k))
+            yield _listed(b, fit, keys.ravel(), np.full(len(fit), bands))
+
+    return run
+
+
+def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n - ceil(n / 2) + 1 tokens with the smallest hashes of each text of n: similar texts have one of these in common, without exception."""
     for b in batches:
-        row, code, count = _tokens(b.column("seq"))
-        fit = np.flatnonzero(count >= LEAST)
-        keep = count[row] >= LEAST
+        fit, base, start, size = _sketchable(b)
         if not len(fit):
             continue
-        base, start = Letters.mix(code[keep] + np.uint64(1)), np.r_[0, np.cumsum(count[fit])[:-1]]
-        keys = np.empty((len(fit), BANDS), np.uint64)
-        for k in range(BANDS):
-            one, two = (np.minimum.reduceat((base * factor[i]) >> np.uint64(32), start) for i in (2 * k, 2 * k + 1))
-            keys[:, k] = Letters.mix((one << np.uint64(32) | two) + np.uint64(k))
-        flat = pa.array(keys.ravel().view(np.int64))
-        offsets = pa.array(np.arange(0, len(fit) * BANDS + 1, BANDS, dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(fit)), pa.ListArray.from_arrays(offsets, flat)], schema=_BANDED)
+        own = np.repeat(np.arange(len(fit)), size)
+        base = base[np.lexsort((base, own))]
+        keep = np.arange(len(base)) - np.repeat(start, size) <= np.repeat(size // 2, size)
+        yield _listed(b, fit, base[keep], size // 2 + 1)
 
 
 class _Node:
@@ -88,68 +125,87 @@ def _pairs_within(a: int, b: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(a, 1) if same else tuple(x.ravel() for x in np.indices((a, b)))
 
 
-def tree_pairs(texts: pa.Array, groups: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _bitmaps(row: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed bitmap of each text's tokens, and the number of bits set."""
+    bits = np.zeros((n, BITS), bool)
+    bits[row, (Letters.mix(code + np.uint64(1)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.uint64), bits.sum(1, dtype=np.int64)
+
+
+def _meet(one: _Node, other: _Node, i: np.ndarray, j: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """may_meet of nodes i of one and j of other, some at a time."""
+    both = _Node(*(np.concatenate([getattr(one, k), getattr(other, k)]) for k in ("bits", "low", "high", "extra")))
+    return np.concatenate([both.may_meet(i[k : k + step], j[k : k + step] + len(one.low)) for k in range(0, len(i), step)]) if len(i) else np.zeros(0, bool)
+
+
+def tree_pairs(texts: pa.Array, groups: list[tuple[int, int, int]], tally: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers, common tokens and union sizes of all similar pairs in each group of neighbouring rows.
 
     groups: (start, middle, end); pairs are sought between the rows before and after middle, or within all rows where middle is end.
     Each group is a signature tree that is walked from both sides at once: pairs of leaves whose bitmaps and sizes admit no similar
-    pair are dropped with all records under them, then pairs of records likewise; what is left is counted exactly.
+    pair are dropped with all records under them, then pairs of a record and a leaf, then pairs of records; what is left is counted
+    exactly. Like texts stand side by side (by their smallest token hash), so that leaves are of like sets. tally: a dict that gets the
+    pairs that were looked at and those that were kept, by level.
     """
     row, code, size = _tokens(texts)
     n = len(texts)
-    place = (Letters.mix(code + np.uint64(1)) >> np.uint64(54)).astype(np.int64)
-    bits = np.zeros((n, BITS), np.uint8)
-    bits[row, place] = 1
-    packed = np.packbits(bits, axis=1).view(np.uint64)
-    extra = size - bits.sum(1, dtype=np.int64)
-    records = _Node(packed, size, size, extra)
+    packed, ones = _bitmaps(row, code, n)
+    records = _Node(packed, size, size, size - ones)
+    lead = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(lead, row, Letters.mix(code + np.uint64(7)))
+
+    def count(level: str, ok: np.ndarray) -> None:
+        if tally is not None:
+            was = tally.setdefault(level, [0, 0])
+            was[0], was[1] = was[0] + len(ok), was[1] + int(ok.sum())
+
     left, right = [], []
     for start, middle, end in groups:
         same = middle == end
-        # similar sizes side by side: the size ranges of leaves are narrow
-        mine = start + np.argsort(size[start:middle], kind="stable")
-        theirs = mine if same else middle + np.argsort(size[middle:end], kind="stable")
+        side = lambda lo, hi: lo + np.lexsort((size[lo:hi], lead[lo:hi]))
+        mine = side(start, middle)
+        theirs = mine if same else side(middle, end)
         if len(mine) <= LEAF and len(theirs) <= LEAF:
             i, j = _pairs_within(len(mine), len(theirs), same)
             left.append(mine[i])
             right.append(theirs[j])
             continue
-        order = mine if same else np.r_[mine, theirs]
-        under = _Node(packed[order], size[order], size[order], extra[order])
-        if same:
-            leaves, cuts, other = under.above(LEAF), np.arange(0, len(order), LEAF), 0
-        else:
-            a, b = (_Node(packed[x], size[x], size[x], extra[x]).above(LEAF) for x in (mine, theirs))
-            leaves = _Node(*(np.concatenate([getattr(a, k), getattr(b, k)]) for k in ("bits", "low", "high", "extra")))
-            cuts, other = np.r_[np.arange(0, len(mine), LEAF), len(mine) + np.arange(0, len(theirs), LEAF)], len(a.low)
-        ends = np.r_[cuts[1:], len(order)]
-        if same:
-            i, j = np.triu_indices(len(cuts))
-        else:
-            i, j = _pairs_within(other, len(cuts) - other, False)
-            j = j + other
-        ok = leaves.may_meet(i, j)
-        for x, y in zip(i[ok], j[ok]):
-            p, q = _pairs_within(ends[x] - cuts[x], ends[y] - cuts[y], x == y)
-            left.append(order[cuts[x] + p])
-            right.append(order[cuts[y] + q])
+        under = [_Node(packed[x], size[x], size[x], records.extra[x]) for x in (mine, theirs)]
+        a, b = (x.above(LEAF) for x in under)
+        i, j = np.triu_indices(len(a.low)) if same else _pairs_within(len(a.low), len(b.low), False)
+        ok = _meet(a, b, i, j)
+        count("leaves", ok)
+        i, j = i[ok], j[ok]
+        # a record of the one leaf with the other leaf
+        r = (i[:, None] * LEAF + np.arange(LEAF)).ravel()
+        j = np.repeat(j, LEAF)
+        inside = r < len(mine)
+        r, j = r[inside], j[inside]
+        ok = _meet(under[0], b, r, j)
+        count("record and leaf", ok)
+        r, j = r[ok], j[ok]
+        t = (j[:, None] * LEAF + np.arange(LEAF)).ravel()
+        r = np.repeat(r, LEAF)
+        inside = (t < len(theirs)) & ((r < t) if same else True)
+        left.append(mine[r[inside]])
+        right.append(theirs[t[inside]])
     none = np.zeros(0, np.int64)
     if not left:
         return none, none, none, none
     i, j = np.concatenate(left), np.concatenate(right)
-    ok = np.concatenate([records.may_meet(i[k : k + 100_000], j[k : k + 100_000]) for k in range(0, len(i), 100_000)]) if len(i) else np.zeros(0, bool)
-    i, j = i[ok], j[ok]
-    ok = size[np.minimum(i, j)] > 0
+    ok = _meet(records, records, i, j) & (size[np.minimum(i, j)] > 0)
+    count("records", ok)
     i, j = i[ok], j[ok]
-    at = np.r_[0, np.cumsum(size)]
-    sets: dict[int, set] = {}
-
-    def of(k: int) -> set:
-        if k not in sets:
-            sets[k] = set(code[at[k] : at[k + 1]].tolist())
-        return sets[k]
-
-    common = np.fromiter((len(of(x) & of(y)) for x, y in zip(i.tolist(), j.tolist())), np.int64, len(i))
+    # the exact count: which of a text's tokens the other has, looked up in all tokens in order
+    have, first = (row.astype(np.uint64) << np.uint64(2 * GRAM)) | code, np.r_[0, np.cumsum(size)]
+    common = np.zeros(len(i), np.int64)
+    for k in range(0, len(i), 20_000):
+        p, q = i[k : k + 20_000], j[k : k + 20_000]
+        whose = np.repeat(np.arange(len(p)), size[p])
+        at = np.arange(len(whose)) - np.repeat(np.cumsum(size[p]) - size[p], size[p]) + first[p][whose]
+        ask = (q[whose].astype(np.uint64) << np.uint64(2 * GRAM)) | code[at]
+        place = np.minimum(np.searchsorted(have, ask), len(have) - 1)
+        common[k : k + len(p)] = np.bincount(whose[have[place] == ask], minlength=len(p))
     union = size[i] + size[j] - common
     ok = 2 * common >= union
     return i[ok], j[ok], common[ok], union[ok]
@@ -200,14 +256,13 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(b):
             continue
         row, code, size = _tokens(b.column("seq"))
-        bits = np.zeros((len(b), BITS), np.uint8)
-        bits[row, (Letters.mix(code + np.uint64(1)) >> np.uint64(54)).astype(np.int64)] = 1
-        extra = size - bits.sum(1, dtype=np.int64)
+        packed, ones = _bitmaps(row, code, len(b))
+        extra = size - ones
         tree, block = b.column("tree").to_numpy(), b.column("block").to_numpy()
         order = np.lexsort((block, tree))
         t, k = tree[order], block[order]
         at = np.r_[0, np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1]
-        ored = np.packbits(np.maximum.reduceat(bits[order], at), axis=1)
+        ored = np.bitwise_or.reduceat(packed[order], at)
         low, high, more = (f.reduceat(x[order], at).astype(np.int32) for f, x in ((np.minimum, size), (np.maximum, size), (np.maximum, extra)))
         yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(k[at]), pa.array([x.tobytes() for x in ored], pa.binary()), pa.array(low), pa.array(high), pa.array(more)], schema=_SUMMARY)
 
@@ -236,14 +291,16 @@ def members(records: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.select("rep", "rec_no").distinct()
 
 
-def similar_classes(reps: DataFrame) -> DataFrame:
+def similar_classes(reps: DataFrame, exact: bool = False) -> DataFrame:
     """rep_a, rep_b, common, either (sizes of intersection and union) of all pairs of different texts with 2 common >= either.
 
     Texts (rep, seq) are read as sets of their distinct 12-letter substrings of A, C, G and T; those with fewer than 30 take no part.
-    A forest keeps unlike texts apart: each band of minwise values names a tree, and each tree's texts are walked from both sides
-    (tree_pairs), in blocks of BLOCK texts whose pairs are pruned in the same way. Trees of one text are dropped, equal trees walked once.
+    A forest keeps unlike texts apart: each band of minwise values names a tree (bands_for), and each tree's texts are walked from both
+    sides (tree_pairs), in blocks of BLOCK texts whose pairs are pruned in the same way. Trees of one text are dropped, equal trees walked
+    once. A pair at the threshold has no tree in common with probability MISSED, one above it far less; with ``exact``, trees are named by
+    tokens instead (_prefix_keys) and none is missed, for two to three times the rows.
     """
-    banded = reps.mapInArrow(_band_keys, _BANDED_DDL)
+    banded = reps.mapInArrow(_prefix_keys if exact else _band_keys(*bands_for(reps.count())), _BANDED_DDL)
     keyed = written(banded.select(F.explode("keys").alias("tree"), "rep"), "bands")
     sizes = keyed.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     under = written(skew_safe_join(keyed, sizes, ["tree"], "inner", hot_keys(keyed, "tree")), "trees")
@@ -270,16 +327,16 @@ def similar_classes(reps: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_walk, _PAIR_DDL).distinct()
 
 
-def similar_records(records: DataFrame) -> DataFrame:
+def similar_records(records: DataFrame, exact: bool = False) -> DataFrame:
     """rec_a, rec_b (rec_a < rec_b) of all pairs of records (rec_no, seq) with similar or equal texts; see similar_classes."""
     reps = written(classes(records), "classes")
-    pairs = similar_classes(reps)
+    pairs = similar_classes(reps, exact)
     who = written(members(records, reps), "members")
     a, b = who.select(F.col("rep").alias("rep_a"), F.col("rec_no").alias("x")), who.select(F.col("rep").alias("rep_b"), F.col("rec_no").alias("y"))
     apart = pairs.join(a, "rep_a").join(b, "rep_b").select("x", "y")
     # copies of one text: pairs with themselves, if the text counts at all
     several = who.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
-    counts = reps.join(several, "rep").mapInArrow(_band_keys, _BANDED_DDL).select("rep")
+    counts = reps.join(several, "rep").mapInArrow(_band_keys(1, 1), _BANDED_DDL).select("rep")
     copies = who.join(counts, "rep")
     equal = copies.select("rep", F.col("rec_no").alias("x")).join(copies.select("rep", F.col("rec_no").alias("y")), "rep").where("x < y").select("x", "y")
     return apart.unionByName(equal).select(F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b")).distinct()

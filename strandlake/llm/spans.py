@@ -170,8 +170,10 @@ class SpanIndex:
         each = near.select(*self.cols, "lo", "hi", "new", F.explode(F.sequence(F.lit(0), F.col("n") - self.window)).alias("o"))
         names = ["w1", "w2"] if self.packed else ["w1"]
         windows = each.select(*self.cols, "lo", "hi", "new", "o", *self._window())
-        again = windows.groupBy(*names).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("new").alias("new")).where("lo < hi and new").select(*names)
-        hits = windows.select(*self.cols, "o", *names).join(again, names, "left_semi")
+        # texts are different, so a window stands in as many rows as there are ways to go on from it, however many records have it
+        of = W.partitionBy(*names)
+        told = windows.withColumns({"least": F.min("lo").over(of), "most": F.max("hi").over(of), "fresh": F.max("new").over(of)})
+        hits = told.where("least < most and fresh").select(*self.cols, "o")
         # a text has at most 64 windows: the shared ones are the bits of a number
         marks = hits.groupBy(*self.cols).agg(F.expr("bit_or(shiftleft(1L, o))").alias("mark"))
         places = reduce(DataFrame.unionByName, [self._places(r) for r in [run, *old]])

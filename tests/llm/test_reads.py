@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,27 @@ def test_similar_records_against_brute_force(spark, monkeypatch, block, leaf):
     ids = sorted(i for i in w if len(w[i]) >= 30)
     want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 2 * len(w[a] & w[b]) >= len(w[a] | w[b])}
     assert {tuple(r) for r in similar_records(df).collect()} == want and want
+    assert {tuple(r) for r in similar_records(df, exact=True).collect()} == want
+
+
+def test_a_tree_prunes_unlike_records():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ACGT") for _ in range(101)) for _ in range(1024)]
+    texts += [edited(rng, t).upper() for t in texts[:40]]
+    tally = {}
+    i, j, common, either = signature_tree.tree_pairs(pa.array(texts), [(0, len(texts), len(texts))], tally)
+    sets = [grams(t) for t in texts]
+    want = {(a, b) for a in range(40) for b in (1024 + a,) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want and len(want) > 20
+    # what a level looks at and what it keeps: a record meets hardly any leaf but those with a like record
+    seen, kept = tally["record and leaf"]
+    assert seen > 30 * kept and tally["records"][0] < 0.02 * len(texts) ** 2 / 2
+
+
+def test_bands_keep_their_promise():
+    for n in (10, 10**6, 10**11, 10**20):
+        rows, bands = signature_tree.bands_for(n)
+        assert (1 - 0.5**rows) ** bands <= signature_tree.MISSED and n <= signature_tree.BLOCK * 4 ** (12 * rows)
 
 
 def test_groups_follow_links(spark):
