@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,7 +66,3 @@ def bit_length(n: Column | str) -> Column:
     """Bits of a non-negative integer; 0 for 0."""
     n = _c(n)
     return F.when(n == 0, 0).otherwise(F.length(F.bin(n))).cast("int")
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -47,6 +47,13 @@ def locations(segments: DataFrame) -> DataFrame:
     return one.groupBy("md5").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_offset", "path")))).alias("off_loc"))
 
 
+def segment(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """md5, file_offset, path, found of each asked (md5, file_offset): the path of ``segments``, the smallest of several, or null."""
+    one = segments.groupBy("md5", "file_offset").agg(F.min("path").alias("path"))
+    out = asked.select("md5", "file_offset").distinct().join(one, ["md5", "file_offset"], "left")
+    return out.withColumn("found", F.col("path").isNotNull())
+
+
 def output_path(root: str, n) -> F.Column:
     """root/000000/000000 for a running number: a thousand files a folder."""
     return F.concat(F.lit(root + "/"), padded(F.expr(f"{n} div 1000")), F.lit("/"), padded(F.expr(f"{n} % 1000")))

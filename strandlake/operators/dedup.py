@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,26 @@ def sampled(chunks: DataFrame, sha: str, rate: int, first: Column) -> DataFrame:
     return chunks if power == 0 else chunks.where(F.coalesce(first, F.lit(False)) | (leading_bits(sha, power) == 0))
 
 
+def first_level(rows: DataFrame, levels: list[DataFrame], key: str, what: str) -> DataFrame:
+    """rows with level (from 0) and ``what`` of the first of ``levels`` (key, what) that has the row's key, the smallest ``what`` there; nulls where none has.
+
+    All levels are one table that is aggregated by key, so rows are joined once. Rows of a hot key are spread over tasks.
+    """
+    tagged = reduce(DataFrame.unionByName, [x.select(key, what).withColumn("level", F.lit(i)) for i, x in enumerate(levels)]).dropna()
+    best = tagged.groupBy(key).agg(F.min(F.struct("level", what)).alias("__b")).select(key, "__b.level", f"__b.{what}")
+    return skew_safe_join(rows, best, [key], "left", hot_keys(rows, key))
+
+
+def numbered_batches(fps: DataFrame, by: list[str], fp: str, size: int) -> DataFrame:
+    """fps with batch: rows of each group numbered by fingerprint, ``size`` to a batch. Ranks are taken inside groups' leading 12 bits, and sums of counts put before."""
+    rows = fps.where(F.col(fp).isNotNull()).withColumn("__lead", leading_bits(fp, 12))
+    n = rows.groupBy(*by, "__lead").agg(F.count(F.lit(1)).alias("__n"))
+    before = n.select(*by, "__lead", (F.sum("__n").over(W.partitionBy(*by).orderBy("__lead")) - F.col("__n")).alias("__before"))
+    mine = F.row_number().over(W.partitionBy(*by, "__lead").orderBy(fp)) - 1
+    ranked = rows.withColumn("__mine", mine).join(before, [*by, "__lead"])
+    return ranked.withColumn("batch", F.expr(f"(__before + __mine) div {size}")).drop("__lead", "__mine", "__before")
+
+
 def champion(hits: DataFrame, group: list[str], candidate: str, order: str) -> DataFrame:
     """Per group the candidate with the most hits; of equals the one seen first, then the smallest. Null candidates do not count."""
     n = hits.where(F.col(candidate).isNotNull()).groupBy(*group, candidate).agg(F.count(F.lit(1)).alias("hits"), F.min(order).alias("__first"))
@@ -61,8 +82,15 @@ def champion(hits: DataFrame, group: list[str], candidate: str, order: str) -> D
 
 
 def free_ids(used: DataFrame, id_col: str, upto: int | None = None) -> DataFrame:
-    """Ids below the largest used one (or ``upto``) that are free, as ranges first_free, last_free, from neighbouring used ids; nothing is enumerated."""
-    ids = used.where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    """Ids from 1 to the largest used one, or to ``upto``, that are free, as ranges first_free, last_free, from neighbouring used ids; nothing is enumerated.
+
+    Without used ids and ``upto`` there are none. Ids below 1 and nulls do not count.
+    """
+    ids = used.where(F.col(id_col) > 0).select(F.col(id_col).cast("bigint").alias(id_col))
+    if upto is not None:
+        # what follows upto is not looked at, and upto + 1 ends the last range
+        ids = ids.where(F.col(id_col) <= upto).unionByName(used.sparkSession.range(upto + 1, upto + 2).toDF(id_col))
+    ids = ids.distinct()
     buckets = ids.withColumn("__b", F.expr(f"{id_col} div 1048576"))
     inner = W.partitionBy("__b").orderBy(id_col)
     prev = buckets.withColumn("__p", F.lag(id_col).over(inner))
@@ -86,15 +114,25 @@ def packed(chunks: DataFrame, group: str, order: list[str], size: str, capacity:
         now, fill, box = None, 0, 0
         started = False
         for b in batches:
-            out = np.zeros(len(b), np.int32)
-            for k, (g, s) in enumerate(zip(b.column(group).to_pylist(), b.column(size).to_pylist())):
-                s = s or 0
-                if not started or g != now:
-                    now, fill, box, started = g, 0, 0, True
-                if fill and fill + s > capacity:
-                    fill, box = 0, box + 1
-                fill += s
-                out[k] = box
+            sizes = b.column(size).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total, out = np.r_[0, np.cumsum(sizes)], np.zeros(len(b), np.int32)
+            groups = b.column(group).to_pylist()
+            cuts = [0, *(k for k in range(1, len(groups)) if groups[k] != groups[k - 1]), len(groups)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if not started or groups[lo] != now:
+                    now, fill, box, started = groups[lo], 0, 0, True
+                k = lo
+                while k < hi:  # a step a container
+                    end = min(hi, int(np.searchsorted(total[k + 1 :], capacity - fill + total[k], "right")) + k)
+                    if end == k and fill:
+                        fill, box = 0, box + 1
+                        continue
+                    end = max(end, k + 1)
+                    out[k:end] = box
+                    fill += int(total[end] - total[k])
+                    k = end
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=names)
 
     return chunks.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, schema)

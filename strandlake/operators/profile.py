@@ -23,9 +23,9 @@ def base_histogram(reads: DataFrame, seq: str) -> DataFrame:
     return n.withColumn("code", (F.dense_rank().over(W.orderBy("sym")) - 1).cast("int"))  # at most one row a letter
 
 
-def quality_by_position(reads: DataFrame, qual: str) -> DataFrame:
-    """pos, q, n: counts by place, and over all places where pos is null; in one pass by grouping sets."""
-    rows = _letters(reads, qual)
+def quality_by_position(reads: DataFrame, qual: str, truncated: bool = False) -> DataFrame:
+    """pos, q, n: counts by place, and over all places where pos is null; in one pass by grouping sets. truncated: without trailing #."""
+    rows = _letters(reads.withColumn(qual, F.left(qual, kept_length(F.col(qual)))) if truncated else reads, qual)
     by = rows.groupBy("pos", "c").agg(F.count(F.lit(1)).alias("n"))
     return by.groupingSets([["pos", "c"], ["c"]], "pos", "c").agg(F.sum("n").alias("n")).select("pos", F.col("c").alias("q"), "n")
 
@@ -49,6 +49,11 @@ def quality_runs(reads: DataFrame, rec: str, qual: str, longest: int = 255) -> D
     return out.select("block", (F.row_number().over(W.partitionBy("block").orderBy("r", "k")) - 1).cast("int").alias("run_no"), "q", "run")
 
 
+def run_histogram(runs: DataFrame) -> DataFrame:
+    """q, run, n: how many runs of each letter and length there are."""
+    return runs.groupBy("q", "run").agg(F.count(F.lit(1)).alias("n"))
+
+
 def unrun(runs: DataFrame) -> DataFrame:
     """block, letters: the qualities of a block from its runs."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_no", F.expr("repeat(q, run)").alias("t")))), lambda x: x["t"]), "")
@@ -91,6 +96,39 @@ def title_profile(reads: DataFrame, rec: str, title: str) -> DataFrame:
     return s.withColumn("bits", F.when(F.col("is_numeric"), bits))
 
 
+#: Values of a field, or differences, up to which their histogram is kept.
+VALUES = 512
+
+
+def _numbered(reads: DataFrame, rec: str, title: str) -> DataFrame:
+    f = title_fields(reads, rec, title).withColumn("v", F.when(F.col("value").rlike("^[0-9]{1,18}$"), F.col("value").cast("bigint")))
+    return f.withColumn("d", F.col("v") - F.lag("v").over(W.partitionBy("sb_id", "field_no").orderBy(rec)))
+
+
+def title_values(reads: DataFrame, rec: str, title: str) -> DataFrame:
+    """sb_id, field_no, what (value or delta), v, n: histograms of numeric title fields and of their differences to the record before, where these have VALUES different ones at most."""
+    f = _numbered(reads, rec, title)
+    kinds = F.array(F.struct(F.lit("value").alias("what"), F.col("v").alias("v")), F.struct(F.lit("delta").alias("what"), F.col("d").alias("v")))
+    n = f.select("sb_id", "field_no", F.explode(kinds).alias("x")).where("x.v is not null").groupBy("sb_id", "field_no", "x.what", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    few = n.groupBy("sb_id", "field_no", "what").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= VALUES)
+    return n.join(few.drop("k"), ["sb_id", "field_no", "what"], "left_semi")
+
+
+def title_letters(reads: DataFrame, rec: str, title: str) -> DataFrame:
+    """sb_id, field_no, pos, c, n, is_fixed: letters by place in each title field, and whether the place has the same letter in all of the super-block's records that have it."""
+    n = _letters(title_fields(reads, rec, title), "value", "sb_id", "field_no").groupBy("sb_id", "field_no", "pos", "c").agg(F.count(F.lit(1)).alias("n"))
+    # at most a row a letter: the window is over a few
+    return n.withColumn("is_fixed", F.count(F.lit(1)).over(W.partitionBy("sb_id", "field_no", "pos")) == 1)
+
+
+def title_blocks(reads: DataFrame, rec: str, title: str) -> DataFrame:
+    """block, field_no, first_value, is_constant, delta, is_constant_delta of each block of 32 records: whether a field has the first record's value throughout, and whether its differences (delta: the smallest) are all the same."""
+    f = title_fields(reads, rec, title).withColumns({"block": F.expr(f"{rec} div {BLOCK}"), "v": F.when(F.col("value").rlike("^[0-9]{1,18}$"), F.col("value").cast("bigint"))})
+    f = f.withColumn("d", F.col("v") - F.lag("v").over(W.partitionBy("block", "field_no").orderBy(rec)))
+    s = f.groupBy("block", "field_no").agg(F.min_by("value", rec).alias("first_value"), (F.min("value") == F.max("value")).alias("is_constant"), F.min("d").alias("delta"), F.max("d").alias("__most"), (F.count("d") == F.count(F.lit(1)) - 1).alias("__all"))
+    return s.select("block", "field_no", "first_value", "is_constant", "delta", F.coalesce(F.col("__all") & (F.col("delta") == F.col("__most")), F.lit(False)).alias("is_constant_delta"))
+
+
 def quality_gap(reads: DataFrame, rec: str, qual: str) -> DataFrame:
     """block, rec, pos, gap: difference to the letter before in the block (the first to 33), zig-zag coded from 1."""
     rows = _letters(reads.withColumn("block", F.expr(f"{rec} div {BLOCK}")), qual, "block", rec)

@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def kmers(rows: DataFrame, key: list[str], seq: str, k: int, stride: int = 1) -> DataFrame:
-    """key, pos (from 0), kmer: all substrings of k letters that are A, C, G or T, at every ``stride``-th place."""
+def kmers(rows: DataFrame, key: list[str], seq: str, k: int, stride: int = 1, reach: int | None = None) -> DataFrame:
+    """key, pos (from 0), kmer: all substrings of k letters that are A, C, G or T, at every ``stride``-th place; with reach, also ``tail``, the ``reach`` letters from there, fewer at the end."""
     starts = F.sequence(F.lit(0), F.length(seq) - k, F.lit(stride))
     each = rows.where(F.length(seq) >= k).select(*key, seq, F.explode(starts).alias("pos"))
-    return each.select(*key, "pos", F.expr(f"substring({seq}, pos + 1, {k})").alias("kmer")).where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"))
+    tail = [F.expr(f"substring({seq}, pos + 1, {reach})").alias("tail")] if reach else []
+    return each.select(*key, "pos", F.expr(f"substring({seq}, pos + 1, {k})").alias("kmer"), *tail).where(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"))
 
 
 def kmer_counts(rows: DataFrame, seq: str, k: int) -> DataFrame:
@@ -26,19 +27,27 @@ def seed_cap(bases: int) -> int:
     return min((bases >> 20) + 2, 500)
 
 
-def seed_index(fragments: DataFrame, cap: int, k: int = 10, stride: int = 64) -> DataFrame:
-    """kmer, ref_seq_no, pos: at most the first ``cap`` places of each k-mer (a feature of the index). The rank limit is applied before the shuffle too."""
+def seed_index(fragments: DataFrame, cap: int, k: int = 10, stride: int = 64, reach: int | None = None) -> DataFrame:
+    """kmer, ref_seq_no, pos, with reach also tail: at most the first ``cap`` places of each k-mer (a feature of the index). The rank limit is applied before the shuffle too."""
     rank = F.row_number().over(W.partitionBy("kmer").orderBy("ref_seq_no", "pos"))
-    return kmers(fragments, ["ref_seq_no"], "bases", k, stride).withColumn("r", rank).where(F.col("r") <= cap).drop("r")
+    return kmers(fragments, ["ref_seq_no"], "bases", k, stride, reach).withColumn("r", rank).where(F.col("r") <= cap).drop("r")
 
 
-def first_seed_hits(reads: DataFrame, rec: str, seq: str, seeds: DataFrame, fragments: DataFrame, k: int = 10, verify: int = 16) -> DataFrame:
-    """rec, pos, ref_seq_no, ref_pos: each read's first place whose k-mer is a seed and whose next letters up to ``verify`` agree with the reference."""
-    mine = kmers(reads, [rec, seq], seq, k)
-    hits = mine.join(seeds.withColumnRenamed("pos", "ref_pos"), "kmer").join(fragments.select("ref_seq_no", "bases"), "ref_seq_no")
-    same = (F.length(seq) >= F.col("pos") + verify) & (F.expr(f"substring({seq}, pos + 1, {verify})") == F.expr(f"substring(bases, ref_pos + 1, {verify})"))
+def first_seed_hits(reads: DataFrame, rec: str, seq: str, seeds: DataFrame, verify: int = 16, k: int = 10, mismatches: int = 0) -> DataFrame:
+    """rec, pos, ref_seq_no, ref_pos: each read's first place whose k-mer is a seed and whose next letters up to ``verify`` fit the reference.
+
+    seeds: seed_index with reach ``verify``, so that a hit is judged by its own row and neither read nor reference is carried along. At most
+    ``mismatches`` of the letters behind the k-mer may differ. Places too near an end for ``verify`` letters do not count.
+    """
+    mine = kmers(reads, [rec], seq, k, 1, verify).where(F.length("tail") == verify)
+    hits = mine.join(seeds.where(F.length("tail") == verify).withColumnsRenamed({"pos": "ref_pos", "tail": "ref_tail"}), "kmer")
+    letters = lambda c: F.split(F.substring(c, k + 1, verify - k), "")
+    fits = F.col("tail") == F.col("ref_tail")
+    if mismatches:
+        wrong = F.size(F.filter(F.zip_with(letters("tail"), letters("ref_tail"), lambda x, y: x != y), lambda x: x))
+        fits = fits | (wrong <= mismatches)
     best = F.min(F.struct("pos", "ref_seq_no", "ref_pos"))
-    return hits.where(same).groupBy(rec).agg(best.alias("__b")).select(rec, "__b.pos", "__b.ref_seq_no", "__b.ref_pos")
+    return hits.where(fits).groupBy(rec).agg(best.alias("__b")).select(rec, "__b.pos", "__b.ref_seq_no", "__b.ref_pos")
 
 
 def n_runs(rows: DataFrame, key: str, seq: str) -> DataFrame:
@@ -51,7 +60,7 @@ def n_runs(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 def n_transfer(seq: Column, qual: Column) -> tuple[Column, Column]:
     """The sequence without N, and the qualities with 128 added where it was."""
-    moved = F.transform(F.sequence(F.lit(1), F.length(qual)), lambda i: F.when(F.substring(seq, i, F.lit(1)) == "N", F.chr(F.ascii(F.substring(qual, i, F.lit(1))) + 128)).otherwise(F.substring(qual, i, F.lit(1))))
+    moved = F.zip_with(F.split(seq, ""), F.split(qual, ""), lambda c, q: F.when(c == "N", F.chr(F.ascii(q) + 128)).otherwise(q))
     return F.regexp_replace(seq, "N", ""), F.when(F.length(qual) > 0, F.array_join(moved, "")).otherwise(qual)
 
 
@@ -62,7 +71,7 @@ def n_restore(seq: Column, qual: Column) -> tuple[Column, Column]:
     zero = F.struct(F.lit("").alias("s"), F.lit(0).alias("n"))
     step = lambda a, f: F.struct(F.concat(a["s"], F.when(f, F.lit("N")).otherwise(F.substring(seq, a["n"] + 1, F.lit(1)))).alias("s"), (a["n"] + F.when(f, 0).otherwise(1)).alias("n"))
     whole = F.when(F.length(qual) > 0, F.aggregate(flags, zero, step)["s"]).otherwise(seq)
-    plain = F.transform(F.sequence(F.lit(1), F.length(qual)), lambda i: F.when(F.ascii(F.substring(qual, i, F.lit(1))) >= 128, F.chr(F.ascii(F.substring(qual, i, F.lit(1))) - 128)).otherwise(F.substring(qual, i, F.lit(1))))
+    plain = F.transform(F.split(qual, ""), lambda q: F.when(F.ascii(q) >= 128, F.chr(F.ascii(q) - 128)).otherwise(q))
     return whole, F.when(F.length(qual) > 0, F.array_join(plain, "")).otherwise(qual)
 
 
@@ -71,7 +80,7 @@ _CODE = lambda c: F.instr(F.lit("ACGT"), c) - 1
 
 def to_colours(seq: Column) -> Column:
     """First letter and then, for each step, the exclusive or of both letters' codes as a digit. Null for other letters than A, C, G, T."""
-    digits = F.transform(F.sequence(F.lit(2), F.length(seq)), lambda i: _CODE(F.substring(seq, i, F.lit(1))).bitwiseXOR(_CODE(F.substring(seq, i - 1, F.lit(1)))).cast("string"))
+    digits = F.zip_with(F.split(F.substring(seq, F.lit(2), F.length(seq)), ""), F.split(F.left(seq, F.length(seq) - 1), ""), lambda x, y: _CODE(x).bitwiseXOR(_CODE(y)).cast("string"))
     return F.when(seq.rlike("^[ACGT]$"), seq).when(seq.rlike("^[ACGT]+$"), F.concat(F.substring(seq, 1, 1), F.array_join(digits, "")))
 
 
@@ -114,22 +123,23 @@ def unpack4(data: Column, n: Column) -> Column:
 
 def phred_gate(rows: DataFrame, rec: str, qual: str, width: int = 36, stride: int = 12, least: float = -1.0) -> DataFrame:
     """rec, pos, log_prob of the places at every ``stride``-th letter where the chance that all ``width`` letters are right exceeds 10**least."""
-    p = F.transform(F.sequence(F.lit(1), F.length(qual)), lambda i: F.when(F.ascii(F.substring(F.col(qual), i, F.lit(1))) <= 33, F.lit(-10.0)).otherwise(F.log10(1 - F.pow(F.lit(10.0), -(F.ascii(F.substring(F.col(qual), i, F.lit(1))) - 33) / 10.0))))
+    p = F.transform(F.split(qual, ""), lambda q: F.when(F.ascii(q) <= 33, F.lit(-10.0)).otherwise(F.log10(1 - F.pow(F.lit(10.0), -(F.ascii(q) - 33) / 10.0))))
     rows = rows.where(F.length(qual) >= width).select(rec, p.alias("p"))
     each = rows.select(rec, "p", F.explode(F.sequence(F.lit(0), F.size("p") - width, F.lit(stride))).alias("pos"))
     total = F.aggregate(F.slice("p", F.col("pos") + 1, width), F.lit(0.0), lambda a, x: a + x)
     return each.select(rec, "pos", F.round(total, 6).alias("log_prob")).where(F.col("log_prob") > least)
 
 
-def best_earlier_match(reads: DataFrame, rec: str, seq: str, k: int = 36, stride: int = 12, collisions: int = 10) -> DataFrame:
+def best_earlier_match(reads: DataFrame, rec: str, seq: str, k: int = 36, stride: int = 12, collisions: int = 10, places: DataFrame | None = None) -> DataFrame:
     """rec, pos, from_rec, from_pos, match_len: each read's longest repeat of an earlier read, of k letters at least.
 
     Earlier reads are indexed at every ``stride``-th place, at most the first ``collisions`` places of a k-mer (as the index is defined, so
-    that common k-mers do not meet all reads). Of equals the earliest read and place.
+    that common k-mers do not meet all reads). Of equals the earliest read and place. places: r, pos of the only places to index.
     """
     rows = reads.select(F.col(rec).alias("r"), F.col(seq).alias("s")).where(F.length("s") >= k)
     rank = F.row_number().over(W.partitionBy("kmer").orderBy("r", "pos"))
-    index = kmers(rows, ["r"], "s", k, stride).withColumn("n", rank).where(F.col("n") <= collisions).select("kmer", F.col("r").alias("from_rec"), F.col("pos").alias("from_pos"))
+    every = kmers(rows, ["r"], "s", k, stride)
+    index = (every if places is None else every.join(places, ["r", "pos"], "left_semi")).withColumn("n", rank).where(F.col("n") <= collisions).select("kmer", F.col("r").alias("from_rec"), F.col("pos").alias("from_pos"))
     hits = kmers(rows, ["r"], "s", k).join(index, "kmer").where("from_rec < r").select("r", "pos", "from_rec", "from_pos")
     j = hits.join(rows, "r").join(rows.select(F.col("r").alias("from_rec"), F.col("s").alias("t")), "from_rec")
     most = F.least(F.length("s") - F.col("pos"), F.length("t") - F.col("from_pos"))
@@ -142,15 +152,45 @@ def best_earlier_match(reads: DataFrame, rec: str, seq: str, k: int = 36, stride
     return j.groupBy("r").agg(best.alias("__b")).select(F.col("r").alias(rec), "__b.pos", "__b.from_rec", "__b.from_pos", "__b.match_len")
 
 
+def matched(matches: DataFrame, reads: DataFrame, rec: str, seq: str) -> DataFrame:
+    """match_id, letters: what each match (match_id, rec_no, rec_offset, match_len) stands for, cut from the read that it names; null where that is not there or too short."""
+    rows = reads.select(F.col(rec).alias("rec_no"), F.col(seq).alias("s"))
+    j = matches.select("match_id", "rec_no", "rec_offset", "match_len").distinct().join(rows, "rec_no", "left")
+    fits = (F.col("rec_offset") >= 0) & (F.col("match_len") > 0) & (F.col("rec_offset") + F.col("match_len") <= F.length("s"))
+    return j.select("match_id", F.when(fits, F.expr("substring(s, rec_offset + 1, match_len)")).alias("letters"))
+
+
+def gated_matches(reads: DataFrame, rec: str, seq: str, qual: str, k: int = 36, stride: int = 12, collisions: int = 10, least: float = -1.0) -> DataFrame:
+    """best_earlier_match with an index of those places only whose ``k`` letters are right with a chance above 10**least (phred_gate)."""
+    gate = phred_gate(reads, rec, qual, k, stride, least).select(F.col(rec).alias("r"), "pos")
+    return best_earlier_match(reads, rec, seq, k, stride, collisions, gate)
+
+
 def longest_shared_prefix(reads: DataFrame, rec: str, seq: str, least: int = 20) -> DataFrame:
-    """rec, prefix_len: the longest beginning of ``least`` letters or more that a read shares with another one."""
-    rows = reads.select(rec, seq).where(F.length(seq) >= least).distinct()
-    head = F.substring(F.col(seq), 1, least)
-    shared = rows.groupBy(head.alias("h")).agg(F.min(rec).alias("lo"), F.max(rec).alias("hi")).where("lo < hi").select("h")
-    rows = rows.withColumn("h", head).join(shared, "h").drop("h")
-    each = rows.select(rec, F.explode(F.sequence(F.lit(least), F.length(seq))).alias("n"), seq).select(rec, "n", F.expr(f"substring({seq}, 1, n)").alias("p"))
-    common = each.groupBy("n", "p").agg(F.min(rec).alias("lo"), F.max(rec).alias("hi")).where("lo < hi").select("n", "p")
-    return each.join(common, ["n", "p"]).groupBy(rec).agg(F.max("n").cast("int").alias("prefix_len"))
+    """rec, prefix_len: the longest beginning of ``least`` letters or more that a read shares with another one.
+
+    Of all texts in order the one before or behind has the longest common beginning. So texts with a common head are sorted, and each is
+    held against its neighbours; equal texts are one row before they are sorted.
+    """
+    rows = reads.select(F.col(rec).alias("r"), F.col(seq).alias("s")).where(F.col(rec).isNotNull() & (F.length(seq) >= least))
+    texts = rows.groupBy("s").agg(F.count_distinct("r").alias("n"))
+    head = W.partitionBy(F.substring("s", 1, least)).orderBy("s")
+    near = texts.select("s", "n", F.lag("s").over(head).alias("a"), F.lead("s").over(head).alias("b")).where("a is not null or b is not null or n > 1")
+
+    def common(x: str, y: str | None) -> int:
+        if y is None:
+            return 0
+        m = min(len(x), len(y))
+        differ = np.frombuffer(x[:m].encode("utf-32-le"), np.uint32) != np.frombuffer(y[:m].encode("utf-32-le"), np.uint32)
+        return int(differ.argmax()) if differ.any() else m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            n = [len(x) if k > 1 else max(common(x, y), common(x, z)) for x, k, y, z in zip(*(p.column(c).to_pylist() for c in ("s", "n", "a", "b")))]
+            yield pa.RecordBatch.from_arrays([p.column("s"), pa.array(n, pa.int32())], names=["s", "prefix_len"])
+
+    found = near.mapInArrow(run, "s string, prefix_len int").where(F.col("prefix_len") >= least)
+    return rows.join(found, "s").select(F.col("r").alias(rec), "prefix_len").distinct()
 
 
 def align(ref: str, read: str) -> tuple[str, str]:

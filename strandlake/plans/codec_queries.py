@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.operators import codec, profile, sketch
-from strandlake.plans.sequence_queries import _R, _reads
+from strandlake.plans.sequence_queries import _Q, _reads
 from strandlake.plans.store_queries import _IX, _UP, _index, _index_rows, _uploads
 from strandlake.plans.tables import table
+from strandlake.runtime import written
 
-#: Of the filters in the SQL texts; the queries' filters have this size for up to 4,096 fingerprints and grow with more.
-SIZE = sketch.LEAST
+#: DuckDB: bits of a filter for so many fingerprints, by the rule of sketch.size_for.
+_BITS_OF = f"greatest({sketch.LEAST}, 1::bigint << ceil(log2(greatest({sketch.BITS_PER_KEY} * ({{}}), 1)))::int)"
 
 
 def _size(keys, by=None) -> int:
@@ -55,6 +56,17 @@ def master_hits(s, d):
     return _uploads(s, d).select("upload_id", "fp").distinct().join(known, "fp").groupBy("upload_id", "node").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def bloom_rate(s, d):
+    """One row: the filter's bits and those set, uploaded fingerprints that the index does not have, and those of them that the filter affirms.
+
+    The filter is stored, and read again for the probe."""
+    ix, size = _index(s, d), _size(_index_rows(s, d))
+    filled = written(sketch.bloom(ix, "fp", size), "filter")
+    new = _uploads(s, d).select("fp").distinct().join(ix.select("fp").distinct(), "fp", "left_anti")
+    wrong = sketch.probe(new, "fp", filled, size)
+    return filled.agg(F.lit(size).cast("bigint").alias("bits"), F.count(F.lit(1)).alias("filled")).crossJoin(new.agg(F.count(F.lit(1)).alias("unknown"))).crossJoin(wrong.agg(F.count(F.lit(1)).alias("affirmed")))
+
+
 def huffman_bits(s, d):
     """Bits of all qualities in their Huffman code, and by place in a code for each."""
     n = profile.quality_by_position(_reads(s, d), "qual")
@@ -83,20 +95,29 @@ def record_extract(s, d):
     return codec.extract_records(codec.encode_fastq(reads), wanted).select("rec_no", "title", "seq", "qual")
 
 
-QUERIES = {f.__name__: f for f in (bloom_build, bloom_probe, bloom_bitmap, counting_bloom_delete, master_hits, huffman_bits, fastq_roundtrip, fasta_roundtrip, record_extract)}
+QUERIES = {f.__name__: f for f in (bloom_build, bloom_probe, bloom_bitmap, counting_bloom_delete, master_hits, huffman_bits, bloom_rate, fastq_roundtrip, fasta_roundtrip, record_extract)}
 
-_SLOTS = "list_distinct([" + ", ".join(f"('0x' || substr(fp, {1 + 6 * i}, 6))::bigint % {SIZE}" for i in range(6)) + "])"
+_SLOTS = "list_distinct([" + ", ".join(f"('0x' || substr(fp, {1 + 6 * i}, 6))::bigint % (select size from z)" for i in range(6)) + "])"
 _BITS = f"bi as (select distinct unnest({_SLOTS}) as slot from ix)"
+_Z = f"z as (select {_BITS_OF.format('count(distinct fp)')} as size from ix)"
+_ZN = f"z as (select {_BITS_OF.format('max(n)')} as size from (select count(distinct fp) as n from ix group by container_id % 4))"
 _ASK = f"sl as (select fp, len(sl) as need, unnest(sl) as slot from (select fp, {_SLOTS} as sl from (select distinct fp from {{}})))"
 
 SQL = {
-    "bloom_build": f"with {_IX}, {_BITS} select slot from bi",
-    "bloom_probe": f"with {_IX}, {_UP}, {_BITS}, {_ASK.format('up')} select fp from sl join bi using (slot) group by fp having count(*) = any_value(need)",
-    "bloom_bitmap": f"with {_IX}, {_BITS} select slot // 32768 as bucket, count(*) as bits from bi group by 1",
-    "counting_bloom_delete": f"""with {_IX}, rw as (select distinct fp, batch_no from ix), ch as (select fp, 1 as n from rw union all select fp, -1 from rw where batch_no = 1),
+    "bloom_build": f"with {_IX}, {_Z}, {_BITS} select slot from bi",
+    "bloom_probe": f"with {_IX}, {_UP}, {_Z}, {_BITS}, {_ASK.format('up')} select fp from sl join bi using (slot) group by fp having count(*) = any_value(need)",
+    "bloom_bitmap": f"with {_IX}, {_Z}, {_BITS} select slot // 32768 as bucket, count(*) as bits from bi group by 1",
+    "counting_bloom_delete": f"""with {_IX}, {_Z}, rw as (select distinct fp, batch_no from ix), ch as (select fp, 1 as n from rw union all select fp, -1 from rw where batch_no = 1),
         bi as (select slot from (select n, unnest({_SLOTS}) as slot from ch) group by 1 having sum(n) > 0), {_ASK.format('ix')} select fp from sl join bi using (slot) group by fp having count(*) = any_value(need)""",
-    "master_hits": f"""with {_IX}, {_UP}, bi as (select distinct (container_id % 4)::int as node, unnest({_SLOTS}) as slot from ix), {_ASK.format('up')},
+    "master_hits": f"""with {_IX}, {_UP}, {_ZN}, bi as (select distinct (container_id % 4)::int as node, unnest({_SLOTS}) as slot from ix), {_ASK.format('up')},
         k as (select node, fp from sl join bi using (slot) group by 1, 2 having count(*) = any_value(need)) select upload_id, node, count(*) as hits from (select distinct upload_id, fp from up) join k using (fp) group by 1, 2""",
+    "bloom_rate": f"""with {_IX}, {_UP}, {_Z}, {_BITS}, nw as (select distinct fp from up where fp not in (select fp from ix)), {_ASK.format('nw')},
+        hi as (select fp from sl join bi using (slot) group by fp having count(*) = any_value(need))
+        select (select size from z)::bigint as bits, (select count(*) from bi) as filled, (select count(*) from nw) as unknown, (select count(*) from hi) as affirmed""",
+    "huffman_bits": f"""with recursive {_Q[5:]}, n as (select pos::int as pos, c as q, count(*) as n from c group by grouping sets ((pos, c), (c))),
+        h as (select pos, list_sort(list(n)) as ws, case when count(*) = 1 then sum(n)::bigint else 0::bigint end as bits from n group by pos
+              union all select pos, list_sort(list_append(ws[3:], ws[1] + ws[2])), (bits + ws[1] + ws[2])::bigint from h where len(ws) > 1)
+        select pos, bits from h where len(ws) = 1""",
     "fastq_roundtrip": "select 0::bigint as mismatches",
     "fasta_roundtrip": "select 0::bigint as mismatches",
     "record_extract": "select rec_no, any_value(title) as title, any_value(seq) as seq, any_value(qual) as qual from fastq_reads where rec_no in (select rec_no from lz_matches) group by rec_no",

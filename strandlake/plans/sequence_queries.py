@@ -35,6 +35,26 @@ def quality_by_position(s, d):
     return profile.quality_by_position(_reads(s, d), "qual")
 
 
+def quality_kept_by_position(s, d):
+    return profile.quality_by_position(_reads(s, d), "qual", True)
+
+
+def quality_run_histogram(s, d):
+    return profile.run_histogram(profile.quality_runs(_reads(s, d), "rec_no", "qual"))
+
+
+def title_values(s, d):
+    return profile.title_values(_reads(s, d), "rec_no", "title")
+
+
+def title_letters(s, d):
+    return profile.title_letters(_reads(s, d), "rec_no", "title")
+
+
+def title_blocks(s, d):
+    return profile.title_blocks(_reads(s, d), "rec_no", "title")
+
+
 def quality_transitions(s, d):
     return profile.quality_transitions(_reads(s, d), "qual")
 
@@ -74,7 +94,13 @@ def seed_index_capped(s, d):
 
 def seed_hits_first(s, d):
     f = _fragments(s, d)
-    return sequence.first_seed_hits(_reads(s, d), "rec_no", "seq", sequence.seed_index(f, _cap(f), 10, 8), f, 10, 12)
+    return sequence.first_seed_hits(_reads(s, d), "rec_no", "seq", sequence.seed_index(f, _cap(f), 10, 8, 12), 12)
+
+
+def seed_hits_near(s, d):
+    """First seed hits with up to two other letters among the six behind the seed."""
+    f = _fragments(s, d)
+    return sequence.first_seed_hits(_reads(s, d), "rec_no", "seq", sequence.seed_index(f, _cap(f), 10, 8, 16), 16, mismatches=2)
 
 
 def n_runs(s, d):
@@ -114,6 +140,14 @@ def lz_best_match(s, d):
     return sequence.best_earlier_match(_reads(s, d), "rec_no", "seq")
 
 
+def lz_gated_match(s, d):
+    return sequence.gated_matches(_reads(s, d), "rec_no", "seq", "qual")
+
+
+def match_decode(s, d):
+    return sequence.matched(table(s, d, "lz_matches"), _reads(s, d), "rec_no", "seq")
+
+
 def longest_shared_prefix(s, d):
     return sequence.longest_shared_prefix(_reads(s, d), "rec_no", "seq")
 
@@ -144,7 +178,8 @@ def fasta_scan(s, d):
 QUERIES = {f.__name__: f for f in (
     base_histogram, quality_by_position, quality_transitions, quality_runs, quality_gap, trailing_trunc, encoder_choice, title_profile, read_shape, kmer_counts,
     seed_index_capped, seed_hits_first, n_runs, n_transfer, n_transfer_roundtrip, colour_space, codec_roundtrips, phred_gate, lz_best_match,
-    longest_shared_prefix, edit_script_roundtrip, fastq_scan, fasta_scan,
+    longest_shared_prefix, edit_script_roundtrip, fastq_scan, fasta_scan, seed_hits_near, quality_kept_by_position, quality_run_histogram, title_values, title_letters,
+    title_blocks, lz_gated_match, match_decode,
 )}
 
 _R = r"""r as (select rec_no, any_value(regexp_replace(title, '\r+$', '')) as title, any_value(replace(upper(regexp_replace(seq, '\r+$', '')), '.', 'N')) as seq,
@@ -159,16 +194,40 @@ _FR = rf"""{_FA}, fb as (select (row_number() over (order by chunk_id, seq_no) -
 
 def _seeds(stride: int) -> str:
     return f"""{_FR}, sd as (select kmer, ref_seq_no, pos from (select ref_seq_no, i as pos, substr(bases, i + 1, 10) as kmer from (select *, unnest(range(0, len(bases) - 9, {stride})) as i from fb where len(bases) >= 10))
-        qualify row_number() over (partition by kmer order by ref_seq_no, pos) <= 2)"""
+        qualify row_number() over (partition by kmer order by ref_seq_no, pos) <= (select least(500, sum(len(bases))::bigint // 1048576 + 2) from fb))"""
+
+
+def _hits(verify: int, fits: str) -> str:
+    return f"""with {_R}, {_seeds(8)}, k as (select rec_no, seq, i as pos, substr(seq, i + 1, 10) as kmer from (select rec_no, seq, unnest(range(0, len(seq) - 9)) as i from r where len(seq) >= 10)),
+        h as (select rec_no, k.pos, ref_seq_no, sd.pos as ref_pos from k join sd using (kmer) join fb using (ref_seq_no) where len(seq) >= k.pos + {verify} and len(bases) >= sd.pos + {verify} and {fits})
+        select rec_no, pos::int as pos, ref_seq_no, ref_pos::int as ref_pos from h qualify row_number() over (partition by rec_no order by pos, ref_seq_no, ref_pos) = 1"""
+
+
+_T = rf"""with {_R}, p as (select rec_no // 16384 as sb_id, rec_no, regexp_split_to_array(title, '[ ._,=:/\-]') as a from r where title is not null), f as (select sb_id, rec_no, (i - 1)::int as field_no, a[i] as value from (select *, unnest(range(1, len(a) + 1)) as i from p))"""
+_GATE = """p as (select rec_no, pos, case when ascii(c) <= 33 then -10 else log10(1 - pow(10, -(ascii(c) - 33) / 10.0)) end as p from c),
+        w as (select rec_no, pos, sum(p) over (partition by rec_no order by pos rows between current row and 35 following) as s, count(*) over (partition by rec_no order by pos rows between current row and 35 following) as n from p),
+        ga as (select rec_no, pos from w where n = 36 and pos % 12 = 0 and round(s, 6) > -1)"""
+
+
+def _lz(places: str) -> str:
+    """Matches of 36 letters and more with an earlier read, indexed at every twelfth place, ten places a k-mer."""
+    return f"""{_Q}, {_GATE}, l as (select rec_no, seq, i as pos, substr(seq, i + 1, 36) as kmer from (select rec_no, seq, unnest(range(0, len(seq) - 35)) as i from r where len(seq) >= 36)),
+        ok as (select * from l where regexp_full_match(kmer, '[ACGT]{{36}}')),
+        ix as (select kmer, rec_no as from_rec, pos as from_pos, seq as t from (select * from ok {places}) where pos % 12 = 0 qualify row_number() over (partition by kmer order by rec_no, pos) <= 10),
+        h as (select rec_no, pos, from_rec, from_pos, substr(seq, pos + 1) as a, substr(t, from_pos + 1) as b from ok join ix using (kmer) where from_rec < rec_no),
+        m as (select *, coalesce(list_min(list_filter(range(37, least(len(a), len(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b)))::int as match_len from h)
+        select rec_no, pos::int as pos, from_rec, from_pos::int as from_pos, match_len from m qualify row_number() over (partition by rec_no order by match_len desc, from_rec, from_pos, pos) = 1"""
+
 
+_RUNS = f"""{_Q}, s as (select *, (c is distinct from lag(c) over (partition by block order by rec_no, pos))::int as st from c), t as (select *, sum(st) over (partition by block order by rec_no, pos) as r from s),
+        u as (select block, r, any_value(c) as q, count(*) as n from t group by 1, 2), v as (select *, unnest(range(0, (n - 1) // 255 + 1)) as k from u)"""
 
 SQL = {
+    "quality_run_histogram": f"{_RUNS} select q, least(255, n - k * 255)::int as run, count(*) as n from v group by 1, 2",
     "base_histogram": f"with {_R}, c as (select unnest(string_split(seq, '')) as sym from r where seq <> '') select sym, count(*) as n, (dense_rank() over (order by sym) - 1)::int as code from c group by 1",
     "quality_by_position": f"{_Q} select pos::int as pos, c as q, count(*) as n from c group by grouping sets ((pos, c), (c))",
     "quality_transitions": f"{_Q} select prev, c as q, count(*) as n from (select c, lag(c) over (partition by rec_no order by pos) as prev from c) where prev is not null group by 1, 2",
-    "quality_runs": f"""{_Q}, s as (select *, (c is distinct from lag(c) over (partition by block order by rec_no, pos))::int as st from c), t as (select *, sum(st) over (partition by block order by rec_no, pos) as r from s),
-        u as (select block, r, any_value(c) as q, count(*) as n from t group by 1, 2), v as (select *, unnest(range(0, (n - 1) // 255 + 1)) as k from u)
-        select block, (row_number() over (partition by block order by r, k) - 1)::int as run_no, q, least(255, n - k * 255)::int as run from v""",
+    "quality_runs": f"{_RUNS} select block, (row_number() over (partition by block order by r, k) - 1)::int as run_no, q, least(255, n - k * 255)::int as run from v",
     "quality_gap": f"""{_Q}, s as (select block, rec_no, pos, ascii(c) - coalesce(lag(ascii(c)) over (partition by block order by rec_no, pos), 33) as d from c)
         select block, rec_no, pos::int as pos, ((case when d > 0 then 2 * d - 1 else -2 * d end) + 1)::int as gap from s""",
     "trailing_trunc": f"with {_R} select rec_no, greatest(len(rtrim(qual, '#')), 1)::int as kept from r where qual <> ''",
@@ -185,9 +244,20 @@ SQL = {
         bool_or(substr(seq, 2, 1) in ('0', '1', '2', '3')) as colour_space, count(distinct substr(seq, 1, 1)) = 1 as same_first from r group by 1""",
     "kmer_counts": f"with {_R} select kmer, count(*) as n from (select substr(seq, i + 1, 10) as kmer from (select seq, unnest(range(0, len(seq) - 9)) as i from r where len(seq) >= 10)) where regexp_full_match(kmer, '[ACGT]{{10}}') group by 1",
     "seed_index_capped": f"with {_seeds(64)} select kmer, ref_seq_no, pos::int as pos from sd",
-    "seed_hits_first": f"""with {_R}, {_seeds(8)}, k as (select rec_no, seq, i as pos, substr(seq, i + 1, 10) as kmer from (select rec_no, seq, unnest(range(0, len(seq) - 9)) as i from r where len(seq) >= 10)),
-        h as (select rec_no, k.pos, ref_seq_no, sd.pos as ref_pos from k join sd using (kmer) join fb using (ref_seq_no) where len(seq) >= k.pos + 12 and substr(seq, k.pos + 1, 12) = substr(bases, sd.pos + 1, 12))
-        select rec_no, pos::int as pos, ref_seq_no, ref_pos::int as ref_pos from h qualify row_number() over (partition by rec_no order by pos, ref_seq_no, ref_pos) = 1""",
+    "seed_hits_first": _hits(12, "substr(seq, k.pos + 1, 12) = substr(bases, sd.pos + 1, 12)"),
+    "seed_hits_near": _hits(16, "hamming(substr(seq, k.pos + 1, 16), substr(bases, sd.pos + 1, 16)) <= 2"),
+    "quality_kept_by_position": f"{_Q.replace('unnest(range(0, len(qual)))', "unnest(range(0, greatest(len(rtrim(qual, '#')), 1)))")} select pos::int as pos, c as q, count(*) as n from c group by grouping sets ((pos, c), (c))",
+    "title_values": f"""{_T}, n as (select *, case when regexp_full_match(value, '[0-9]{{1,18}}') then value::bigint end as v from f), g as (select *, v - lag(v) over (partition by sb_id, field_no order by rec_no) as d from n),
+        h as (select sb_id, field_no, 'value' as what, v, count(*) as n from g where v is not null group by 1, 2, 4 union all select sb_id, field_no, 'delta', d, count(*) from g where d is not null group by 1, 2, 4)
+        select * from h qualify count(*) over (partition by sb_id, field_no, what) <= 512""",
+    "title_letters": f"""{_T}, c as (select sb_id, field_no, (i - 1)::int as pos, substr(value, i, 1) as c from (select *, unnest(range(1, len(value) + 1)) as i from f))
+        select *, count(*) over (partition by sb_id, field_no, pos) = 1 as is_fixed from (select sb_id, field_no, pos, c, count(*) as n from c group by 1, 2, 3, 4)""",
+    "title_blocks": f"""{_T}, n as (select *, rec_no // 32 as block, case when regexp_full_match(value, '[0-9]{{1,18}}') then value::bigint end as v from f), g as (select *, v - lag(v) over (partition by block, field_no order by rec_no) as d from n)
+        select block, field_no, arg_min(value, rec_no) as first_value, min(value) = max(value) as is_constant, min(d) as delta, coalesce(count(d) = count(*) - 1 and min(d) = max(d), false) as is_constant_delta from g group by 1, 2""",
+    "lz_best_match": _lz(""),
+    "lz_gated_match": _lz("where (rec_no, pos) in (select (rec_no, pos) from ga)"),
+    "match_decode": f"""with {_R}, m as (select distinct match_id, rec_no, rec_offset, match_len from lz_matches)
+        select match_id, case when rec_offset >= 0 and match_len > 0 and rec_offset + match_len <= len(seq) then substr(seq, rec_offset + 1, match_len) end as letters from m left join r using (rec_no)""",
     "n_runs": f"""with {_R}, c as (select rec_no, i as pos, substr(seq, i + 1, 1) = 'N' as n from (select rec_no, seq, unnest(range(0, len(seq))) as i from r where contains(seq, 'N'))),
         s as (select *, sum((not n)::int) over (partition by rec_no order by pos) as loc from c) select rec_no, loc::bigint as loc, count(*) as cnt from s where n group by 1, 2""",
     "n_transfer": f"with {_R} select rec_no, replace(seq, 'N', '') as bare, (len(seq) - len(replace(seq, 'N', '')))::int as moved from r where len(seq) = len(qual) and qual <> ''",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.functions import formatting, hashing
 from strandlake.functions.fingerprints import cid_part, fingerprint
-from strandlake.operators import catalog, chunking, dedup, recipes, routing
+from strandlake.operators import catalog, chunking, containers, dedup, recipes, routing
 from strandlake.plans.tables import FP_SQL, table
+from strandlake.runtime import hot_keys, shared_path, skew_safe_join
 
 CHUNK = 512
 NODES = 4
@@ -116,8 +118,6 @@ def sampled_fingerprints(s, d):
 def champion_container(s, d):
     """Per upload the container that most of its chunks' first index entries are in."""
     first = dedup.first_places(_index(s, d).select("fp", "container_id", "arrival_no"), "fp", ["arrival_no"]).select("fp", "container_id")
-    from strandlake.runtime import hot_keys, skew_safe_join
-
     rows = _uploads(s, d).select("upload_id", "chunk_id", "fp")
     hits = skew_safe_join(rows, first, ["fp"], "inner", hot_keys(rows, "fp"))
     return dedup.champion(hits, ["upload_id"], "container_id", "chunk_id")
@@ -147,11 +147,9 @@ def load_aware_route(s, d):
     boxes = table(s, d, "containers").where("deleted_at is null").groupBy("container_id").agg(F.max("compressor_id").alias("node"))
     first = dedup.first_places(_index(s, d).select("fp", "container_id", "arrival_no"), "fp", ["arrival_no"]).join(boxes, "container_id").select("fp", "node")
     usage = boxes.groupBy("node").agg(F.count(F.lit(1)).alias("used"))
-    from strandlake.runtime import hot_keys, skew_safe_join
-
     rows = _uploads(s, d).select("upload_id", "fp")
     hits = skew_safe_join(rows, first, ["fp"], "inner", hot_keys(rows, "fp")).groupBy("upload_id", "node").agg(F.count(F.lit(1)).alias("n"))
-    return routing.routed(hits, usage, "upload_id", "node", "n", "used")
+    return routing.routed(table(s, d, "chunks"), hits, usage, "upload_id", "node", "n", "used")
 
 
 def range_read_chunks(s, d):
@@ -211,6 +209,94 @@ def whole_object_dedup(s, d):
     return rows.where("md5 is not null").groupBy("md5").agg(F.count(F.lit(1)).alias("copies"), F.sum("n").cast("bigint").alias("bytes"))
 
 
+def duplicate_chunks(s, d):
+    """Chunks of documents that an earlier place already has, with that place."""
+    rows = _doc_chunks(s, d)
+    first = dedup.first_places(rows, "sha", ["doc_id", "file_offset"]).select("sha", F.col("doc_id").alias("first_doc"), F.col("file_offset").alias("first_offset"))
+    both = skew_safe_join(rows, first, ["sha"], "inner", hot_keys(rows, "sha"))
+    return both.where((F.col("doc_id") != F.col("first_doc")) | (F.col("file_offset") != F.col("first_offset"))).distinct()
+
+
+def range_read_bytes(s, d):
+    """Bytes 700 to 2,699 of each document, from its chunks."""
+    docs = table(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("__d"))
+    maps = _doc_chunks(s, d).select("doc_id", "file_offset", F.col("chunk_size").cast("bigint").alias("chunk_size"))
+    ask = docs.select("doc_id", F.lit(700).cast("bigint").alias("start"), F.lit(2000).cast("bigint").alias("length"))
+    parts = recipes.overlapping(ask, maps, "doc_id", "file_offset", "chunk_size", "start", "length")
+    bytes_ = docs.join(parts, "doc_id").select("doc_id", "file_offset", F.expr("substring(__d, int(file_offset) + from_byte + 1, take)").alias("piece"))
+    return recipes.reassembled(bytes_, "doc_id", "file_offset", "piece").select("doc_id", F.octet_length("piece").alias("n"), F.md5("piece").alias("md5"))
+
+
+def container_write_read(s, d):
+    """Documents' chunks written into containers of 64 KiB, a folder each, and read back: each chunk cut from its container."""
+    whole = table(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("__d"))
+    rows = dedup.first_places(_doc_chunks(s, d), "sha", ["doc_id", "file_offset"])
+    rows = whole.join(rows, "doc_id").select("sha", F.pmod("doc_id", F.lit(8)).cast("int").alias("stream"), F.expr("substring(__d, int(file_offset) + 1, chunk_size)").alias("data"))
+    made = containers.write(rows, "stream", "sha", "data", 64 << 10, shared_path(s, "containers"))
+    back = containers.slices(made, s)
+    return back.select("sha", F.octet_length("data").alias("n"), F.sha1("data").alias("again"))
+
+
+def prioritised_probe(s, d):
+    """Where each upload's chunks are found first: in the open containers (the youngest generation), in the cache, in the index."""
+    open_ = table(s, d, "containers").where("deleted_at is null and generation > 1").select("container_id").distinct()
+    cache = table(s, d, "container_fps").withColumn("fp", _fp()).where("fp is not null and container_id is not null").select("fp", "container_id")
+    index = _index(s, d).select("fp", "container_id")
+    levels = [cache.join(open_, "container_id", "left_semi"), cache, index]
+    return dedup.first_level(_uploads(s, d).select("chunk_id", "fp"), levels, "fp", "container_id")
+
+
+def master_arrays(s, d):
+    """Fingerprints by the node that their leading bits name, in numbered batches of 1,000: what is sent to each."""
+    fps = _uploads(s, d).select("fp").distinct().withColumn("node", hashing.node_of_sha("fp", NODES))
+    return dedup.numbered_batches(fps, ["node"], "fp", 1000).select("node", "batch", "fp")
+
+
+def delete_order(s, d):
+    """Map rows of deleted files in the order in which containers give up their chunks: by container, from its end."""
+    rows = _deleted_rows(s, d).where("container_id is not null")
+    by = W.partitionBy("container_id").orderBy(F.desc_nulls_last("container_offset"), "recipe_id")
+    return rows.select("container_id", "recipe_id", F.row_number().over(by).alias("turn"))
+
+
+def segment_lookup(s, d):
+    """Each file content's segments by offset, asked for by (md5, offset): the path, or none."""
+    rows = table(s, d, "files").where("md5 is not null and filesize is not null")
+    at = rows.select("md5", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("filesize") - 1, F.lit(0)), F.lit(1 << 16).cast("bigint"))).alias("file_offset"), "file_id")
+    segments = at.groupBy("md5", "file_offset").agg(F.min("file_id").alias("n")).select("md5", "file_offset", catalog.output_path("/data", "n").alias("path"))
+    asked = rows.select("md5", F.explode(F.array(*(F.lit(x).cast("bigint") for x in (0, 1 << 16, 5)))).alias("file_offset")).distinct()
+    return catalog.segment(segments, asked)
+
+
+def catalog_locations(s, d):
+    """Contents with the paths of their segments, in order of offset."""
+    rows = table(s, d, "files").where("md5 is not null and file_id is not null").select("md5", (F.col("file_id") % 3 * 65536).alias("file_offset"), catalog.output_path("/data", "file_id").alias("path"))
+    return catalog.locations(rows).select("md5", F.to_json("off_loc").alias("locations"))
+
+
+def recyclable_ids(s, d):
+    """Container numbers that could be given out again at the end of 2026."""
+    return containers.recyclable(table(s, d, "containers"), F.lit("2026-12-31 00:00:00").cast("timestamp"))
+
+
+def store_ratio(s, d):
+    """Bytes as they came, bytes kept once, and the factor between them, per source of documents."""
+    rows = chunk_dedup_summary(s, d)
+    return rows.select("source", "bytes", "unique_bytes", F.round(F.col("bytes") / F.col("unique_bytes"), 6).alias("factor"))
+
+
+def cdc_dedup_summary(s, d):
+    """Content-defined chunks of documents: how many documents they cover, their bytes."""
+    rows = cdc_chunks(s, d)
+    return rows.agg(F.count_distinct("doc_id").alias("documents"), F.sum("chunk_size").alias("bytes"), (F.sum("chunk_size") >= F.count_distinct("sha")).alias("shared"))
+
+
+def low_keys(s, d):
+    """The low 16 bits of each file key's digest."""
+    keys = table(s, d, "files").where("file_key is not null").select("file_key").distinct()
+    return keys.select("file_key", hashing.low_key(F.encode("file_key", "UTF-8")).alias("low"))
+
+
 def hash_family(s, d):
     keys = table(s, d, "files").where("file_key is not null").select("file_key").distinct()
     return keys.select("file_key", *(hashing.string_hash("file_key", n).alias(n) for n in (*hashing.FAMILY, "crc", "rabin", "rolling")), hashing.low_key(F.encode("file_key", "UTF-8")).alias("low"))
@@ -233,7 +319,8 @@ QUERIES = {f.__name__: f for f in (
     fixed_chunks, chunk_dedup_summary, first_occurrence_chunks, known_chunks, fp_index_refcounts, index_rebuild, refcounts_after_delete, reclaimable_containers,
     free_container_ids, sampled_fingerprints, champion_container, container_packing, placement_md5, placement_stateless, bucket_counts, load_aware_route,
     range_read_chunks, recipe_node_runs, recipe_merge, reassemble_md5, catalog_list, catalog_lookup, catalog_merge, catalog_delete, whole_object_dedup,
-    hash_family, cdc_chunks, cdc_coverage,
+    hash_family, low_keys, cdc_chunks, cdc_coverage, cdc_dedup_summary, duplicate_chunks, range_read_bytes, container_write_read, recyclable_ids, prioritised_probe,
+    master_arrays, delete_order, segment_lookup, store_ratio, catalog_locations,
 )}
 
 _CH = f"""
@@ -277,8 +364,11 @@ SQL = {
     "load_aware_route": f"""with {_IX}, {_UP}, {_FIRST}, bo as (select container_id, max(compressor_id) as node from containers where deleted_at is null group by 1),
         us as (select node, count(*) as used from bo group by 1), me as (select floor(avg(used)) as mean from us),
         h as (select upload_id, node, count(*) as n from up join fi using (fp) join bo using (container_id) group by 1, 2),
-        s as (select upload_id, node, case when used > mean then n * mean / used else n::double end as score from h join us using (node), me)
-        select upload_id, node, round(score, 6) as score from s qualify row_number() over (partition by upload_id order by score desc, node) = 1""",
+        s as (select upload_id, node, case when used > mean then n * mean / used else n::double end as score from h join us using (node), me),
+        b as (select upload_id, node, score from s qualify row_number() over (partition by upload_id order by score desc, node) = 1),
+        no as (select list_sort(list(node)) as nodes from us)
+        select upload_id, coalesce(node, nodes[1 + ('0x' || substr(md5(upload_id::varchar), 1, 4))::bigint % len(nodes)]) as node, round(score, 6) as score
+        from (select distinct upload_id from chunks) left join b using (upload_id), no""",
     "range_read_chunks": f"""with {_RE}, {_LAST}, q as (select distinct {_CID} as cid from la where deleted_at is null)
         select cid, recipe_id, (greatest(10000, file_offset) - file_offset)::int as from_byte, (least(30000, file_offset + chunk_size) - greatest(10000, file_offset))::int as take
         from re join q using (cid) where chunk_size > 0 and file_offset + chunk_size > 10000 and file_offset < 30000""",
@@ -298,4 +388,28 @@ SQL = {
     "catalog_delete": "select distinct file_id, file_key from files where file_key not in (select file_key from files where deleted_at is not null and file_key is not null)",
     "whole_object_dedup": "select md5(text) as md5, count(*) as copies, sum(octet_length(encode(text)))::bigint as bytes from documents where text is not null group by 1",
     "cdc_coverage": "select 0::bigint as violations",
+    "low_keys": "select distinct file_key, ('0x' || right(sha1(file_key), 4))::int as low from files where file_key is not null",
+    "cdc_dedup_summary": "select count(*) as documents, sum(octet_length(encode(text)))::bigint as bytes, true as shared from documents where text <> ''",
+    "duplicate_chunks": f"""with {_CH}, f as (select sha, arg_min((doc_id, file_offset), (doc_id, file_offset)) as f from ch group by 1)
+        select distinct doc_id, file_offset, chunk_size, sha, f[1] as first_doc, f[2] as first_offset from ch join f using (sha) where (doc_id, file_offset) <> f""",
+    "range_read_bytes": """select doc_id, octet_length(p)::int as n, md5(p) as md5 from (select doc_id, array_slice(encode(text), 701, 2700) as p from documents) where octet_length(p) > 0""",
+    "container_write_read": f"with {_CH} select sha, any_value(chunk_size) as n, sha as again from ch group by sha",
+    "recyclable_ids": "select container_id, (max(generation) + 1)::int as generation from containers where container_id is not null group by 1 having count(*) filter (deleted_at is null) = 0 and max(deleted_at) < timestamp '2026-12-30 23:59:55'",
+    "prioritised_probe": f"""with {_IX}, {_UP}, ca as (select {FP_SQL} as fp, container_id from container_fps where {FP_SQL} <> '' and container_id is not null),
+        l as (select fp, 0 as level, container_id from ca where container_id in (select container_id from containers where deleted_at is null and generation > 1) union all select fp, 1, container_id from ca union all select fp, 2, container_id from ix)
+        select chunk_id, fp, b[1] as level, b[2] as container_id from (select chunk_id, fp from up) left join (select fp, min((level, container_id)) as b from l group by 1) using (fp)""",
+    "master_arrays": f"""with {_UP}, n as (select distinct fp, (('0x' || substr(fp, 1, 2))::int % {NODES})::int as node from up)
+        select node, (row_number() over (partition by node order by fp) - 1) // 1000 as batch, fp from n""",
+    "delete_order": f"""with {_RE}, {_LAST}, o as (select distinct r.recipe_id, r.container_id, r.container_offset from recipes r join re using (recipe_id) where re.fp <> '' and re.cid in (select {_CID} from la where deleted_at is not null) and r.container_id is not null)
+        select container_id, recipe_id, row_number() over (partition by container_id order by container_offset desc nulls last, recipe_id)::int as turn from o""",
+    "segment_lookup": """with f as (select * from files where md5 is not null and filesize is not null),
+        s as (select md5, unnest(range(0, greatest(filesize - 1, 0) + 1, 65536)) as file_offset, file_id from f),
+        g as (select md5, file_offset, min(file_id) as n from s group by 1, 2),
+        a as (select distinct md5, unnest([0, 65536, 5])::bigint as file_offset from f)
+        select md5, file_offset, '/data/' || case when n // 1000 > 999999 then (n // 1000)::varchar else lpad((n // 1000)::varchar, 6, '0') end || '/' || lpad((n % 1000)::varchar, 6, '0') as path, n is not null as found from a left join g using (md5, file_offset)""",
+    "catalog_locations": """with r as (select md5, file_id % 3 * 65536 as o, min('/data/' || case when file_id // 1000 > 999999 then (file_id // 1000)::varchar else lpad((file_id // 1000)::varchar, 6, '0') end || '/' || lpad((file_id % 1000)::varchar, 6, '0')) as p
+            from files where md5 is not null and file_id is not null group by 1, 2)
+        select md5, '{' || string_agg('"' || o || '":"' || p || '"', ',' order by o) || '}' as locations from r group by 1""",
+    "store_ratio": f"""with {_CH} select source, sum(n * a)::bigint as bytes, sum(u)::bigint as unique_bytes, round(sum(n * a)::double / sum(u), 6) as factor
+        from (select source, sha, count(*) as n, sum(chunk_size) / count(*) as a, max(chunk_size) as u from ch group by 1, 2) group by 1""",
 }

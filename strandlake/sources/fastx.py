@@ -71,9 +71,3 @@ def wrapped(seq: Column, width: int = 60) -> Column:
     return F.regexp_replace(seq, rf"(.{{{width}}})(?=.)", "$1\n")
 
 
-def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """file_key, filetype, filesize, mtime, md5, content of all files under a path; the type comes from the name. Empty files are passed over, as by all of Spark's file sources."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    name = F.lower(F.regexp_replace("path", r"\.gz$", ""))
-    kind = F.when(name.rlike(r"\.(fq|fastq)$"), 200).when(name.rlike(r"\.(fa|fna|fasta)$"), 100)
-    return raw.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file_key"), kind.alias("filetype"), F.col("length").alias("filesize"), F.col("modificationTime").alias("mtime"), F.md5("content").alias("md5"), "content")

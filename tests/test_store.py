@@ -95,8 +95,57 @@ def test_champion_and_routing(spark):
     assert [tuple(r) for r in dedup.champion(hits, ["u"], "c", "o").collect()] == [("u", 7, 2)]
     usage = spark.createDataFrame([(1, 10), (2, 30)], "node int, used int")
     n = spark.createDataFrame([("b", 1, 5), ("b", 2, 7), ("c", 2, 1)], "b string, node int, n int")
-    got = {r["b"]: (r["node"], r["score"]) for r in routing.routed(n, usage, "b", "node", "n", "used").collect()}
-    assert got == {"b": (1, 5.0), "c": (2, round(20 / 30, 6))}
+    batches = spark.createDataFrame([("b",), ("c",), ("d",), ("e",), ("b",), (None,)], "b string")
+    got = {r["b"]: (r["node"], r["score"]) for r in routing.routed(batches, n, usage, "b", "node", "n", "used").collect()}
+    assert got.pop("b") == (1, 5.0) and got.pop("c") == (2, round(20 / 30, 6))
+    # batches without a hit are given a node too, none where there are no nodes
+    assert set(got) == {"d", "e"} and all(node in (1, 2) and score is None for node, score in got.values())
+    assert all(r["node"] is None for r in routing.routed(batches, n, usage.where("false"), "b", "node", "n", "used").collect())
+
+
+def test_containers_are_written_and_cut(spark, tmp_path):
+    from strandlake.operators import containers
+
+    rng = random.Random(3)
+    data = {f"{i:040x}": rng.randbytes(rng.choice([1, 30, 64, 150])) for i in range(60)}
+    df = spark.createDataFrame([(k, i % 3 if i else None, v) for i, (k, v) in enumerate(data.items())] + [("x", 1, b""), ("y", 1, None)], "sha string, stream int, data binary")
+    path = containers.write(df, "stream", "sha", "data", 128, str(tmp_path / "c"))
+    kept = {k: v for i, (k, v) in enumerate(data.items()) if i}
+    assert {r["sha"]: bytes(r["data"]) for r in containers.slices(path, spark).collect()} == kept
+    sizes = [len(r["payload"]) for r in spark.read.parquet(f"{path}/data").collect()]
+    assert all(n <= 128 or n == 150 for n in sizes)
+    one = spark.createDataFrame([(f"{5:040x}",), ("none",)], "sha string")
+    assert [(r["sha"], bytes(r["data"])) for r in containers.slices(path, spark, one).collect()] == [(f"{5:040x}", data[f"{5:040x}"])]
+    rows = spark.createDataFrame([(1, 1, "2026-01-01 00:00:00"), (1, 2, "2026-01-01 00:00:08"), (2, 1, None), (3, 1, "2026-01-01 00:00:01")], "container_id int, generation int, deleted_at string")
+    rows = rows.withColumn("deleted_at", F.col("deleted_at").cast("timestamp"))
+    got = containers.recyclable(rows, F.lit("2026-01-01 00:00:10").cast("timestamp")).collect()
+    assert [tuple(r) for r in got] == [(3, 2)]
+
+
+def test_first_level_and_numbered_batches(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "a")], "i int, k string")
+    level = lambda x: spark.createDataFrame(x, "k string, c int")
+    got = dedup.first_level(rows, [level([("a", None)]), level([("b", 9), ("b", 7)]), level([("a", 1), ("b", 2)])], "k", "c").collect()
+    assert {(r["i"], r["level"], r["c"]) for r in got} == {(1, 2, 1), (2, 1, 7), (3, None, None), (4, None, None), (5, 2, 1)}
+    fps = spark.createDataFrame([(hashlib.sha1(bytes([i])).hexdigest(), i % 2) for i in range(50)], "fp string, node int")
+    got = dedup.numbered_batches(fps, ["node"], "fp", 10).collect()
+    for node in (0, 1):
+        mine = sorted((r["fp"], r["batch"]) for r in got if r["node"] == node)
+        assert [b for _, b in mine] == [k // 10 for k in range(25)]
+
+
+def test_segments_merged_and_listed_rows(spark):
+    from strandlake.operators import catalog
+
+    seg = spark.createDataFrame([("m", 0, "/b"), ("m", 0, "/a"), ("m", 5, "/c")], "md5 string, file_offset int, path string")
+    asked = spark.createDataFrame([("m", 0), ("m", 7), ("n", 0)], "md5 string, file_offset int")
+    assert {tuple(r) for r in catalog.segment(seg, asked).collect()} == {("m", 0, "/a", True), ("m", 7, None, False), ("n", 0, None, False)}
+    one, two = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("b", 1)], [("b", 2), ("c", 2)]))
+    assert {tuple(r) for r in catalog.merged([one, two], "k").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    from strandlake.functions import formatting
+
+    line = spark.createDataFrame([("x\t1KB\tfasta",)], "line string")
+    assert tuple(line.select(*formatting.listing_row("line")).first()) == ("x", "1KB", "fasta", None)
 
 
 def test_overlapping_against_brute_force(spark):
@@ -118,6 +167,10 @@ def test_latest_prefers_later_and_keeps_nulls(spark):
 def test_free_ids(spark):
     df = spark.createDataFrame([(1,), (2,), (5,), (1048580,), (5,), (None,)], "id bigint")
     assert sorted(map(tuple, dedup.free_ids(df, "id").collect())) == [(3, 4), (6, 1048579)]
+    few = spark.createDataFrame([(1,), (3,)], "id bigint")
+    assert sorted(map(tuple, dedup.free_ids(few, "id", 6).collect())) == [(2, 2), (4, 6)]
+    assert sorted(map(tuple, dedup.free_ids(few, "id", 2).collect())) == [(2, 2)] and dedup.free_ids(few, "id", 1).count() == 0
+    assert sorted(map(tuple, dedup.free_ids(few.where("id > 9"), "id", 4).collect())) == [(1, 4)] and dedup.free_ids(few.where("id > 9"), "id").count() == 0
 
 
 def test_verbs(spark, tmp_path):
@@ -131,17 +184,50 @@ def test_verbs(spark, tmp_path):
     assert s.store(str(src)) == 3
     # shared chunks are kept once
     assert s.table("chunks").count() == len({hashlib.sha1(d[i : i + 8192]).hexdigest() for d in (one, one + b"tail", two) for i in range(0, len(d), 8192)})
-    got = {r["file_key"]: bytes(r["content"]) for r in s.read(["a.fa", "b.fq", "other.txt", "none"]).collect()}
-    assert got == {"a.fa": one, "b.fq": one + b"tail", "other.txt": two}
-    assert [(r["name"], r["type"]) for r in s.list().collect()] == [("a.fa", "fasta"), ("b.fq", "fastq"), ("other.txt", "unknown")]
+    got = {r["name"]: bytes(r["content"]) for r in s.read(["a.fa", "sub/b.fq", "other.txt", "none"]).collect()}
+    assert got == {"a.fa": one, "sub/b.fq": one + b"tail", "other.txt": two}
+    assert [(r["name"], r["type"]) for r in s.list().collect()] == [("a.fa", "fasta"), ("other.txt", "unknown"), ("sub/b.fq", "fastq")]
     (src / "a.fa").write_bytes(b"new")
     s.store(str(src / "a.fa"))
     assert bytes(s.read(["a.fa"]).first()["content"]) == b"new"
-    assert s.delete(["b.fq", "none"]) == 1 and s.delete(["b.fq"]) == 0
+    assert s.delete(["sub/b.fq", "none"]) == 1 and s.delete(["sub/b.fq"]) == 0
     assert [r["name"] for r in s.list().collect()] == ["a.fa", "other.txt"]
     assert s.reclaim()[0].count() > 0
 
 
+def test_files_of_one_name_and_empty_files(spark, tmp_path):
+    for sub, data in (("a", b"one"), ("b", os.urandom(5000)), ("c", b"")):
+        (tmp_path / sub).mkdir()
+        (tmp_path / sub / "r.fa").write_bytes(data)
+    s = Store(spark, str(tmp_path / "store"), 64, 256)
+    assert s.store([str(tmp_path / "a" / "r.fa"), str(tmp_path / "b")]) == 2 and s.store(str(tmp_path / "c")) == 1
+    rows = s.list().collect()
+    assert [r["name"] for r in rows] == ["r.fa"] * 3 and len({r["key"] for r in rows}) == 3
+    assert sorted(bytes(r["content"]) for r in s.read(["r.fa"]).collect()) == sorted((tmp_path / k / "r.fa").read_bytes() for k in "abc")
+    with pytest.raises(KeyError):
+        s.read_to("r.fa", str(tmp_path / "out"))
+    for r in rows:
+        s.read_to(r["key"], str(tmp_path / r["key"]))
+    assert sorted((tmp_path / r["key"]).read_bytes() for r in rows) == sorted((tmp_path / k / "r.fa").read_bytes() for k in "abc")
+    # two clients with the same file
+    assert s.store(str(tmp_path / "a"), client=7) == 1 and s.named(["r.fa"], 7).count() == 1 and s.files().count() == 4
+    assert s.delete(["r.fa"], 7) == 1 and s.files().count() == 3
+
+
+@pytest.mark.parametrize("end", ["", "\n", "\n@cut\nAC"])
+def test_records_of_a_file_that_is_cut_anywhere(spark, tmp_path, end):
+    from strandlake.sources.files import fastq_file_records, listed
+
+    records = [(f"@r{i}", "ACGT" * (i % 3), "+", "I" * (i % 5) + ("\r" if i % 2 else "")) for i in range(7)]
+    text = "\n".join("\n".join(r) for r in records) + end
+    (tmp_path / "x.fq").write_bytes(text.encode())
+    files = listed(spark, str(tmp_path))
+    want = [(i, t, s, p, q.rstrip("\r")) for i, (t, s, p, q) in enumerate(records)] + ([(7, "@cut", "AC", None, None)] if "cut" in end else [])
+    for size in (1, 2, 3, 5, 7, 16, 64, 1000):
+        got = sorted((r["rec_no"], r["title"], r["seq"], r["plus"], r["qual"]) for r in fastq_file_records(files, size).collect())
+        assert got == want, size
+
+
 def test_reassembled_order(spark):
     df = spark.createDataFrame([("k", 10, b"b"), ("k", 2, b"a"), ("k", 30, b"c")], "k string, o int, d binary")
     assert bytes(recipes.reassembled(df, "k", "o", "d").first()["d"]) == b"abc"
