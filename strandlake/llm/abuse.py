@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.letters import distinct
 from strandlake.llm.mail import text_parts
 from strandlake.llm.words import TOP, mix, powers
 from strandlake.runtime import written
@@ -235,7 +236,7 @@ def _counted(known: np.ndarray, rate: float):
             for number, row in u.places():
                 c = column[number]
                 found.append(row[c >= 0] * len(known) + c[c >= 0])
-            both = np.unique(np.concatenate(found))
+            both = distinct(np.concatenate(found))
             if len(known):
                 count += np.bincount(both % len(known), weight[both // len(known)], len(known))
             first = np.flatnonzero(np.r_[True, u.owner[1:] != u.owner[:-1]])
@@ -351,7 +352,7 @@ def _learn(positive: dict[int, list[np.ndarray]], outside: np.ndarray, docs_outs
     stand in more positive documents than chance explains; then, in two halves, those that the other half's classifier places among
     the highest unlabelled ones.
     """
-    docs = [np.unique(np.concatenate(x)) for x in positive.values()]
+    docs = [distinct(np.concatenate(x)) for x in positive.values()]
     inside = np.bincount(np.concatenate(docs), minlength=SPACE)
     known = np.flatnonzero(inside >= min(2, len(docs))).astype(np.int32)
     expected = len(docs) * outside[known] / docs_outside
@@ -435,7 +436,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int |
         units.setdefault(i, []).append(flat[a:b])
     positive = sorted(units, key=lambda i: (i * 2654435761) % (1 << 32))
     # all features that any fit below may know
-    inside = np.bincount(np.concatenate([np.unique(np.concatenate(units[i])) for i in positive]), minlength=SPACE)
+    inside = np.bincount(np.concatenate([distinct(np.concatenate(units[i])) for i in positive]), minlength=SPACE)
     known = np.flatnonzero(inside >= (1 if len(positive) < 2 * folds else 2)).astype(np.int32)
     copies = written(words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
     every = words.join(copies, "doc_id", "left")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.letters import distinct
 from strandlake.llm.mail import text_parts
 from strandlake.llm.words import Words, least_of, tables
 
@@ -34,7 +35,7 @@ def _fingerprints(span: int, gram: int, parts_of: Callable[[str | None], list[st
         # a window of `window` grams is `span` words of one text
         least = least_of(h, window)
         n = len(least)
-        least = np.unique(least[w.text[:n] == w.text[span - 1 : span - 1 + n]])
+        least = distinct(least[w.text[:n] == w.text[span - 1 : span - 1 + n]])
         if wanted is not None:
             at = np.minimum(np.searchsorted(wanted, h[least]), len(wanted) - 1)
             least = least[wanted[at] == h[least]] if len(wanted) else least[:0]

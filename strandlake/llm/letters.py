@@ -13,6 +13,12 @@ for _k, _c in enumerate(b"ACGT"):
     _CODE[_c] = _k
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order; by sorting, which is many times faster here than np.unique's hashing."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class Letters:
     """The bytes of all sequences of a batch in a row, with a byte that is no letter between them."""
 

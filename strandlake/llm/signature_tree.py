@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.letters import Letters
-from strandlake.runtime import hot_keys, skew_safe_join, written
+from strandlake.llm.letters import Letters, distinct
+from strandlake.runtime import HOT_SHARE, hot_keys, skew_safe_join, written
 
 GRAM = 12
 LEAST = 30
@@ -18,6 +19,8 @@ LEAST = 30
 BITS = 2048
 #: A pair at the very similarity of 0.5 shares no tree with this probability at most.
 MISSED = 1e-6
+#: Up to so many trees of two or more (16 MB) texts are filtered by them where they are read; beyond, by the join alone.
+FILTER_LIMIT = 2_000_000
 #: Records under a leaf, and under a block: the largest part of a tree that one task walks.
 LEAF, BLOCK = 8, 1024
 SEED = 20_011
@@ -26,10 +29,11 @@ SEED = 20_011
 def bands_for(texts: int) -> tuple[int, int]:
     """Minwise values of a band, and bands, for so many different texts.
 
-    Texts that have nothing to do with each other share a value of a band by chance, one in 4**GRAM of them; so there are as many values as
-    keep that to a block. The number of bands then follows from MISSED, which holds at every size.
+    Texts that overlap in part share single values often, so there are two at least. Texts that have nothing to do with each other share
+    them by chance, one in 4**(GRAM * values); so there are as many as keep those to a block. The number of bands then follows from
+    MISSED, which holds at every size.
     """
-    rows = 1
+    rows = 2
     while texts > BLOCK * 4 ** (GRAM * rows):
         rows += 1
     return rows, int(np.ceil(np.log(MISSED) / np.log(1 - 0.5**rows)))
@@ -45,7 +49,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, ok = t.grams(GRAM)
     at = np.flatnonzero(ok)
     row = t.row_of(at)
-    both = np.unique((row.astype(np.uint64) << np.uint64(2 * GRAM)) | code[at])
+    both = distinct((row.astype(np.uint64) << np.uint64(2 * GRAM)) | code[at])
     row = (both >> np.uint64(2 * GRAM)).astype(np.int64)
     return row, both & np.uint64((1 << 2 * GRAM) - 1), np.bincount(row, minlength=len(texts))
 
@@ -66,38 +70,53 @@ def _sketchable(t: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return fit, Letters.mix(code[count[row] >= LEAST] + np.uint64(1)), np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), size
 
 
-def _listed(b: pa.RecordBatch, fit: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+def _listed(b: pa.RecordBatch, fit: np.ndarray, keys: np.ndarray, sizes: np.ndarray, wanted: np.ndarray | None) -> pa.RecordBatch:
+    if wanted is not None:
+        at = np.minimum(np.searchsorted(wanted, keys), max(0, len(wanted) - 1))
+        ok = wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[ok], minlength=len(sizes))
+        keys = keys[ok]
     offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
     return pa.RecordBatch.from_arrays([b.column("rep").take(pa.array(fit)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64)))], schema=_BANDED)
 
 
-def _band_keys(rows: int, bands: int):
+def _band_keys(rows: int, bands: int, wanted: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = _factors(rows * bands).reshape(bands, rows)
+        # each product gives two hash values, of its upper and its lower half
+        need = -(-rows * bands // 2)
+        factor = _factors(need)
         for b in batches:
             fit, base, start, _ = _sketchable(b)
             if not len(fit):
                 continue
+            least = np.empty((2 * need, len(fit)), np.uint64)
+            for k in range(need):
+                product = base * factor[k]
+                least[2 * k] = np.minimum.reduceat((product >> np.uint64(32)).astype(np.uint32), start)
+                least[2 * k + 1] = np.minimum.reduceat(product.astype(np.uint32), start)
             keys = np.zeros((len(fit), bands), np.uint64)
             for k in range(bands):
-                for f in factor[k]:
-                    keys[:, k] = Letters.mix(keys[:, k] + (np.minimum.reduceat(base * f, start) >> np.uint64(16)))
+                for m in least[k * rows : (k + 1) * rows]:
+                    keys[:, k] = Letters.mix(keys[:, k] * np.uint64(0x100000001B3) + m)
                 keys[:, k] = Letters.mix(keys[:, k] + np.uint64(k))
-            yield _listed(b, fit, keys.ravel(), np.full(len(fit), bands))
+            yield _listed(b, fit, keys.ravel(), np.full(len(fit), bands), wanted)
 
     return run
 
 
-def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n - ceil(n / 2) + 1 tokens with the smallest hashes of each text of n: similar texts have one of these in common, without exception."""
-    for b in batches:
-        fit, base, start, size = _sketchable(b)
-        if not len(fit):
-            continue
-        own = np.repeat(np.arange(len(fit)), size)
-        base = base[np.lexsort((base, own))]
-        keep = np.arange(len(base)) - np.repeat(start, size) <= np.repeat(size // 2, size)
-        yield _listed(b, fit, base[keep], size // 2 + 1)
+def _prefix_keys(wanted: np.ndarray | None = None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n - ceil(n / 2) + 1 tokens with the smallest hashes of each text of n: similar texts have one of these in common, without exception."""
+        for b in batches:
+            fit, base, start, size = _sketchable(b)
+            if not len(fit):
+                continue
+            own = np.repeat(np.arange(len(fit)), size)
+            base = base[np.lexsort((base, own))]
+            keep = np.arange(len(base)) - np.repeat(start, size) <= np.repeat(size // 2, size)
+            yield _listed(b, fit, base[keep], size // 2 + 1, wanted)
+
+    return run
 
 
 class _Node:
@@ -300,10 +319,18 @@ def similar_classes(reps: DataFrame, exact: bool = False) -> DataFrame:
     once. A pair at the threshold has no tree in common with probability MISSED, one above it far less; with ``exact``, trees are named by
     tokens instead (_prefix_keys) and none is missed, for two to three times the rows.
     """
-    banded = reps.mapInArrow(_prefix_keys if exact else _band_keys(*bands_for(reps.count())), _BANDED_DDL)
-    keyed = written(banded.select(F.explode("keys").alias("tree"), "rep"), "bands")
-    sizes = keyed.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    under = written(skew_safe_join(keyed, sizes, ["tree"], "inner", hot_keys(keyed, "tree")), "trees")
+    form = (lambda wanted: _prefix_keys(wanted)) if exact else partial(_band_keys, *bands_for(reps.count()))
+    named = lambda wanted: reps.mapInArrow(form(wanted), _BANDED_DDL).select(F.explode("keys").alias("tree"), "rep")
+    sizes = written(named(None).groupBy("tree").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    some = sizes.select("tree").limit(FILTER_LIMIT + 1).toArrow().column("tree").to_numpy()
+    if len(some) <= FILTER_LIMIT:
+        # few trees of two or more: the texts name their trees once more, and only these are rows
+        under = named(np.sort(some.view(np.uint64))).join(sizes, "tree")
+    else:
+        total = sizes.agg(F.sum("n")).first()[0]
+        hot = [r["tree"] for r in sizes.where(F.col("n") > HOT_SHARE * total).collect()]  # 1 / HOT_SHARE rows at most
+        under = skew_safe_join(named(None), sizes, ["tree"], "inner", hot)
+    under = written(under, "trees")
     # small trees: the list of texts is the tree, and bands with the same list are walked once
     small = under.where(F.col("n") <= BLOCK).groupBy("tree").agg(F.array_sort(F.collect_list("rep")).alias("all"))
     small = small.select("all").distinct().select(F.xxhash64("all").alias("task"), F.explode("all").alias("rep"), F.lit(0).alias("side"))

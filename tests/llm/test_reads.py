@@ -30,8 +30,9 @@ def some_reads(rng, n):
     return rows + [(9001, None), (9002, ""), (9003, "AC"), (9004, "AT" * 80), (9005, "N" * 200), (None, bases[1])]
 
 
-@pytest.mark.parametrize("block,leaf", [(1024, 32), (16, 4)])
-def test_similar_records_against_brute_force(spark, monkeypatch, block, leaf):
+@pytest.mark.parametrize("block,leaf,limit", [(1024, 32, 1000), (16, 4, 0)])
+def test_similar_records_against_brute_force(spark, monkeypatch, block, leaf, limit):
+    monkeypatch.setattr(signature_tree, "FILTER_LIMIT", limit)
     monkeypatch.setattr(signature_tree, "BLOCK", block)
     monkeypatch.setattr(signature_tree, "LEAF", leaf)
     rows = some_reads(random.Random(block), 120)
