@@ -44,6 +44,28 @@ def catalog_key(name: Column | str, client: Column | str, inode: Column | str) -
     return F.concat(_c(name), F.lit("_"), _c(client).cast("string"), F.lit("_"), _c(inode).cast("string"))
 
 
+def map_name(inode: Column | str, client: Column | str, at: Column | str) -> Column:
+    """inode_client_seconds of a chunk map; null if any of them is."""
+    return F.concat(_c(inode).cast("string"), F.lit("_"), _c(client).cast("string"), F.lit("_"), F.unix_timestamp(_c(at)).cast("string"))
+
+
+def map_side(name: Column | str) -> Column:
+    """0 or 1: which of two folders a name is kept in, by the low bit of its digest."""
+    return F.conv(F.right(F.md5(_c(name)), F.lit(1)), 16, 2).cast("bigint").bitwiseAND(1).cast("int")
+
+
+def floor_log2(n: Column | str) -> Column:
+    """The largest k with 2**k <= n; null below 1."""
+    n = _c(n)
+    return F.when(n >= 1, F.length(F.bin(n)) - 1).cast("int")
+
+
+def ceil_log2(n: Column | str) -> Column:
+    """The smallest k with 2**k >= n; null below 1."""
+    n = _c(n)
+    return F.when(n == 1, 0).when(n > 1, F.length(F.bin(n - 1))).cast("int")
+
+
 def padded(n: Column | str, width: int = 6) -> Column:
     """A counter with zeros in front, never cut."""
     s = _c(n).cast("string")

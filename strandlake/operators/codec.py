@@ -58,12 +58,33 @@ def unary(n: int) -> str:
     return "1" * n + "0"
 
 
+def read_unary(bits: str, at: int = 0) -> tuple[int, int]:
+    end = bits.index("0", at)
+    return end - at, end + 1
+
+
 def gamma(n: int) -> str:
     """Elias gamma of n >= 1."""
     b = format(n, "b")
     return "0" * (len(b) - 1) + b
 
 
+def read_gamma(bits: str, at: int = 0) -> tuple[int, int]:
+    first = bits.index("1", at)
+    end = first + (first - at) + 1
+    return int(bits[first:end], 2), end
+
+
+def low_high(n: int, low: int) -> str:
+    """n in unary of what is above ``low`` bits, and these."""
+    return unary(n >> low) + (format(n & ((1 << low) - 1), f"0{low}b") if low else "")
+
+
+def read_low_high(bits: str, low: int, at: int = 0) -> tuple[int, int]:
+    high, at = read_unary(bits, at)
+    return high << low | int(bits[at : at + low] or "0", 2), at + low
+
+
 def truncated_binary(x: int, n: int) -> str:
     """x of 0 to n - 1 in floor(log2 n) bits or one more."""
     k = n.bit_length() - 1
@@ -173,12 +194,127 @@ def dna_unpack(packed: bytes, odd: list[int], letters: bytes, n: int) -> bytes:
     return out.tobytes()
 
 
-ENCODED = "sb_id bigint, records int, rec_nos binary, titles binary, plus binary, seq_sizes binary, seq binary, odd_at binary, odd binary, qual_sizes binary, qual_codes binary, qual binary"
+def _framed(parts: list[bytes]) -> bytes:
+    """Parts with their number and sizes before them."""
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    at = np.r_[0, np.cumsum(np.frombuffer(data, "<i8", n, 8))] + 8 * (n + 1)
+    return [data[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+
+
+SEPARATED = r"([ ._,=:/\-])"
+NUMBER = r"0|[1-9][0-9]{0,17}"
+
+
+def _column(values: list[str]) -> bytes:
+    """A title field after a sign for how it is kept: one value (C), numbers as differences to the one before (N), or text (T)."""
+    import re
+    import zlib
+
+    if len(set(values)) == 1:
+        return b"C" + values[0].encode("utf-8", "surrogatepass")
+    if all(re.fullmatch(NUMBER, v) for v in values):
+        return b"N" + zlib.compress(np.diff(np.array(list(map(int, values)), np.int64), prepend=0).astype("<i8").tobytes(), 6)
+    return b"T" + zlib.compress("\n".join(values).encode("utf-8", "surrogatepass"), 6)
+
+
+def pack_titles(titles: list[str | None]) -> bytes:
+    """Titles field by field where all have the same separators, else whole. Separators are kept once."""
+    import re
+    import zlib
+
+    split = [None if t is None or "\n" in t else re.split(SEPARATED, t) for t in titles]
+    if split and None not in split and len({tuple(x[1::2]) for x in split}) == 1:
+        return b"F" + _framed([_numbers([len(titles)]), "".join(split[0][1::2]).encode(), *(_column([x[k] for x in split]) for k in range(0, len(split[0]), 2))])
+    return b"T" + zlib.compress("\n".join("\0" if x is None else "\1" + x.replace("\\", "\\\\").replace("\n", "\\n") for x in titles).encode("utf-8", "surrogatepass"), 6)
+
+
+def unpack_titles(data: bytes) -> list[str | None]:
+    import re
+    import zlib
+
+    if data[:1] == b"T":
+        plain = lambda x: None if x == "\0" else re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], x[1:])
+        return [plain(x) for x in zlib.decompress(data[1:]).decode("utf-8", "surrogatepass").split("\n")]
+    count, marks, *columns = _unframed(data[1:])
+    n = int(np.frombuffer(count, "<i8")[0])
+
+    def column(raw: bytes) -> list[str]:
+        if raw[:1] == b"C":
+            return [raw[1:].decode("utf-8", "surrogatepass")] * n
+        if raw[:1] == b"N":
+            return [str(x) for x in np.cumsum(np.frombuffer(zlib.decompress(raw[1:]), "<i8")).tolist()]
+        return zlib.decompress(raw[1:]).decode("utf-8", "surrogatepass").split("\n")
+
+    fields = [column(c) for c in columns]
+    return ["".join(x + m for x, m in zip(row, [*marks.decode(), ""])) for row in zip(*fields)]
+
+
+def quality_method(quals: list[bytes]) -> int:
+    """2 run lengths, 1 plain, 3 plain without trailing #, by the first record of each block of 32; the rule of profile.encoder_choice."""
+    raw = th = rle = blocks = 0
+    for k in range(0, len(quals), 32):
+        q = next((x for x in quals[k : k + 32] if x), b"")
+        if q:
+            runs = 1 + sum(a != b for a, b in zip(q, q[1:]))
+            raw, th, rle, blocks = raw + len(q), th + max(len(q.rstrip(b"#")) - 1, 0), rle + runs - q.endswith(b"#"), blocks + 1
+    return 2 if th > 1.25 * rle else 1 if raw - th < 3 * blocks else 3
+
+
+def pack_quals(quals: list[bytes]) -> tuple[int, bytes]:
+    """The method and the qualities: by place, each place in a Huffman code of its own, or as letters and run lengths in a code each."""
+    import zlib
+
+    method = quality_method(quals)
+    if method == 2:
+        flat = np.frombuffer(b"".join(quals), np.uint8)
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[starts, len(flat)])
+        times = -(-size // 255)
+        letters = np.repeat(flat[starts], times)
+        part = np.full(int(times.sum()), 255)
+        part[np.cumsum(times) - 1] = size - 255 * (times - 1)
+        return method, zlib.compress(_framed([_numbers([len(letters)]), *huffman_pack(letters.tobytes()), *huffman_pack(part.astype(np.uint8).tobytes())]), 1)
+    kept = [q.rstrip(b"#") for q in quals] if method == 3 else quals
+    size = np.array([len(q) for q in kept], np.int64)
+    flat = np.frombuffer(b"".join(kept), np.uint8)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    by = flat[np.argsort(place, kind="stable")]
+    cuts = np.r_[0, np.cumsum(np.bincount(place))] if len(flat) else [0]
+    columns = [huffman_pack(by[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    return method, zlib.compress(_framed([size.astype("<i4").tobytes() if method == 3 else b"", *(x for c in columns for x in c)]), 1)
+
+
+def unpack_quals(method: int, data: bytes, size: np.ndarray) -> list[bytes]:
+    """The qualities of pack_quals, whose lengths are ``size``."""
+    import zlib
+
+    at = np.r_[0, np.cumsum(size)]
+    if method == 2:
+        count, *codes = _unframed(zlib.decompress(data))
+        n = int(np.frombuffer(count, "<i8")[0])
+        flat = np.repeat(np.frombuffer(huffman_unpack(*codes[:2], n), np.uint8), np.frombuffer(huffman_unpack(*codes[2:], n), np.uint8))
+    else:
+        kept, *codes = _unframed(zlib.decompress(data))
+        kept = np.frombuffer(kept, "<i4").astype(np.int64) if method == 3 else size
+        flat = np.full(int(size.sum()), ord("#"), np.uint8)
+        for k, (lengths, packed) in enumerate(zip(codes[::2], codes[1::2])):
+            rows = np.flatnonzero(kept > k)
+            flat[at[rows] + k] = np.frombuffer(huffman_unpack(lengths, packed, len(rows)), np.uint8)
+    flat = flat.tobytes()
+    return [flat[a:b] for a, b in zip(at.tolist(), at[1:].tolist())]
+
+
+ENCODED = "sb_id bigint, records int, first_rec bigint, last_rec bigint, method int, rec_nos binary, titles binary, plus binary, seq_sizes binary, seq binary, odd_at binary, odd binary, qual_sizes binary, qual binary"
 
 
 def encode_fastq(reads: DataFrame) -> DataFrame:
-    """One row a super-block of 16,384 record numbers, its columns kept apart: titles and plus lines compressed as text, letters in two bits with
-    the others listed, qualities in a Huffman code. reads: rec_no, title, seq, plus, qual; nulls come back as nulls, anything as it was.
+    """One row a super-block of 16,384 record numbers, its columns kept apart: titles by field, letters in two bits with the others listed, and
+    qualities by the method that suits the super-block (quality_method). reads: rec_no, title, seq, plus, qual; nulls come back as nulls,
+    anything as it was. records, first_rec, last_rec and method are the super-block's header, by which blocks are found without decoding.
 
     A super-block is bounded, so it is one group of one task.
     """
@@ -189,54 +325,47 @@ def encode_fastq(reads: DataFrame) -> DataFrame:
 
         pdf = pdf.sort_values("rec_no", kind="stable")
 
-        def text(c):
-            return zlib.compress("\n".join("\0" if x is None else "\1" + x.replace("\\", "\\\\").replace("\n", "\\n") for x in pdf[c]).encode("utf-8", "surrogatepass"), 6)
-
         def column(c):
             raw = [None if x is None else x.encode("utf-8", "surrogatepass") for x in pdf[c]]
-            return _numbers([-1 if x is None else len(x) for x in raw]), b"".join(x for x in raw if x)
+            return _numbers([-1 if x is None else len(x) for x in raw]), [x or b"" for x in raw]
 
         seq_sizes, seq = column("seq")
         qual_sizes, qual = column("qual")
-        packed, odd_at, odd = dna_pack(seq)
-        codes, bits = huffman_pack(qual)
-        row = [int(pdf["rec_no"].iloc[0] // SUPER_BLOCK), len(pdf), zlib.compress(_numbers(list(np.diff(pdf["rec_no"].to_numpy(), prepend=0))), 6), text("title"), text("plus"), zlib.compress(seq_sizes, 6), packed, zlib.compress(_numbers(odd_at), 6), odd, zlib.compress(qual_sizes, 6), codes, bits]
+        packed, odd_at, odd = dna_pack(b"".join(seq))
+        method, bits = pack_quals(qual)
+        no = pdf["rec_no"].to_numpy()
+        row = [int(no[0] // SUPER_BLOCK), len(pdf), int(no[0]), int(no[-1]), method, zlib.compress(_numbers(list(np.diff(no, prepend=0))), 6), pack_titles(list(pdf["title"])), pack_titles(list(pdf["plus"])), zlib.compress(seq_sizes, 6), packed, zlib.compress(_numbers(odd_at), 6), odd, zlib.compress(qual_sizes, 6), bits]
         return pd.DataFrame([row], columns=[c.split()[0] for c in ENCODED.split(", ")])
 
     rows = reads.select(F.col("rec_no").cast("bigint").alias("rec_no"), "title", "seq", "plus", "qual").where(F.col("rec_no").isNotNull())
     return rows.groupBy(F.floor(F.col("rec_no") / SUPER_BLOCK)).applyInPandas(run, ENCODED)
 
 
+def block_index(encoded: DataFrame) -> DataFrame:
+    """sb_id, first_rec, last_rec, records, method: the headers of encoded super-blocks; nothing else is read."""
+    return encoded.select("sb_id", "first_rec", "last_rec", "records", "method")
+
+
 DECODED = "rec_no bigint, title string, seq string, plus string, qual string"
 _DECODED = pa.schema([("rec_no", pa.int64()), *((c, pa.string()) for c in ("title", "seq", "plus", "qual"))])
 
 
 def decode_fastq(encoded: DataFrame) -> DataFrame:
     """The records that encode_fastq took."""
-    import re
     import zlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = lambda b: np.frombuffer(zlib.decompress(b), "<i8")
-
-        def plain(x):
-            return None if x == "\0" else re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], x[1:])
-
-        def pieces(sizes, data):
-            at, out = 0, []
-            for n in sizes.tolist():
-                out.append(None if n < 0 else data[at : at + n].decode("utf-8", "surrogatepass"))
-                at += max(n, 0)
-            return out
+        text = lambda x: x.decode("utf-8", "surrogatepass")
 
         for b in batches:
             for row in b.to_pylist():
-                text = lambda c: [plain(x) for x in zlib.decompress(row[c]).decode("utf-8", "surrogatepass").split("\n")]  # noqa: E731, B023
                 size, qsize = numbers(row["seq_sizes"]), numbers(row["qual_sizes"])
-                n, m = int(size[size > 0].sum()), int(qsize[qsize > 0].sum())
-                seq = dna_unpack(row["seq"], numbers(row["odd_at"]).tolist(), row["odd"], n)
-                qual = huffman_unpack(row["qual_codes"], row["qual"], m)
-                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(numbers(row["rec_nos"]))), *(pa.array(x, pa.string()) for x in (text("titles"), pieces(size, seq), text("plus"), pieces(qsize, qual)))], schema=_DECODED)
+                seq = dna_unpack(row["seq"], numbers(row["odd_at"]).tolist(), row["odd"], int(size[size > 0].sum()))
+                at = np.r_[0, np.cumsum(np.maximum(size, 0))].tolist()
+                seqs = [None if n < 0 else text(seq[a : a + n]) for a, n in zip(at, size.tolist())]
+                quals = [None if n < 0 else text(q) for q, n in zip(unpack_quals(row["method"], row["qual"], np.maximum(qsize, 0)), qsize.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(numbers(row["rec_nos"]))), *(pa.array(x, pa.string()) for x in (unpack_titles(row["titles"]), seqs, unpack_titles(row["plus"]), quals))], schema=_DECODED)
 
     return encoded.mapInArrow(run, DECODED)
 

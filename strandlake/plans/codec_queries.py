@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.functions.formatting import ceil_log2, floor_log2
 from strandlake.operators import codec, profile, sketch
-from strandlake.plans.sequence_queries import _Q, _reads
+from strandlake.plans.sequence_queries import _Q, _T, _reads
 from strandlake.plans.store_queries import _IX, _UP, _index, _index_rows, _uploads
 from strandlake.plans.tables import table
 from strandlake.runtime import written
@@ -82,6 +84,24 @@ def fastq_roundtrip(s, d):
     return j.agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("mismatches"))
 
 
+def block_headers(s, d):
+    """What the headers of encoded super-blocks say; the method is that of encoder_choice."""
+    reads = table(s, d, "fastq_reads").dropDuplicates(["rec_no"]).select("rec_no", "title", "seq", "plus", "qual")
+    return codec.block_index(codec.encode_fastq(reads)).drop("method")
+
+
+def quality_cumulative(s, d):
+    """Quality letters with their counts and the sums of the counts before them, as interpolative coding needs them."""
+    n = profile.quality_by_position(_reads(s, d), "qual").where("pos is null").select("q", "n")
+    return n.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("q").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+
+
+def title_widths(s, d):
+    """Bits that a field's length and its number of values need."""
+    rows = profile.title_profile(_reads(s, d), "rec_no", "title")
+    return rows.select("sb_id", "field_no", floor_log2("max_len").alias("floor_bits"), ceil_log2("max_len").alias("ceil_bits"))
+
+
 def fasta_roundtrip(s, d):
     blocks = table(s, d, "raw_blocks").dropDuplicates(["chunk_id"]).where("filetype = 100 and payload is not null").select("chunk_id", "payload")
     back = codec.decode_fasta(codec.encode_fasta(blocks, "chunk_id", "payload"), "chunk_id")
@@ -95,7 +115,7 @@ def record_extract(s, d):
     return codec.extract_records(codec.encode_fastq(reads), wanted).select("rec_no", "title", "seq", "qual")
 
 
-QUERIES = {f.__name__: f for f in (bloom_build, bloom_probe, bloom_bitmap, counting_bloom_delete, master_hits, huffman_bits, bloom_rate, fastq_roundtrip, fasta_roundtrip, record_extract)}
+QUERIES = {f.__name__: f for f in (bloom_build, bloom_probe, bloom_bitmap, counting_bloom_delete, master_hits, huffman_bits, bloom_rate, block_headers, quality_cumulative, title_widths, fastq_roundtrip, fasta_roundtrip, record_extract)}
 
 _SLOTS = "list_distinct([" + ", ".join(f"('0x' || substr(fp, {1 + 6 * i}, 6))::bigint % (select size from z)" for i in range(6)) + "])"
 _BITS = f"bi as (select distinct unnest({_SLOTS}) as slot from ix)"
@@ -119,6 +139,9 @@ SQL = {
               union all select pos, list_sort(list_append(ws[3:], ws[1] + ws[2])), (bits + ws[1] + ws[2])::bigint from h where len(ws) > 1)
         select pos, bits from h where len(ws) = 1""",
     "fastq_roundtrip": "select 0::bigint as mismatches",
+    "block_headers": "select rec_no // 16384 as sb_id, min(rec_no) as first_rec, max(rec_no) as last_rec, count(distinct rec_no)::int as records from fastq_reads where rec_no is not null group by 1",
+    "quality_cumulative": f"{_Q}, n as (select c as q, count(*) as n from c group by 1) select q, n, coalesce(sum(n) over (order by q rows between unbounded preceding and 1 preceding), 0)::bigint as before from n",
+    "title_widths": f"{_T}, m as (select sb_id, field_no, max(len(value)) as n from f group by 1, 2) select sb_id, field_no, case when n >= 1 then floor(log2(n))::int end as floor_bits, case when n >= 1 then ceil(log2(n))::int end as ceil_bits from m",
     "fasta_roundtrip": "select 0::bigint as mismatches",
     "record_extract": "select rec_no, any_value(title) as title, any_value(seq) as seq, any_value(qual) as qual from fastq_reads where rec_no in (select rec_no from lz_matches) group by rec_no",
 }

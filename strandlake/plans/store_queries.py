@@ -279,6 +279,33 @@ def recyclable_ids(s, d):
     return containers.recyclable(table(s, d, "containers"), F.lit("2026-12-31 00:00:00").cast("timestamp"))
 
 
+def map_names(s, d):
+    """Chunk maps by file: their name, and which of two folders they are in."""
+    rows = table(s, d, "files").where("inode is not null and client_id is not null and registered_at is not null")
+    name = formatting.map_name("inode", "client_id", "registered_at")
+    return rows.select("file_id", name.alias("name"), formatting.map_side(name).alias("side")).distinct()
+
+
+def wrong_lengths(s, d):
+    """Blocks whose stated size is not that of their payload."""
+    rows = table(s, d, "raw_blocks").where("payload is not null").select("chunk_id", F.col("chunk_size").alias("stated"), F.octet_length("payload").alias("found"))
+    return rows.where(~F.col("stated").eqNullSafe(F.col("found"))).distinct()
+
+
+def champion_cached(s, d):
+    """Per upload, how many of its chunks the fingerprints of its champion container answer."""
+    best = champion_container(s, d).select("upload_id", "container_id")
+    fps = _index(s, d).select("container_id", "fp").distinct()
+    mine = _uploads(s, d).select("upload_id", "chunk_id", "fp").join(best, "upload_id")
+    return skew_safe_join(mine, fps, ["fp", "container_id"], "left_semi", hot_keys(mine, "fp")).groupBy("upload_id", "container_id").agg(F.count(F.lit(1)).alias("cached"))
+
+
+def index_upload(s, d):
+    """The index after the containers' fingerprints have been sent to it: one more reference for each row."""
+    more = table(s, d, "container_fps").withColumn("fp", _fp()).where("fp is not null and container_id is not null").dropDuplicates(["fps_id"])
+    return dedup.reference_counts(_index(s, d).select("fp", "container_id", "ref_count").unionByName(more.select("fp", "container_id", F.lit(1).cast("bigint").alias("ref_count"))), ["fp", "container_id"], "ref_count")
+
+
 def store_ratio(s, d):
     """Bytes as they came, bytes kept once, and the factor between them, per source of documents."""
     rows = chunk_dedup_summary(s, d)
@@ -320,7 +347,7 @@ QUERIES = {f.__name__: f for f in (
     free_container_ids, sampled_fingerprints, champion_container, container_packing, placement_md5, placement_stateless, bucket_counts, load_aware_route,
     range_read_chunks, recipe_node_runs, recipe_merge, reassemble_md5, catalog_list, catalog_lookup, catalog_merge, catalog_delete, whole_object_dedup,
     hash_family, low_keys, cdc_chunks, cdc_coverage, cdc_dedup_summary, duplicate_chunks, range_read_bytes, container_write_read, recyclable_ids, prioritised_probe,
-    master_arrays, delete_order, segment_lookup, store_ratio, catalog_locations,
+    master_arrays, delete_order, segment_lookup, store_ratio, catalog_locations, map_names, wrong_lengths, champion_cached, index_upload,
 )}
 
 _CH = f"""
@@ -394,6 +421,14 @@ SQL = {
         select distinct doc_id, file_offset, chunk_size, sha, f[1] as first_doc, f[2] as first_offset from ch join f using (sha) where (doc_id, file_offset) <> f""",
     "range_read_bytes": """select doc_id, octet_length(p)::int as n, md5(p) as md5 from (select doc_id, array_slice(encode(text), 701, 2700) as p from documents) where octet_length(p) > 0""",
     "container_write_read": f"with {_CH} select sha, any_value(chunk_size) as n, sha as again from ch group by sha",
+    "map_names": """select distinct file_id, name, (('0x' || right(md5(name), 1))::int % 2)::int as side from (select file_id, inode || '_' || client_id || '_' || floor(epoch(registered_at))::bigint as name from files
+        where inode is not null and client_id is not null and registered_at is not null)""",
+    "wrong_lengths": "select distinct chunk_id, chunk_size as stated, octet_length(encode(payload))::int as found from raw_blocks where payload is not null and chunk_size is distinct from octet_length(encode(payload))",
+    "champion_cached": f"""with {_IX}, {_UP}, {_FIRST}, h as (select upload_id, container_id, count(*) as hits, min(chunk_id) as f from up join fi using (fp) group by 1, 2),
+        b as (select upload_id, container_id from h qualify row_number() over (partition by upload_id order by hits desc, f, container_id) = 1)
+        select upload_id, container_id, count(*) as cached from up join b using (upload_id) where (fp, container_id) in (select (fp, container_id) from ix) group by 1, 2""",
+    "index_upload": f"""with {_IX}, m as (select distinct fps_id, container_id, {FP_SQL} as fp from container_fps where {FP_SQL} <> '' and container_id is not null)
+        select fp, container_id, sum(n)::bigint as ref_count from (select fp, container_id, ref_count as n from ix union all select fp, container_id, 1 from m) group by 1, 2 having sum(n) > 0""",
     "recyclable_ids": "select container_id, (max(generation) + 1)::int as generation from containers where container_id is not null group by 1 having count(*) filter (deleted_at is null) = 0 and max(deleted_at) < timestamp '2026-12-30 23:59:55'",
     "prioritised_probe": f"""with {_IX}, {_UP}, ca as (select {FP_SQL} as fp, container_id from container_fps where {FP_SQL} <> '' and container_id is not null),
         l as (select fp, 0 as level, container_id from ca where container_id in (select container_id from containers where deleted_at is null and generation > 1) union all select fp, 1, container_id from ca union all select fp, 2, container_id from ix)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -142,3 +143,30 @@ def test_seed_cap_grows_with_the_reference(spark, tmp_path):
     seeds = sequence_queries.seed_index_capped(spark, str(tmp_path))
     assert [(r["ref_seq_no"], r["pos"]) for r in seeds.where("kmer = 'TTTTTTTTTT'").orderBy("ref_seq_no", "pos").collect()] == [(1, 0), (1, 64), (1, 128)]
     assert [tuple(r) for r in sequence_queries.seed_hits_first(spark, str(tmp_path)).collect()] == [(7, 0, 0, 32)]
+
+
+def test_titles_and_qualities_of_a_super_block():
+    rng = random.Random(4)
+    for titles in ([None, "@a"], ["@run.1 x:7/1", "@run.2 x:9/1", "@run.13 x:7/1"], ["@a\\b", "@a\nb"], ["@a.01", "@a.1"], ["", ""], ["@a b", "@a_b"], ["@é.5"] * 3):
+        assert codec.unpack_titles(codec.pack_titles(titles)) == titles
+    many = [f"@EAS.{7 * i} lane:{i % 3}" for i in range(1000)]
+    assert len(codec.pack_titles(many)) < 1200
+    letters = lambda n, k: bytes(rng.choice(range(35, 35 + k)) for _ in range(n))
+    sets = {
+        1: [letters(rng.choice([0, 40, 41]), 30) for _ in range(70)],
+        2: [bytes([40]) * rng.randrange(60) + bytes([50]) * 300 for _ in range(70)],
+        3: [letters(30, 30) + b"#" * rng.randrange(20, 40) for _ in range(70)],
+    }
+    for want, quals in sets.items():
+        method, data = codec.pack_quals(quals)
+        assert method == want and codec.unpack_quals(method, data, np.array([len(q) for q in quals])) == quals
+    assert codec.unpack_quals(*codec.pack_quals([]), np.zeros(0, np.int64)) == [] and codec.unpack_quals(*codec.pack_quals([b"", b"#"]), np.array([0, 1])) == [b"", b"#"]
+
+
+def test_integer_codes_are_read_back():
+    for n in (0, 1, 2, 7, 8, 100):
+        assert codec.read_unary(codec.unary(n) + "01") == (n, n + 1)
+        assert codec.read_gamma("1" + codec.gamma(n + 1) + "0", 1)[0] == n + 1
+        for low in (0, 1, 4):
+            bits = codec.low_high(n, low)
+            assert codec.read_low_high(bits + "1", low) == (n, len(bits))
