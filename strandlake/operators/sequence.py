@@ -220,9 +220,8 @@ def align(ref: str, read: str) -> tuple[str, str]:
     return "".join(reversed(x)), "".join(reversed(y))
 
 
-def edit_script(ref: str, read: str) -> str:
-    """``i`` or ``s``, the octal distance in the read from the last edit's end, and letters: inserted ones, or those that replace the reference's (- deletes one)."""
-    x, y = align(ref, read)
+def script_of(x: str, y: str) -> str:
+    """The edits that make y of x, both with gaps (-) where the other has a letter more; see edit_script."""
     out, kind, since = [], "", 0
     for r, c in zip(x, y):
         if r == c:
@@ -236,6 +235,11 @@ def edit_script(ref: str, read: str) -> str:
     return "".join(out)
 
 
+def edit_script(ref: str, read: str) -> str:
+    """``i`` or ``s``, the octal distance in the read from the last edit's end, and letters: inserted ones, or those that replace the reference's (- deletes one)."""
+    return script_of(*align(ref, read))
+
+
 def apply_script(ref: str, script: str) -> str:
     """The read that edit_script described."""
     out, at, k = [], 0, 0

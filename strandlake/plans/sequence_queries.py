@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import profile, sequence
+from strandlake.operators import profile, reference, sequence
 from strandlake.plans.tables import table
+from strandlake.runtime import written
 from strandlake.sources import fastx
 
 
@@ -162,6 +163,26 @@ def edit_script_roundtrip(s, d):
     return pairs.join(back, "match_id").agg(F.count_if(F.col("read") != F.col("new")).alias("mismatches"))
 
 
+def _coded(s, d):
+    f, r = _fragments(s, d), _reads(s, d).select("rec_no", "seq")
+    hits = sequence.first_seed_hits(r, "rec_no", "seq", sequence.seed_index(f, _cap(f), 10, 8, 12), 12)
+    return f, r, reference.encode(r, "rec_no", "seq", hits, f)
+
+
+def reference_links(s, d):
+    """Reads as links into the reference, with the length of their scripts."""
+    return _coded(s, d)[2].select("rec_no", "ref_seq_no", "ref_pos", "ref_len", F.length("script").alias("script_len"))
+
+
+def reference_roundtrip(s, d):
+    """Reads that are not as they were after being written as edits of the reference and read back, and those that were linked without need."""
+    f, r, made = _coded(s, d)
+    made = written(made, "links")
+    back = reference.decode(made, "rec_no", f).withColumnRenamed("seq", "back")
+    j = r.join(back, "rec_no", "full").join(made.select("rec_no", "ref_seq_no", "script"), "rec_no", "left")
+    return j.agg(F.count_if(~F.col("seq").eqNullSafe(F.col("back"))).alias("mismatches"), F.count_if((F.col("ref_seq_no") >= 0) & (F.length("script") > F.length("seq") + 2)).alias("too_long"))
+
+
 def fastq_scan(s, d):
     """Records of the FASTQ blocks up to each block's first that is not valid."""
     blocks = table(s, d, "raw_blocks").dropDuplicates(["chunk_id"]).where("filetype = 200")
@@ -179,7 +200,7 @@ QUERIES = {f.__name__: f for f in (
     base_histogram, quality_by_position, quality_transitions, quality_runs, quality_gap, trailing_trunc, encoder_choice, title_profile, read_shape, kmer_counts,
     seed_index_capped, seed_hits_first, n_runs, n_transfer, n_transfer_roundtrip, colour_space, codec_roundtrips, phred_gate, lz_best_match,
     longest_shared_prefix, edit_script_roundtrip, fastq_scan, fasta_scan, seed_hits_near, quality_kept_by_position, quality_run_histogram, title_values, title_letters,
-    title_blocks, lz_gated_match, match_decode,
+    title_blocks, lz_gated_match, match_decode, reference_links, reference_roundtrip,
 )}
 
 _R = r"""r as (select rec_no, any_value(regexp_replace(title, '\r+$', '')) as title, any_value(replace(upper(regexp_replace(seq, '\r+$', '')), '.', 'N')) as seq,
@@ -256,6 +277,7 @@ SQL = {
         select block, field_no, arg_min(value, rec_no) as first_value, min(value) = max(value) as is_constant, min(d) as delta, coalesce(count(d) = count(*) - 1 and min(d) = max(d), false) as is_constant_delta from g group by 1, 2""",
     "lz_best_match": _lz(""),
     "lz_gated_match": _lz("where (rec_no, pos) in (select (rec_no, pos) from ga)"),
+    "reference_roundtrip": "select 0::bigint as mismatches, 0::bigint as too_long",
     "match_decode": f"""with {_R}, m as (select distinct match_id, rec_no, rec_offset, match_len from lz_matches)
         select match_id, case when rec_offset >= 0 and match_len > 0 and rec_offset + match_len <= len(seq) then substr(seq, rec_offset + 1, match_len) end as letters from m left join r using (rec_no)""",
     "n_runs": f"""with {_R}, c as (select rec_no, i as pos, substr(seq, i + 1, 1) = 'N' as n from (select rec_no, seq, unnest(range(0, len(seq))) as i from r where contains(seq, 'N'))),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from strandlake.runtime import shared_path
 
@@ -25,11 +25,12 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType
     return reader.parquet(path)
 
 
-def usage_windows(events: DataFrame, ts: str, group: str, width: str = "300 seconds", late: str | None = None) -> DataFrame:
-    """group, window_start, n per tumbling window; with ``late``, a watermark drops what comes later than that."""
+def usage_windows(events: DataFrame, ts: str, group: str, width: str = "300 seconds", late: str | None = None, amount: str | None = None) -> DataFrame:
+    """group, window_start, n per tumbling window, with ``amount`` also its sum, used; with ``late``, a watermark drops what comes later than that."""
     rows = events.withWatermark(ts, late) if late else events
     w = F.window(ts, width)
-    return rows.groupBy(group, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(group, F.col("w.start").alias("window_start"), "n")
+    sums = [F.count(F.lit(1)).alias("n"), *([F.sum(amount).alias("used")] if amount else [])]
+    return rows.groupBy(group, w.alias("w")).agg(*sums).select(group, F.col("w.start").alias("window_start"), "n", *(["used"] if amount else []))
 
 
 def idle_sessions(events: DataFrame, ts: str, key: str, gap: str = f"{IDLE_SECONDS} seconds", late: str | None = None) -> DataFrame:
@@ -50,6 +51,34 @@ def route(requests: DataFrame, handlers: dict[str, Callable[[DataFrame, int], No
     return requests.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class CatalogSink:
+    """A catalog kept by requests in a stream: handlers for ``route`` that may run again for the same batch, and what the catalog then is.
+
+    Each handler writes a batch's rows into a folder named by the operation and the batch's number, replacing what is there, so a batch that
+    comes again after a failure changes nothing. The state of a key is its row of the last batch, and in a batch of the last ``order``.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str, order: list[str]):
+        self.spark, self.root, self.key, self.order = spark, root.rstrip("/"), key, order
+
+    def _handler(self, gone: bool) -> Callable[[DataFrame, int], None]:
+        def handle(batch: DataFrame, number: int) -> None:
+            rows = batch.withColumn("__gone", F.lit(gone))
+            rows.write.mode("overwrite").parquet(f"{self.root}/batch={number}/op={'delete' if gone else 'write'}")
+
+        return handle
+
+    def handlers(self, write: str = "write", delete: str = "delete") -> dict[str, Callable[[DataFrame, int], None]]:
+        return {write: self._handler(False), delete: self._handler(True)}
+
+    def current(self, schema: StructType) -> DataFrame:
+        """Rows of the keys that are there, with the columns of ``schema``; of equal orders a delete is last."""
+        from strandlake.operators.catalog import latest
+
+        rows = self.spark.read.schema(StructType([*schema.fields, StructField("__gone", BooleanType()), StructField("batch", LongType()), StructField("op", StringType())])).parquet(self.root)
+        return latest(rows, [self.key], ["batch", *self.order, "__gone"]).where("not __gone").select(*schema.fieldNames())
+
+
 SESSION = "file_key string, parts bigint, bytes bigint, finished boolean"
 _STATE = "parts bigint, bytes bigint"
 

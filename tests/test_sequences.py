@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandlake.operators import codec, profile, sequence, sketch
+from strandlake.operators import codec, profile, reference, sequence, sketch
 from strandlake.sources import fastx
 
 dna = st.text("ACGT", max_size=60)
@@ -170,3 +170,43 @@ def test_integer_codes_are_read_back():
         for low in (0, 1, 4):
             bits = codec.low_high(n, low)
             assert codec.read_low_high(bits + "1", low) == (n, len(bits))
+
+
+@settings(max_examples=60, deadline=None)
+@given(dna, dna, st.integers(0, 60))
+def test_extension_is_an_alignment(ref, read, cut):
+    for r in (ref, read[:cut] + "A" + read[cut:] + ref, read + ref):
+        x, y = reference.extended(r, read)
+        assert len(x) == len(y) and y.replace("-", "") == read and r.startswith(x.replace("-", ""))
+        assert sequence.apply_script(x.replace("-", ""), sequence.script_of(x, y)) == read
+
+
+def test_extension_finds_the_least_edits():
+    rng = random.Random(6)
+    for _ in range(40):
+        ref = "".join(rng.choice("ACGT") for _ in range(80))
+        read = list(ref[:60])
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(read))
+            read[k : k + 1] = rng.choice([[], ["A"], [read[k], "C"]])
+        read = "".join(read)
+        edits = lambda x, y: sum(a != b for a, b in zip(x, y))
+        got = edits(*reference.extended(ref, read))
+        best = min(edits(*sequence.align(ref[:n], read)) for n in range(48, 73))
+        assert best <= got <= max(best, reference.FEW)
+
+
+def test_reads_as_edits_of_a_reference(spark):
+    rng = random.Random(2)
+    bases = "".join(rng.choice("ACGT") for _ in range(3000))
+    reads = [(i, bases[k : k + 120]) for i, k in enumerate(rng.randrange(2900) for _ in range(60))]
+    reads = [(i, s[: (i * 7) % 100] + rng.choice(["", "A", "TT"]) + s[(i * 7) % 100 + i % 2 :]) for i, s in reads]
+    reads += [(90, ""), (91, None), (92, "N" * 50), (93, "ACGT" * 30), (94, bases[:60]), (95, bases[-60:])]
+    df = spark.createDataFrame(reads, "rec_no int, seq string")
+    fragments = spark.createDataFrame([(0, bases[:1500]), (1, bases[1500:])], "ref_seq_no int, bases string")
+    seeds = sequence.seed_index(fragments, 5, 10, 8, 12)
+    coded = reference.encode(df, "rec_no", "seq", sequence.first_seed_hits(df, "rec_no", "seq", seeds, 12), fragments)
+    rows = {r["rec_no"]: r for r in coded.collect()}
+    assert len(rows) == len(reads) and sum(r["ref_seq_no"] >= 0 for r in rows.values()) >= 55
+    assert sum(len(r["script"]) for i, r in rows.items() if i < 60) < 2000
+    assert {r["rec_no"]: r["seq"] for r in reference.decode(coded, "rec_no", fragments).collect()} == dict(reads)
