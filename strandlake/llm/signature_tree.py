@@ -24,6 +24,7 @@ FILTER_LIMIT = 2_000_000
 #: Records under a leaf, and under a block: the largest part of a tree that one task walks.
 LEAF, BLOCK = 8, 1024
 SEED = 20_011
+CACHED = 400
 
 
 def bands_for(texts: int) -> tuple[int, int]:
@@ -90,10 +91,14 @@ def _band_keys(rows: int, bands: int, wanted: np.ndarray | None = None):
             if not len(fit):
                 continue
             least = np.empty((2 * need, len(fit)), np.uint64)
-            for k in range(need):
-                product = base * factor[k]
-                least[2 * k] = np.minimum.reduceat((product >> np.uint64(32)).astype(np.uint32), start)
-                least[2 * k + 1] = np.minimum.reduceat(product.astype(np.uint32), start)
+            # some texts at a time, whose tokens fit into a processor's cache
+            for at in range(0, len(fit), CACHED):
+                first = start[at : at + CACHED]
+                some = base[first[0] : start[at + CACHED] if at + CACHED < len(fit) else len(base)]
+                for k in range(need):
+                    product = some * factor[k]
+                    least[2 * k, at : at + CACHED] = np.minimum.reduceat((product >> np.uint64(32)).astype(np.uint32), first - first[0])
+                    least[2 * k + 1, at : at + CACHED] = np.minimum.reduceat(product.astype(np.uint32), first - first[0])
             keys = np.zeros((len(fit), bands), np.uint64)
             for k in range(bands):
                 for m in least[k * rows : (k + 1) * rows]:
