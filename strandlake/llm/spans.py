@@ -13,8 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandlake.llm.letters import Letters, runs_of
-from strandlake.runtime import hot_keys, shared_path, skew_safe_join
+from strandlake.runtime import hot_keys, shared_path, skew_safe_join, written
 
+#: Up to so many shared texts (about 20 MB) are sent to where the places are; beyond, both are joined by text.
+MARKS = 500_000
 #: Letters that two 64-bit numbers hold, two bits each.
 PACKED = 64
 
@@ -177,8 +179,11 @@ class SpanIndex:
         # a text has at most 64 windows: the shared ones are the bits of a number
         marks = hits.groupBy(*self.cols).agg(F.expr("bit_or(shiftleft(1L, o))").alias("mark"))
         places = reduce(DataFrame.unionByName, [self._places(r) for r in [run, *old]])
-        key = self.cols[0]
-        at = skew_safe_join(places, marks, self.cols, "inner", hot_keys(self._places(run), key))
+        marks = written(marks, "marks")
+        if len(marks.limit(MARKS + 1).select("mark").toArrow()) <= MARKS:
+            at = places.join(F.broadcast(marks), self.cols)
+        else:
+            at = skew_safe_join(places, marks, self.cols, "inner", hot_keys(self._places(run), self.cols[0]))
         offsets = F.filter(F.sequence(F.lit(0), F.col("n") - self.window), lambda o: F.call_function("getbit", F.col("mark"), o) == 1)
         found = at.select("rec_no", "start", F.explode(offsets).alias("o")).select("rec_no", (F.col("start") + F.col("o")).alias("pos"))
         return runs_of(found.distinct(), self.window)

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm import signature_tree
+from strandlake.llm import signature_tree, spans
 from strandlake.llm.signature_tree import components, linked_groups, similar_records
 from strandlake.llm.spans import SpanIndex, shared_portion
 
@@ -106,7 +106,9 @@ def stretches(rows, w=40):
     return out
 
 
-def test_shared_stretches_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_shared_stretches_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(spans, "MARKS", limit)
     rng = random.Random(11)
     base = "".join(rng.choice("ACGT") for _ in range(2000))
     rows = [(i, edited(rng, base[k : k + rng.randrange(30, 160)])) for i, k in enumerate(rng.randrange(1900) for _ in range(150))]
