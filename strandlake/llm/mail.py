@@ -17,6 +17,8 @@ _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:p|br|div|td|th|tr|table|li|ul|ol|h[1-6]|hr|blockquote|pre|body|html|head|title|dd|dt|dl)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _FIELD = re.compile(r"[!-9;-~]+:")
+#: Levels of parts in parts; what is nested deeper is taken as text as it stands, so that nothing is left out.
+DEPTH = 100
 _NOT_B64 = re.compile(rb"[^A-Za-z0-9+/]")
 
 
@@ -67,7 +69,10 @@ def _split(raw: str) -> tuple[str, str]:
 def _part(head: str, body: str, out: list[str], depth: int) -> None:
     kind = _TYPE.search(head) if head else None
     kind = kind[1].lower() if kind else ""
-    if kind.startswith("multipart/") and depth < 20:
+    if depth >= DEPTH and (kind.startswith("multipart/") or kind == "message/rfc822"):
+        out.append(body)
+        return
+    if kind.startswith("multipart/"):
         mark = _BOUNDARY.search(head)
         mark = (mark[1] or mark[2] or mark[3] or "") if mark else ""
         pieces = re.split(rf"^--{re.escape(mark)}(--)?[ \t]*$\n?", body, flags=re.M) if mark else []
@@ -80,7 +85,7 @@ def _part(head: str, body: str, out: list[str], depth: int) -> None:
             if not closed:
                 _part(*_split(piece), out, depth + 1)
         return
-    if kind == "message/rfc822" and depth < 20:
+    if kind == "message/rfc822":
         _message(body, out, depth + 1)
         return
     if kind and not kind.startswith("text"):
@@ -106,7 +111,7 @@ def text_parts(raw: str | None) -> list[str]:
     """The subject, if any, and each text part of a raw message, with transfer encodings undone and HTML made text.
 
     Attachments that are no text are left out. A part without an end boundary goes to the end of the message; a multipart message
-    without its boundary is one text; text without header fields is a body. Null and empty messages have no parts.
+    without its boundary is one text; text without header fields is a body. Parts nested deeper than DEPTH are one text as they stand. Null and empty messages have no parts.
     """
     if not raw:
         return []

@@ -20,12 +20,11 @@ RANK_ROWS = 500_000
 _SIZES_DDL = "doc_id bigint, tokens int"
 
 
-def _counts(ranks_path: str, pattern: str):
+def _counts(vocabulary: bytes, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         enc = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
@@ -35,11 +34,15 @@ def _counts(ranks_path: str, pattern: str):
 
 
 def token_counts(docs: DataFrame, ranks_path: str = RANKS, pattern: str | None = None) -> DataFrame:
-    """doc_id, tokens of each document (doc_id, text), by a byte-level tokenizer read from a file; 0 for null and empty texts."""
+    """doc_id, tokens of each document (doc_id, text), by a byte-level tokenizer read from a file; 0 for null and empty texts.
+
+    The file (about a megabyte) is read by the driver and sent with the function, so executors need no copy of it.
+    """
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(_counts(ranks_path, pattern), _SIZES_DDL)
+    with open(ranks_path, "rb") as f:
+        return rows.mapInArrow(_counts(f.read(), pattern), _SIZES_DDL)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

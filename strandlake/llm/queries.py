@@ -11,7 +11,7 @@ from strandlake.functions.fingerprints import fingerprint
 from strandlake.llm import abuse
 from strandlake.llm.cuckoo import SeenKeys
 from strandlake.llm.history import HistoryIndex, records
-from strandlake.llm.leaks import leaked
+from strandlake.llm.leaks import leaked, plain
 from strandlake.llm.packing import pack, token_counts
 from strandlake.llm.signature_tree import linked_groups, similar_records
 from strandlake.llm.spans import SpanIndex, shared_portion
@@ -209,6 +209,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items").select("item_id", "text"))
 
 
+def p8_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of items in messages as they stand, without any decoding."""
+    return leaked(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items").select("item_id", "text"), parts_of=plain)
+
+
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     """Each item that leaked and the number of documents that have of it."""
     return p8_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
@@ -232,7 +237,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
     return by.withColumn("rate", F.col("flagged") / F.col("documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p5_totals": p5_totals, "p6_found": p6_found, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_portions": p4_portions, "p5_found": p5_found, "p5_audit": p5_audit, "p5_totals": p5_totals, "p6_found": p6_found, "p7_packing": p7_packing, "p7_unused": p7_unused, "p8_found": p8_found, "p8_items": p8_items, "p8_plain": p8_plain, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 SQL = {
     "p2_found": _P2,
     "p3_found": _P3,
@@ -241,5 +246,10 @@ SQL = {
     "p4_portions": f"{_STRETCHES} select rec_no, letters::bigint as letters, sum(match_len)::bigint as shared, sum(match_len) / letters as portion from x group by rec_no, letters",
     "p5_found": _P5,
     "p5_totals": _P5_TOTALS,
+    "p8_plain": r"""
+    with d as (select doc_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents), i as (select item_id as id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+         g as (select id, array_to_string(w[k:k + 11], ' ') as g from (select id, w, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12)),
+         x as (select id, array_to_string(w[k:k + 11], ' ') as g from (select id, w, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12))
+    select distinct x.id as doc_id, g.id as item_id from x join g using (g)""",
     "p6_found": _P6,
 }

@@ -27,6 +27,14 @@ def test_mail_forms():
     assert text_parts("A: b\nContent-Transfer-Encoding: base64\n\n!!!") == [""]
 
 
+def test_parts_nested_very_deep():
+    text = "Subject: s\n\ndeep words"
+    for _ in range(150):
+        text = "Content-Type: message/rfc822\n\n" + text
+    got = text_parts(text)
+    assert len(got) == 1 and got[0].endswith("deep words")
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(3)
     vocabulary = ["Ärger", "x1", "a", "the", "of", "moon", "Straße", "42", "tree", "zeta"]
