@@ -14,9 +14,13 @@ def fixed_chunks(objects: DataFrame, key: str, data: Column, size: int) -> DataF
     """key, file_offset, chunk_size, sha of consecutive chunks of ``size`` bytes; the last is shorter. Null and empty objects have none."""
     rows = objects.select(F.col(key), data.cast("binary").alias("__data")).where(F.octet_length("__data") > 0)
     starts = F.sequence(F.lit(0), F.expr(f"(octet_length(__data) - 1) div {size}").cast("int"))
-    piece = F.substring(F.col("__data"), F.col("__k") * size + 1, F.lit(size))
-    each = rows.select(key, "__data", F.explode(starts).alias("__k"))
-    return each.select(key, (F.col("__k").cast("bigint") * size).alias("file_offset"), F.octet_length(piece).alias("chunk_size"), F.sha1(piece).alias("sha"))
+
+    def piece(k: Column) -> Column:
+        part = F.substring(F.col("__data"), k * size + 1, F.lit(size))
+        return F.struct((k.cast("bigint") * size).alias("file_offset"), F.octet_length(part).alias("chunk_size"), F.sha1(part).alias("sha"))
+
+    # pieces are made before they become rows, so that no row carries its whole object
+    return rows.select(key, F.explode(F.transform(starts, piece)).alias("x")).select(key, "x.file_offset", "x.chunk_size", "x.sha")
 
 
 def _window_hashes(b: np.ndarray) -> np.ndarray:

@@ -37,9 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + at
 
 
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder; see clear."""
+    _MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the intermediate tables and indexes that this process has made in the shared folder; their number. For when no result that reads them is needed any more."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _MADE:
+        at = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return n
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

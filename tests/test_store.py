@@ -259,3 +259,12 @@ def test_filters_grow_with_their_keys(spark, monkeypatch):
     # beyond 2^24 bits the slots still spread over the whole filter
     high = asked.select(F.explode(sketch.slots("fp", 1 << 28)).alias("slot")).agg(F.count_distinct(F.expr("(slot >> 24)")), F.count_if(F.expr("(slot >> 24) >= 8"))).first()
     assert high[0] == 16 and 0.4 < high[1] / 60_000 < 0.6
+
+
+def test_intermediate_tables_are_removed_on_demand(spark):
+    from strandlake import runtime
+
+    kept = runtime.written(spark.range(3).toDF("i"), "some")
+    assert kept.count() == 3 and runtime.clear(spark) >= 1 and runtime.clear(spark) == 0
+    with pytest.raises(Exception):
+        kept.count()
