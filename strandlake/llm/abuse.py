@@ -396,9 +396,21 @@ def _cut(positive: np.ndarray, levels: np.ndarray, n: np.ndarray, most: np.ndarr
     f1 = np.where(flagged <= share, 2 * precision * recall / np.maximum(precision + recall, 1e-12), -1)
     if not len(f1) or f1.max() <= 0:
         return float(np.inf), share
-    k = int(np.argmax(f1))
+    return _between(int(np.argmax(f1)), levels, most), share
+
+
+def _between(k: int, levels: np.ndarray, most: np.ndarray) -> float:
+    """A level, lowered to midway to the highest score below it."""
     below = float(most[: k + 1].max())
-    return (float((levels[k] + max(below, levels[k] - 0.5)) / 2) if below > -np.inf else float(levels[k])), share
+    return float((levels[k] + max(below, levels[k] - 0.5)) / 2) if below > -np.inf else float(levels[k])
+
+
+def _level(wanted: float, levels: np.ndarray, n: np.ndarray, most: np.ndarray) -> float:
+    """The lowest of ``levels`` that at most the share ``wanted`` of all documents reach; see _between."""
+    ok = np.flatnonzero(np.cumsum(n[::-1])[::-1][1:] <= wanted * n.sum() + 1e-9)
+    if wanted <= 0 or not len(ok):
+        return float(np.inf)
+    return _between(int(ok[0]), levels, most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int | None = None, max_words: int | None = None, max_units: int | None = None, words: DataFrame | None = None) -> Model | None:
@@ -409,7 +421,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int |
     stands are counted over all documents. The gradient of the negative risk is taken on at most ``max_units`` (MAX_UNITS) units, drawn by
     a digest from all documents. The class prior is estimated with a first fit, from the scores of all documents and of positive ones that
     it did not see, and is taken to be no higher than among the labels (labels are given to suspicious documents rather than to others);
-    the threshold likewise, with each positive document left out in turn. Clean labels serve for that bound only.
+    the threshold likewise, with each positive document left out in turn, and no lower than where the last fit flags more documents than can be
+    positive. Clean labels serve for that bound only.
     words: what ``worded`` makes of docs, where that is stored already.
     """
     max_positive, max_words, max_units = max_positive or MAX_POSITIVE, max_words or MAX_WORDS, max_units or MAX_UNITS
@@ -464,20 +477,24 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int |
     def top(x: dict[int, list[np.ndarray]], model: tuple) -> np.ndarray:
         return np.array([z.max() for z in _best(x, *model).values()])
 
+    def spread(models: list[tuple], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels to try, and the histogram of all documents' scores between them."""
+        high = [np.sort(_Rows(loose, m[0]).times(m[1]) + m[2])[-LEVELS:] for m in models]
+        levels = np.unique(np.concatenate([*held, *high]))
+        count, most = np.zeros(len(levels) + 1), np.full(len(levels) + 1, -np.inf)
+        for r in every.mapInArrow(_binned(models, levels), _BINNED_DDL).groupBy("bin").agg(F.sum("n").alias("n"), F.max("most").alias("most")).collect():
+            count[r["bin"]], most[r["bin"]] = round(r["n"], 6), r["most"]
+        return levels, count, most
+
     share, threshold = min(0.05, limit), np.inf
     for turn in range(2):
         held, models = [], []
         for k in range(folds if turn else 1):
             models.append(learn([i for n, i in enumerate(positive) if n % folds != k], share))
             held.append(top({i: units[i] for n, i in enumerate(positive) if n % folds == k}, models[-1]))
-        high = np.concatenate([np.sort(_Rows(loose, m[0]).times(m[1]) + m[2])[-LEVELS:] for m in models])
-        levels = np.unique(np.concatenate([*held, high]))
-        count, most = np.zeros(len(levels) + 1), np.full(len(levels) + 1, -np.inf)
-        for r in every.mapInArrow(_binned(models, levels), _BINNED_DDL).groupBy("bin").agg(F.sum("n").alias("n"), F.max("most").alias("most")).collect():
-            count[r["bin"]], most[r["bin"]] = round(r["n"], 6), r["most"]
-        threshold, share = _cut(np.concatenate(held), levels, count, most, limit)
-    known, w, bias = learn(positive, share)
-    return Model(_dense(known, w), bias, threshold)
+        threshold, share = _cut(np.concatenate(held), *spread(models, held), limit)
+    model = learn(positive, share)
+    return Model(_dense(*model[:2]), model[2], max(threshold, _level(share, *spread([model], [top(units, model)]))))
 
 
 _SCORE_DDL = "doc_id bigint, score double"
