@@ -380,23 +380,24 @@ def _learn(positive: dict[int, list[np.ndarray]], outside: np.ndarray, docs_outs
     return known, w, bias
 
 
-def _cut(positive: np.ndarray, levels: np.ndarray, n: np.ndarray, most: np.ndarray, limit: float = 1.0) -> tuple[float, float]:
-    """The threshold with the best F1 in the whole collection, of those that flag no more than can be positive; and the share of positive documents.
+def _cut(positive: np.ndarray, levels: np.ndarray, n: np.ndarray, most: np.ndarray, limit: float = 1.0) -> tuple[float, float, float]:
+    """The threshold with the best F1 in the whole collection, of those that flag no more than can be positive; the share of positive documents; and how high it can be.
 
     positive: scores of positive documents that were left out of the fit; levels: thresholds to try, increasing; n, most: of the scores of
     all documents, the number and the highest that reach exactly so many levels; limit: a bound of the share from elsewhere. With recall R
     and flagged share F at a threshold, no more than F / R can be positive; the least such bound is the share, and share * R / F the
-    precision. So the labels may be drawn with another share of positives than the collection has.
+    precision. With R lower by two standard errors the least bound is how high the share can be. So the labels may be drawn with another share of positives than the collection has.
     """
     recall = 1 - np.searchsorted(np.sort(positive), levels, "left") / len(positive)
     flagged = np.cumsum(n[::-1])[::-1][1:] / n.sum()
-    bound = ((flagged + 1 / n.sum()) / np.maximum(recall, 1e-9))[recall >= 0.3]
-    share = min(limit, float(bound.min()) if len(bound) else 1.0)
+    least = lambda r: min(limit, float(((flagged + 1 / n.sum()) / r)[ok].min())) if (ok := (recall >= 0.3) & (r > 0)).any() else limit
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share, high = least(recall), least(recall - 2 * np.sqrt(recall * (1 - recall) / len(positive)))
     precision = np.minimum(1, share * recall / np.maximum(flagged, 1e-12))
-    f1 = np.where(flagged <= share, 2 * precision * recall / np.maximum(precision + recall, 1e-12), -1)
+    f1 = np.where(flagged <= high, 2 * precision * recall / np.maximum(precision + recall, 1e-12), -1)
     if not len(f1) or f1.max() <= 0:
-        return float(np.inf), share
-    return _between(int(np.argmax(f1)), levels, most), share
+        return float(np.inf), share, high
+    return _between(int(np.argmax(f1)), levels, most), share, high
 
 
 def _between(k: int, levels: np.ndarray, most: np.ndarray) -> float:
@@ -420,7 +421,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int |
     a digest of their ids, are fitted on; their features (no texts) come to the driver. The documents in which each of these features
     stands are counted over all documents. The gradient of the negative risk is taken on at most ``max_units`` (MAX_UNITS) units, drawn by
     a digest from all documents. The class prior is estimated with a first fit, from the scores of all documents and of positive ones that
-    it did not see, and is taken to be no higher than among the labels (labels are given to suspicious documents rather than to others);
+    it did not see, and is taken to be no higher than among the labels (labels are given to suspicious documents rather than to others), with
+    two standard errors more;
     the threshold likewise, with each positive document left out in turn, and no lower than where the last fit flags more documents than can be
     positive. Clean labels serve for that bound only.
     words: what ``worded`` makes of docs, where that is stored already.
@@ -428,12 +430,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int |
     max_positive, max_words, max_units = max_positive or MAX_POSITIVE, max_words or MAX_WORDS, max_units or MAX_UNITS
     digest = F.xxhash64(F.lit(11), "doc_id")
     told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    limit = told.agg(F.avg("toxic")).first()[0]
-    if not limit:
+    rate, given = told.agg(F.avg("toxic"), F.count(F.lit(1))).first()
+    if not rate:
         return None
+    limit = min(1.0, rate + 2 * np.sqrt(rate * (1 - rate) / given))
     words = written(worded(docs), "words") if words is None else words
-    given = told.where("toxic = 1").orderBy(digest, "doc_id").limit(max_positive).select("doc_id")
-    ids = words.sparkSession.createDataFrame([(r["doc_id"],) for r in given.collect()], "doc_id bigint")
+    chosen = told.where("toxic = 1").orderBy(digest, "doc_id").limit(max_positive).select("doc_id")
+    ids = words.sparkSession.createDataFrame([(r["doc_id"],) for r in chosen.collect()], "doc_id bigint")
     mine = words.join(F.broadcast(ids), "doc_id", "left_semi")
     size = mine.groupBy("doc_id").agg(F.max(F.size("word")).alias("n")).orderBy(digest, "doc_id").collect()
     kept = [r["doc_id"] for r, total in zip(size, np.cumsum([r["n"] for r in size])) if total <= max_words]
@@ -486,15 +489,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int |
             count[r["bin"]], most[r["bin"]] = round(r["n"], 6), r["most"]
         return levels, count, most
 
-    share, threshold = min(0.05, limit), np.inf
+    share, high, threshold = min(0.05, limit), limit, np.inf
     for turn in range(2):
         held, models = [], []
         for k in range(folds if turn else 1):
             models.append(learn([i for n, i in enumerate(positive) if n % folds != k], share))
             held.append(top({i: units[i] for n, i in enumerate(positive) if n % folds == k}, models[-1]))
-        threshold, share = _cut(np.concatenate(held), *spread(models, held), limit)
+        threshold, share, high = _cut(np.concatenate(held), *spread(models, held), limit)
     model = learn(positive, share)
-    return Model(_dense(*model[:2]), model[2], max(threshold, _level(share, *spread([model], [top(units, model)]))))
+    return Model(_dense(*model[:2]), model[2], max(threshold, _level(high, *spread([model], [top(units, model)]))))
 
 
 _SCORE_DDL = "doc_id bigint, score double"

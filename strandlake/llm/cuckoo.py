@@ -322,9 +322,9 @@ class SeenKeys:
         with a smaller arrival, of this batch or an earlier one; a row sent twice (same arrival) is none for that. flagged: whether
         the tables affirm it. gone: keys (key) to be taken out before; those that never came are passed over.
         """
-        rows = rows.where(F.col("key").isNotNull() & F.col("arrival").isNotNull()).withColumn("h", F.xxhash64("key"))
+        rows = rows.select("row_id", F.col("key").cast("binary").alias("key"), "arrival", "wanted").where(F.col("key").isNotNull() & F.col("arrival").isNotNull()).withColumn("h", F.xxhash64("key"))
         if gone is not None:
-            gone = gone.where(F.col("key").isNotNull()).select("key", F.xxhash64("key").alias("h")).distinct()
+            gone = gone.where(F.col("key").isNotNull()).select(F.col("key").cast("binary").alias("key"), F.xxhash64("key").alias("h")).distinct()
             gone = written(gone.join(self._first(gone), ["h", "key"], "left_semi"), "gone")
         self.turn += 1
         hot = hot_keys(rows, "h")

@@ -40,6 +40,25 @@ def test_history_admits_only_new(spark):
     assert [(r["record_id"], r["holder_id"]) for r in index.admit(three).collect()] == [(5, 4)]
 
 
+def test_other_columns_and_empty_tables(spark):
+    """Columns of the names that are used inside do no harm, and empty tables give empty results."""
+    more = {c: F.lit("x") for c in ("h", "n", "bucket", "first", "mine", "hit", "gone", "part", "kind", "place", "need", "holders", "run", "turn", "__at", "__text", "piece_no")}
+    index = HistoryIndex(spark, buckets=2)
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "record_id bigint, item string, batch_no int")
+    assert index.probe(rows.withColumns(more)).count() == 0 and index.runs() == []
+    index.append(rows.withColumnRenamed("record_id", "holder_id").withColumns(more))
+    assert index.probe(rows.where("false")).count() == 0
+    assert [(r["record_id"], r["holder_id"], r["overlap"]) for r in index.probe(rows.withColumn("batch_no", F.lit(2)).withColumns(more)).collect()] == [(1, 1, 2)]
+    seen = SeenKeys(spark, 2)
+    keys = spark.createDataFrame([(1, "k", 1, True), (2, "k", 2, True)], "row_id bigint, key string, arrival bigint, wanted boolean")
+    assert seen.take(keys.where("false")).count() == 0
+    assert [r["row_id"] for r in seen.take(keys.withColumns(more)).where("repeat").collect()] == [2]
+    blocks = spark.createDataFrame([(1, "A" * 3000, 100, None)], "chunk_id bigint, payload string, filetype int, file_offset bigint")
+    got = split_pieces(blocks.withColumns({c: v for c, v in more.items()}), "chunk_id", "payload", "filetype", "file_offset").collect()
+    assert [(r["piece_no"], r["piece_offset"]) for r in got] == [(0, None), (1, None)]
+    assert split_pieces(blocks.where("false"), "chunk_id", "payload", "filetype", "file_offset").count() == 0
+
+
 def test_twins_in_a_batch(spark):
     rng = random.Random(5)
     for turn in range(2):
