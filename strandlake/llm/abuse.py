@@ -444,7 +444,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 2, max_positive: int |
         return None
     if len(kept) < len(size):
         mine = words.join(F.broadcast(words.sparkSession.createDataFrame([(i,) for i in kept], "doc_id bigint")), "doc_id", "left_semi")
-    listed = mine.mapInArrow(_listed, _LISTED_DDL).distinct().toArrow()
+    listed = mine.distinct().mapInArrow(_listed, _LISTED_DDL).toArrow()  # rows sent twice count once, what a document says twice does not
     units: dict[int, list[np.ndarray]] = {}
     values, owner = listed.column("features").combine_chunks(), listed.column("doc_id").to_pylist()
     flat, ends = values.flatten().to_numpy(), values.offsets.to_numpy() - values.offsets[0].as_py()
