@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SPACE, WIDTH = 1 << 22, 16
 #: Features added to a unit's number of them for scaling, so that a word or two weigh little.
 SHORT = 12
 PIECE = 1_000_000
+#: Places of sparse rows that are summed at a time, so that they stay in a processor's cache.
+BLOCK = 1 << 16
 
 #: Digits and signs written for letters.
 LOOKS_LIKE = {"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "7": "t", "$": "t"}
@@ -31,6 +34,7 @@ LOOKS_LIKE = {"4": "a", "@": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "
 LOOKALIKES = dict(zip("авеікмнорстухѕјһԁαειοκνρτυ", "abeikmhopctyxsjhdaeioknptu"))
 
 
+@cache
 def letter_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: 0 for no letter, 1 for a letter or digit, 2 for what is passed over; and its plain lower-case form."""
     import unicodedata
@@ -49,6 +53,12 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, plain
 
 
+@cache
+def letter_values() -> np.ndarray:
+    """A hash of each plain letter."""
+    return mix(np.arange(TOP, dtype=np.uint64) + np.uint64(1))
+
+
 class Units:
     """Words of texts with obfuscation undone, cut into units: sentences, and in longer ones overlapping windows of WIDTH words.
 
@@ -61,18 +71,18 @@ class Units:
         code = np.minimum(code, TOP - 1)
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
         start = np.r_[0, np.cumsum(size)[:-1]]
-        seen = kind[code] != 2
-        at = np.flatnonzero(seen)
-        code = code[at]
-        k = kind[code] == 1
+        k = kind[code]
+        at = np.flatnonzero(k != 2)
+        code, k = code[at], k[at] == 1
         pad = lambda x, n: np.r_[np.zeros(n, x.dtype), x, np.zeros(n, x.dtype)]
         # signs written for letters, inside words only
         p = pad(k, 1)
-        sign = np.isin(code, [ord("$"), ord("@")]) & (p[:-2] | p[2:])
+        any_of = lambda chars: np.logical_or.reduce([code == np.uint32(ord(c)) for c in chars])
+        sign = any_of("$@") & (p[:-2] | p[2:])
         k = k | sign
         # s.p.e.l.l.e.d words: a sign between two single letters goes
         p = pad(k, 2)
-        joint = np.isin(code, [ord(c) for c in "-.*_"]) & p[1:-3] & p[3:-1] & ~p[:-4] & ~p[4:]
+        joint = any_of("-.*_") & p[1:-3] & p[3:-1] & ~p[:-4] & ~p[4:]
         keep = ~joint
         code, k, at = code[keep], k[keep], at[keep]
         low = plain[code]
@@ -80,20 +90,25 @@ class Units:
         swap = np.arange(128, dtype=np.uint32)
         for a, b in LOOKS_LIKE.items():
             swap[ord(a)] = ord(b)
-        edge = np.flatnonzero(np.diff(np.r_[False, k, False].astype(np.int8)))
+        p = pad(k, 1)
+        edge = np.flatnonzero(p[1:] != p[:-1])
         begin, end = edge[::2], edge[1::2]
-        letters = np.r_[0, np.cumsum(k & ~numeric)]
-        figure = letters[end] == letters[begin]  # only digits: any number
+        # of words from begin to begin, as no letter and no figure is between them
+        some = lambda x: np.logical_or.reduceat(x, begin) if len(begin) else np.zeros(0, bool)
+        figure = ~some(k & ~numeric)  # only digits: any number
         small = low < 128
         low = np.where(small, swap[np.minimum(low, 127)], low)
-        again = np.r_[False, (low[1:] == low[:-1]) & k[1:] & k[:-1]]
-        use = k & ~again
-        count = np.r_[0, np.cumsum(use)]
-        first, last = count[begin], count[end]
+        use = k.copy()
+        use[1:] &= ~((low[1:] == low[:-1]) & k[:-1])  # not again
         inner = np.flatnonzero(use)
-        place = np.arange(len(inner)) - np.repeat(first, last - first)
+        head = np.zeros(len(code), bool)
+        head[begin] = True
+        first = np.flatnonzero(head[inner])  # a word's first letter is always used
+        last = np.r_[first[1:], len(inner)][: len(first)]
+        place = np.arange(len(inner), dtype=np.int32) - np.repeat(first.astype(np.int32), last - first)
         n = int((last - first).max()) if len(first) else 0
-        total = np.r_[np.uint64(0), (mix(low[inner].astype(np.uint64) + np.uint64(1)) * powers(n, 0x100000001B3)[place]).cumsum(dtype=np.uint64)]
+        total = np.zeros(len(inner) + 1, np.uint64)
+        np.cumsum(letter_values()[low[inner]] * powers(n, 0x100000001B3)[place], out=total[1:])
         # 32 bits a word, as they are stored
         word = mix(total[last] - total[first]) >> np.uint64(32)
         stem = mix(total[np.minimum(first + 5, last)] - total[first] + np.uint64(5)) >> np.uint64(32)
@@ -101,10 +116,9 @@ class Units:
         # sentences end at . ! ? before white space, and at blank lines
         white = (code == 32) | (code == 10)
         nxt = np.r_[code[1:], np.uint32(10)]
-        stop = (np.isin(code, [46, 33, 63]) & np.r_[white[1:], True]) | ((code == 10) & (nxt == 10)) | ((code == 58) & (nxt == 10))
-        sentence = np.cumsum(stop)[begin] if len(begin) else np.zeros(0, np.int64)
-        text = np.searchsorted(start, at[begin], "right") - 1 if len(begin) else sentence
-        cut = np.flatnonzero(np.r_[True, (sentence[1:] != sentence[:-1]) | (text[1:] != text[:-1])]) if len(begin) else np.zeros(0, np.int64)
+        stop = (any_of(".!?") & np.r_[white[1:], True]) | ((code == 10) & (nxt == 10)) | ((code == 58) & (nxt == 10))
+        text = np.searchsorted(start, at[begin], "right") - 1 if len(begin) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.r_[True, some(stop)[:-1] | (text[1:] != text[:-1])]) if len(begin) else np.zeros(0, np.int64)
         self._window(np.array(owner, np.int64)[text[cut]] if len(cut) else np.zeros(0, np.int64), np.diff(np.r_[cut, len(begin)]), word, stem)
 
     @classmethod
@@ -131,7 +145,7 @@ class Units:
         c = np.uint64(0x9E3779B97F4A7C55)
         pair = mix(w * c + far(1))
         found = [(mix(w), 0), (mix(self.stem + np.uint64(1 << 33)), 0), (pair, 1), (mix(w * c + far(2) + np.uint64(2)), 2), (mix(pair * c + far(2)), 2)]
-        return [((x >> np.uint64(40)).astype(np.int64) % SPACE, reach) for x, reach in found]
+        return [((x >> np.uint64(40) & np.uint64(SPACE - 1)).view(np.int64), reach) for x, reach in found]
 
     def scores(self, weight: np.ndarray, bias: float) -> np.ndarray:
         total, n = np.zeros(len(self.start)), np.zeros(len(self.start))
@@ -142,17 +156,27 @@ class Units:
             n += end - self.start
         return bias + total / np.sqrt(n + SHORT)
 
-    def lists(self, some: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+    def lists(self, some: np.ndarray | slice = slice(None)) -> pa.ListArray:
+        """The feature numbers of each unit, or of some: kind after kind, in the order of its words."""
+        start, end = self.start[some], self.end[some]
         both = self.features()
-        return [np.concatenate([x[s : max(s, e - r)] for x, r in both]).astype(np.int32) for s, e in zip(self.start[some].tolist(), self.end[some].tolist())]
+        sizes = [np.maximum(0, end - start - reach) for _, reach in both]
+        ends = np.r_[0, np.cumsum(sum(sizes))]
+        out, at = np.empty(ends[-1], np.int32), ends[:-1]
+        for (x, _), n in zip(both, sizes):
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(at, n) + within] = x[np.repeat(start, n) + within]
+            at = at + n
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))
 
     def places(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each kind of feature, its numbers at all places that lie in a unit, and the owners of these places."""
+        owner, size = self.sentences
+        # the windows of a sentence overlap by more words than any feature reaches, so only its end is short of them
+        left, owner = np.repeat(np.cumsum(size), size) - np.arange(size.sum()), np.repeat(owner, size)
         for x, reach in self.features():
-            end = np.maximum(self.start, self.end - reach)
-            depth = np.bincount(self.start, minlength=len(x) + 1) - np.bincount(end, minlength=len(x) + 1)
-            at = np.flatnonzero(np.cumsum(depth)[: len(x)] > 0)
-            yield x[at], self.owner[np.searchsorted(self.start, at, "right") - 1]
+            at = np.flatnonzero(left > reach)
+            yield x[at], owner[at]
 
 
 _WORDS_DDL = "doc_id bigint, units int, word array<int>, stem array<int>, size array<int>"
@@ -216,7 +240,7 @@ _LISTED = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.int32()))]
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for u, ids, _weight in _units(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[u.owner]), pa.array(u.lists(), pa.list_(pa.int32()))], schema=_LISTED)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[u.owner]), u.lists()], schema=_LISTED)
 
 
 _COUNTED_DDL = "kind int, key bigint, n double, features array<int>"
@@ -235,7 +259,8 @@ def _counted(known: np.ndarray, rate: float):
             found = []
             for number, row in u.places():
                 c = column[number]
-                found.append(row[c >= 0] * len(known) + c[c >= 0])
+                ok = np.flatnonzero(c >= 0)
+                found.append(row[ok] * len(known) + c[ok])
             both = distinct(np.concatenate(found))
             if len(known):
                 count += np.bincount(both % len(known), weight[both // len(known)], len(known))
@@ -247,7 +272,7 @@ def _counted(known: np.ndarray, rate: float):
             drawn = np.flatnonzero(key < rate * 2.0**63)
             if len(drawn):
                 n = len(drawn)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 1, np.int32)), pa.array(key[drawn].astype(np.int64)), pa.nulls(n, pa.float64()), pa.array(u.lists(drawn), pa.list_(pa.int32()))], schema=_COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 1, np.int32)), pa.array(key[drawn].astype(np.int64)), pa.nulls(n, pa.float64()), u.lists(drawn)], schema=_COUNTED)
         some = np.flatnonzero(count)
         kind = np.r_[np.zeros(len(some), np.int32), np.full(2, 2, np.int32)].astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[known[some], 0, 1].astype(np.int64)), pa.array(np.r_[count[some], docs, units]), pa.nulls(len(kind), pa.list_(pa.int32()))], schema=_COUNTED)
@@ -289,17 +314,81 @@ class _Rows:
     def __init__(self, lists: list[np.ndarray], known: np.ndarray):
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-        row = np.repeat(np.arange(len(lists)), size)
-        at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
-        ok = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-        self.row, self.column, self.n, self.width = row[ok], at[ok], len(lists), len(known)
+        number = np.full(SPACE, -1, np.int32)
+        number[known] = np.arange(len(known))
+        found = number[flat]
+        ok = found >= 0
+        self.row, self.column = np.repeat(np.arange(len(lists), dtype=np.int32), size)[ok], found[ok]
+        self.n, self.width = len(lists), len(known)
         self.scale = 1 / np.sqrt(size + SHORT)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.column], self.n) * self.scale
 
+    @cached_property
+    def packed(self) -> _Packed:
+        return _Packed(self)
+
+
+def _alike(owner: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n owners in order with their members: one of each group that has the same members as often and in the same order, and each owner's group."""
+    digest = np.random.default_rng(0).integers(0, 1 << 64, int(member.max(initial=0)) + 1, np.uint64)
+    total = np.r_[np.uint64(0), digest[member].cumsum(dtype=np.uint64)]
+    count = np.bincount(owner, minlength=n)
+    end = np.cumsum(count)
+    _, first, group = np.unique(total[end] - total[end - count], return_index=True, return_inverse=True)
+    # the digest only proposes: who differs from the first of the group stays alone
+    like = first[group]
+    at = np.arange(len(member)) + np.repeat((end - count)[like] - (end - count), count)
+    other = np.bincount(owner, member[np.minimum(at, len(member) - 1)] != member, n) > 0
+    alone = np.flatnonzero(other | (count != count[like]))
+    group[alone] = len(first) + np.arange(len(alone))
+    return np.r_[first, alone], group
+
+
+class _Packed:
+    """The two products of rows that a fit takes some sixty times, which is most of its time.
+
+    Rows with the same features are one row here, and features that stand in the same rows one column (a short word and its beginning, the pairs
+    and triples of a phrase): a product is the same for all of them. The places are kept in two orders: by their turn in the row, in which a
+    product is a few dozen sums of vectors over rows, longest first; and by column.
+    """
+
+    def __init__(self, rows: _Rows):
+        self.scale, low = rows.scale, np.int64(0xFFFFFFFF)
+        pick = lambda first, n: np.bincount(first, minlength=n).astype(bool)
+        first, self.row = _alike(rows.row, rows.column, rows.n)
+        keep, self.n = pick(first, rows.n)[rows.row], len(first)
+        place = np.sort(rows.column[keep].astype(np.int64) << 32 | self.row[rows.row[keep]])
+        column, row = place >> 32, place & low
+        first, self.column = _alike(column, row, rows.width)
+        keep, self.width = pick(first, rows.width)[column], len(first)
+        column, row = self.column[column[keep]], row[keep]
+        place = np.sort(column << 32 | row)
+        column, row = place >> 32, place & low
+        begin = np.flatnonzero(np.r_[True, column[1:] != column[:-1]][: len(column)])
+        part = np.split(begin, np.flatnonzero(np.diff(begin // BLOCK)) + 1) if len(begin) else []
+        ends = [*(x[0] for x in part[1:]), len(row)]
+        self.blocks = [(column[x], x - x[0], row[x[0] : end]) for x, end in zip(part, ends)]
+        column = np.sort(row << 32 | column) & low
+        size = np.bincount(row, minlength=self.n)
+        self.order = np.argsort(-size, kind="stable")
+        at, size = (np.cumsum(size) - size)[self.order], size[self.order]
+        self.turns = [column[at[: np.searchsorted(-size, -turn)] + turn] for turn in range(size[0] if self.n else 0)]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        w = np.bincount(self.column, w, self.width)
+        total, out, room = np.zeros(self.n), np.empty(self.n), np.empty(self.n)
+        for c in self.turns:
+            total[: len(c)] += np.take(w, c, out=room[: len(c)], mode="clip")
+        out[self.order] = total
+        return out[self.row] * self.scale
+
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, (g * self.scale)[self.row], self.width)
+        g, out = np.bincount(self.row, g * self.scale, self.n), np.zeros(self.width)
+        for column, begin, row in self.blocks:
+            out[column] = np.add.reduceat(np.take(g, row, mode="clip"), begin)
+        return out[self.column]
 
 
 def nnpu(p: _Rows, u: _Rows, prior: float, share: float = 0.5, rounds: int = 60, rate: float = 0.15, pull: float = 0.12) -> tuple[np.ndarray, float]:
@@ -314,11 +403,11 @@ def nnpu(p: _Rows, u: _Rows, prior: float, share: float = 0.5, rounds: int = 60,
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     heavy, light, decay = share, (1 - share) / (1 - prior), pull / max(1, p.n)
     for t in range(1, rounds + 1):
-        zp, zu = p.times(w) + bias, u.times(w) + bias
+        zp, zu = p.packed.times(w) + bias, u.packed.times(w) + bias
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp_plus, gp_minus, gu = -heavy * sig(-zp) / p.n, -light * prior * sig(zp) / p.n, light * sig(zu) / u.n
         a, b = (gp_plus + gp_minus, gu) if negative >= 0 else (-gp_minus, -gu)
-        g, gb = p.back(a) + u.back(b) + decay * w, a.sum() + b.sum()
+        g, gb = p.packed.back(a) + u.packed.back(b) + decay * w, a.sum() + b.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t

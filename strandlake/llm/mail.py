@@ -17,6 +17,7 @@ _HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:p|br|div|td|th|tr|table|li|ul|ol|h[1-6]|hr|blockquote|pre|body|html|head|title|dd|dt|dl)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _FIELD = re.compile(r"[!-9;-~]+:")
+_LINE_END = re.compile(r"(--)?[ \t]*$\n?", re.M)
 #: Levels of parts in parts; what is nested deeper is taken as text as it stands, so that nothing is left out.
 DEPTH = 100
 _NOT_B64 = re.compile(rb"[^A-Za-z0-9+/]")
@@ -66,6 +67,19 @@ def _split(raw: str) -> tuple[str, str]:
     return head, body if blank else ""
 
 
+def _pieces(body: str, mark: str) -> list[str | None]:
+    """What re.split(rf"^{re.escape(mark)}(--)?[ \\t]*$\\n?", body, flags=re.M) gives; each message has its own mark, so a pattern of it would be compiled once a message."""
+    out: list[str | None] = []
+    begin, at = 0, body.find(mark)
+    while at >= 0:
+        line = _LINE_END.match(body, at + len(mark)) if not at or body[at - 1] == "\n" else None
+        if line:
+            out += [body[begin:at], line[1]]
+            begin = line.end()
+        at = body.find(mark, begin if line else at + 1)
+    return [*out, body[begin:]]
+
+
 def _part(head: str, body: str, out: list[str], depth: int) -> None:
     kind = _TYPE.search(head) if head else None
     kind = kind[1].lower() if kind else ""
@@ -75,7 +89,7 @@ def _part(head: str, body: str, out: list[str], depth: int) -> None:
     if kind.startswith("multipart/"):
         mark = _BOUNDARY.search(head)
         mark = (mark[1] or mark[2] or mark[3] or "") if mark else ""
-        pieces = re.split(rf"^--{re.escape(mark)}(--)?[ \t]*$\n?", body, flags=re.M) if mark else []
+        pieces = _pieces(body, f"--{mark}") if mark else []
         if len(pieces) < 3:
             out.append(body)
             return

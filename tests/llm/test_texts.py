@@ -2,6 +2,7 @@ import base64
 import quopri
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -27,6 +28,15 @@ def test_mail_forms():
     assert text_parts("A: b\nContent-Transfer-Encoding: base64\n\n!!!") == [""]
 
 
+def test_marks_of_messages_are_found_without_a_pattern_each(monkeypatch):
+    made, make = [], re._compiler.compile
+    monkeypatch.setattr(re._compiler, "compile", lambda p, flags=0: (made.append(p), make(p, flags))[1])
+    message = lambda k: f"Subject: s\nContent-Type: multipart/mixed; boundary=x{k}+\n\npre\n--x{k}+ \na\n --x{k}+\n--x{k}++\n--x{k}+\t\n\nb\n--x{k}+--\npost"
+    assert text_parts(message(0)) == ["s", "a\n --x0+\n--x0++\n", "b\n"]
+    made.clear()
+    assert all(len(text_parts(message(k))) == 3 for k in range(1, 50)) and not made
+
+
 def test_parts_nested_very_deep():
     text = "Subject: s\n\ndeep words"
     for _ in range(150):
@@ -186,3 +196,56 @@ def test_classifier_counts_and_cuts_over_all_documents(spark, monkeypatch):
     assert seen["n"] == 9_500 and seen["outside"][word("garden")] == 9_500 and seen["outside"][word("filthy")] == 238
     # both halves' classifiers score every document once
     assert seen["scored"] == 2 * 9_500 and 250 < seen["units"] <= 500
+
+
+class PlainRows(abuse._Rows):
+    """The same rows with both products as they are defined, a place at a time."""
+
+    packed = property(lambda self: self)
+
+    def back(self, g):
+        return np.bincount(self.column, (g * self.scale)[self.row], self.width)
+
+
+def test_fit_takes_less_than_its_plain_products():
+    rng = np.random.default_rng(5)
+    phrases = [rng.integers(0, 3_000, 12) * 4 for _ in range(2_000)]
+
+    def row():  # phrases that are quoted again and again, each word with its beginning, and features that nobody knows
+        words = np.concatenate([phrases[k] for k in rng.integers(0, len(phrases), 3)])
+        return np.r_[words, words + 1, rng.integers(20_000, 30_000, 5)].astype(np.int32)
+
+    some = [row() for _ in range(9_000)]
+    loose = [some[k] for k in rng.integers(0, len(some), 15_000)] + [np.zeros(0, np.int32), np.array([4, 4, 5], np.int32)]
+    known = np.arange(12_000, dtype=np.int32)
+
+    def fitted(kind):
+        p, u = kind(some[:60], known), kind(loose, known)
+        begin = time.process_time()
+        return abuse.nnpu(p, u, 0.01), time.process_time() - begin
+
+    got, want = ([fitted(kind) for _ in range(3)] for kind in (abuse._Rows, PlainRows))
+    np.testing.assert_allclose(got[0][0][0], want[0][0][0], rtol=1e-6, atol=1e-9)
+    assert abs(got[0][0][1] - want[0][0][1]) < 1e-9
+    assert min(t for _, t in got) < 0.7 * min(t for _, t in want)
+
+
+def test_only_equal_rows_are_one(monkeypatch):
+    rows = [[1, 1], [2], [], [2], [1, 1], [66], [33, 33], [1], [], [2, 1], [1, 2], [66]]
+    owner, member = np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate([np.array(x, np.int64) for x in rows])
+    for numbers in (None, lambda low, high, size, kind: np.zeros(size, kind)):  # the second gives all rows one digest
+        if numbers:
+            monkeypatch.setattr(abuse.np.random, "default_rng", lambda seed: type("Same", (), {"integers": staticmethod(numbers)}))
+        first, group = abuse._alike(owner, member, len(rows))
+        assert all(rows[first[g]] == x for g, x in zip(group.tolist(), rows))
+        assert len(set(group.tolist())) == len(first) and (numbers or len(first) == 8)
+
+
+def test_lists_and_places_of_units():
+    u = abuse.Units([4, 4, 7, 9], ["one two. a", " ".join(f"w{k}" for k in range(40)), "", "Yes! no no"], *abuse.letter_tables())
+    both = u.features()
+    want = [np.concatenate([x[s : max(s, e - r)] for x, r in both]).tolist() for s, e in zip(u.start, u.end)]
+    assert u.lists().to_pylist() == want and u.lists(np.array([1, 3])).to_pylist() == [want[1], want[3]]
+    for (x, r), (number, owner) in zip(both, u.places()):
+        held = {i: o for s, e, o in zip(u.start.tolist(), u.end.tolist(), u.owner.tolist()) for i in range(s, e - r)}
+        assert number.tolist() == [int(x[i]) for i in sorted(held)] and owner.tolist() == [held[i] for i in sorted(held)]
