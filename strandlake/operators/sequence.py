@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandlake.runtime import written
+
 
 def kmers(rows: DataFrame, key: list[str], seq: str, k: int, stride: int = 1, reach: int | None = None) -> DataFrame:
     """key, pos (from 0), kmer: all substrings of k letters that are A, C, G or T, at every ``stride``-th place; with reach, also ``tail``, the ``reach`` letters from there, fewer at the end."""
@@ -50,6 +53,116 @@ def first_seed_hits(reads: DataFrame, rec: str, seq: str, seeds: DataFrame, veri
     return hits.where(fits).groupBy(rec).agg(best.alias("__b")).select(rec, "__b.pos", "__b.ref_seq_no", "__b.ref_pos")
 
 
+#: Letters by which a table of first places is at most kept; a bit for each text of so many letters is 8 MB.
+KEPT = 13
+#: Letters of the reference taken at a time.
+TAKEN = 1 << 22
+_CODES = np.full(256, 4, np.uint8)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def _joined(texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the letters of all texts (4: not A, C, G, T), a 4 behind each and ``end`` more at the end; where each begins."""
+    codes = _CODES[np.frombuffer(("\n".join(texts) + "\n" * (end + 1)).encode("latin-1", "replace"), np.uint8)]
+    return codes, np.cumsum([0, *(len(x) + 1 for x in texts)])[:-1]
+
+
+def _codes(letters: np.ndarray, at: np.ndarray | slice, k: int) -> np.ndarray:
+    """The k letters from each place as a number, -1 where not all are A, C, G, T. at: places, or a slice of all."""
+    n = len(letters) - k + 1
+    out, other = np.int32(0), False
+    for i in range(k):
+        x = letters[i : i + n][at] if isinstance(at, slice) else letters[at + i]
+        out, other = out * np.int32(4) + (x & 3), other | (x > 3)
+    return np.where(other, np.int32(-1), out)
+
+
+def _first(key: np.ndarray, most: int) -> np.ndarray:
+    """Which rows are among the first ``most`` of their key; key is sorted."""
+    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return np.arange(len(key)) - np.repeat(begins, np.diff(np.r_[begins, len(key)])) < most
+
+
+def first_places(fragments: DataFrame, cap: int, k: int = 10, stride: int = 8, verify: int = 12) -> DataFrame:
+    """code, place: each text of ``verify`` letters that begins with a seed (the places of seed_index), with its first place, ref_seq_no << 32 | pos.
+
+    Places go as arrays, grouped by the beginning of their k-mer, so that a place is a few bytes and no row. The cap is applied before the shuffle too.
+    """
+    more = verify - k
+    scale, shift = np.int32(4**more + 1), max(0, 2 * k - 12)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nos, sizes, i = b.column("ref_seq_no").to_pylist(), pc.utf8_length(b.column("bases")).to_pylist(), 0
+            while i < len(nos):
+                n, size = i, 0
+                while n < len(nos) and (n == i or size + sizes[n] <= TAKEN):
+                    size, n = size + sizes[n], n + 1
+                letters, begins = _joined(b.column("bases").slice(i, n - i).to_pylist(), verify)
+                count = np.maximum((np.array(sizes[i:n]) - k) // stride + 1, 0)
+                which = np.repeat(np.arange(n - i), count)
+                pos = (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)) * stride
+                kmer, rest = _codes(letters, begins[which] + pos, k), _codes(letters, begins[which] + pos + k, more) if more else np.int32(0)
+                # a number for the k-mer and, from 1 on, for the letters behind it; 0 where these are not there
+                key, place = kmer * scale + rest + np.int32(1), np.array(nos[i:n], np.int64)[which] << 32 | pos
+                order = np.lexsort((place, kmer))
+                order = order[_first(kmer[order], cap)]
+                order = order[kmer[order] >= 0]
+                key, place, bucket = key[order], place[order], kmer[order] >> shift
+                edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else [0]
+                blobs = lambda v: pa.array([v[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:])], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), blobs(key), blobs(place)], names=["bucket", "keys", "places"])
+                i = n
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places = [], []
+        for b in batches:
+            keys += b.column("keys").to_pylist()
+            places += b.column("places").to_pylist()
+        key, place = np.frombuffer(b"".join(keys), np.int32), np.frombuffer(b"".join(places), np.int64)
+        order = np.lexsort((place, key // scale))
+        order = order[_first(key[order] // scale, cap)]
+        key, place = key[order], place[order]
+        order = np.lexsort((place, key))
+        order = order[_first(key[order], 1) & (key[order] % scale > 0)]
+        key, place = key[order], place[order]
+        code = (key // scale << 2 * more) + key % scale - 1
+        for i in range(0, len(code), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(code[i : i + (1 << 18)], pa.int32()), pa.array(place[i : i + (1 << 18)], pa.int64())], names=["code", "place"])
+
+    rows = fragments.select("ref_seq_no", "bases").where(F.length("bases") >= k).mapInArrow(cut, "bucket int, keys binary, places binary")
+    return rows.repartition("bucket").mapInArrow(pick, "code int, place bigint")
+
+
+def first_hits(reads: DataFrame, rec: str, seq: str, fragments: DataFrame, cap: int, k: int = 10, stride: int = 8, verify: int = 12) -> DataFrame:
+    """What first_seed_hits finds with the seeds of ``fragments`` (of A, C, G and T), without mismatches and for distinct ``rec``; a read is a row and not one a k-mer.
+
+    A hit depends on the ``verify`` letters alone. So one place is kept of each text of so many letters (first_places), and a bit for each such
+    text, 2 MB for 12 letters, tells where in a read the first is that has a place. These passes run while the query is built.
+    """
+    if verify > KEPT:
+        return first_seed_hits(reads, rec, seq, seed_index(fragments, cap, k, stride, verify), verify, k)
+    places = written(first_places(fragments, cap, k, stride, verify), "places")
+    one = F.col("code") + 1
+    words = places.groupBy(F.bitmap_bucket_number(one).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("w")).collect()
+    known = np.zeros(max(1, 4**verify // 32_768) * 4096, np.uint8)
+    for r in words:
+        known[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["w"], np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column(seq).is_valid())
+            letters, begins = _joined(b.column(seq).to_pylist(), verify)
+            code = _codes(letters, slice(None), verify)
+            at = np.flatnonzero((code >= 0) & (known[code >> 3] >> (code & 7) & 1).astype(bool))
+            row, first = np.unique(np.searchsorted(begins, at, "right") - 1, return_index=True)
+            at = at[first]
+            yield pa.RecordBatch.from_arrays([b.column(rec).take(pa.array(row)), pa.array(at - begins[row], pa.int32()), pa.array(code[at], pa.int32())], names=[rec, "pos", "code"])
+
+    hits = reads.select(rec, seq).mapInArrow(run, f"`{rec}` {reads.schema[rec].dataType.simpleString()}, pos int, code int")
+    return hits.join(places, "code").select(rec, "pos", F.shiftright("place", 32).cast("int").alias("ref_seq_no"), F.expr("cast(place & 4294967295 as int)").alias("ref_pos"))
+
+
 def n_runs(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """key, loc, cnt: runs of N; loc counts the other letters before it. From the pieces of one pattern, without a row a letter."""
     parts = F.regexp_extract_all(F.col(seq), F.lit("([^N]*)(N+)"), F.lit(0))

@@ -164,8 +164,8 @@ def edit_script_roundtrip(s, d):
 
 
 def _coded(s, d):
-    f, r = _fragments(s, d), _reads(s, d).select("rec_no", "seq")
-    hits = sequence.first_seed_hits(r, "rec_no", "seq", sequence.seed_index(f, _cap(f), 10, 8, 12), 12)
+    f, r = written(_fragments(s, d), "fragments"), written(_reads(s, d).select("rec_no", "seq"), "reads")
+    hits = sequence.first_hits(r, "rec_no", "seq", f, _cap(f), 10, 8, 12)
     return f, r, reference.encode(r, "rec_no", "seq", hits, f)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -210,3 +211,40 @@ def test_reads_as_edits_of_a_reference(spark):
     assert len(rows) == len(reads) and sum(r["ref_seq_no"] >= 0 for r in rows.values()) >= 55
     assert sum(len(r["script"]) for i, r in rows.items() if i < 60) < 2000
     assert {r["rec_no"]: r["seq"] for r in reference.decode(coded, "rec_no", fragments).collect()} == dict(reads)
+
+
+def test_first_hits_are_those_of_the_seed_index(spark):
+    rng = random.Random(3)
+    letters = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    bases = ["A" * 700, letters(900), "ACGTACGTAC" * 40, letters(13), letters(12), letters(11), "ACG", "", letters(400, "AC")]
+    fragments = spark.createDataFrame(list(enumerate(bases)), "ref_seq_no int, bases string").repartition(3)
+    cut = lambda s: s[(k := rng.randrange(max(1, len(s) - 30))) : k + 50]
+    reads = [letters(rng.randrange(6)) + cut(rng.choice(bases)) + letters(3) for _ in range(300)]
+    reads += [x[:9] + rng.choice("N\u00e9n") + x[9:] for x in reads[:40]] + [bases[3][-12:], bases[1][8:20], bases[1][8:19], "", None, "A" * 30, "N" * 20]
+    df = spark.createDataFrame(list(enumerate(reads)), "rec int, s string")
+    for cap, stride, verify in ((2, 8, 12), (500, 8, 12), (1, 1, 10), (3, 4, 13), (3, 4, 14)):
+        want = sequence.first_seed_hits(df, "rec", "s", sequence.seed_index(fragments, cap, 10, stride, verify), verify)
+        got = sequence.first_hits(df, "rec", "s", fragments, cap, 10, stride, verify)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+        assert sequence.first_hits(df, "rec", "s", fragments.where("false"), cap, 10, stride, verify).count() == 0
+
+
+def _tables(spark, folder, reads, letters, rng):
+    """Tables of random reads of 150 letters, of which one in ten is from the reference with a letter changed, and of a reference in blocks of 20,000."""
+    bases = "".join(rng.choices("ACGT", k=letters))
+    blocks = [(i, 100, f">r{i}\n{bases[i * 20_000 : (i + 1) * 20_000]}\n") for i in range(letters // 20_000)]
+    spark.createDataFrame(blocks, "chunk_id bigint, filetype int, payload string").write.parquet(f"{folder}/raw_blocks.parquet")
+    near = lambda k: bases[k : k + 60] + "N" + bases[k + 61 : k + 150]
+    rows = [(i, f"@{i}", near(i * 20_000 % (letters - 20_000) + 7) if i % 10 == 0 else "".join(rng.choices("ACGT", k=150)), "+", "I" * 150) for i in range(reads)]
+    spark.createDataFrame(rows, "rec_no bigint, title string, seq string, plus string, qual string").write.parquet(f"{folder}/fastq_reads.parquet")
+
+
+def test_links_of_reads_with_chance_hits_take_little_time(spark, tmp_path):
+    from strandlake.plans import sequence_queries
+
+    _tables(spark, str(tmp_path), 40_000, 2_000_000, random.Random(8))
+    began = time.time()
+    got = sequence_queries.reference_links(spark, str(tmp_path)).agg(F.count(F.lit(1)), F.count_if(F.expr("rec_no % 10 = 0 and ref_len = 150"))).first()
+    took = time.time() - began
+    assert got[0] == 40_000 and got[1] > 3_000
+    assert took < 20  # an alignment a read at a time took far longer
