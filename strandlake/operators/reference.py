@@ -194,7 +194,7 @@ def encode(reads: DataFrame, rec: str, seq: str, hits: DataFrame, fragments: Dat
 def decode(coded: DataFrame, rec: str, fragments: DataFrame) -> DataFrame:
     """rec, seq from what encode made."""
     linked = coded.where("ref_seq_no >= 0").join(fragments.select("ref_seq_no", "bases"), "ref_seq_no")
-    linked = linked.select(rec, "script", F.expr("substring(bases, ref_pos + 1, ref_len)").alias("ref"))
+    linked = linked.select(rec, "script", F.expr("cast(substring(cast(bases as binary), ref_pos + 1, ref_len) as string)").alias("ref"))
     rows = linked.unionByName(coded.where("ref_seq_no < 0").select(rec, "script", F.lit(None).cast("string").alias("ref")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ def _reads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fragments(s, d) -> DataFrame:
-    blocks = table(s, d, "raw_blocks").dropDuplicates(["chunk_id"]).where("filetype = 100")
+    blocks = table(s, d, "raw_blocks").where("filetype = 100").dropDuplicates(["chunk_id"])
     return fastx.reference_fragments(fastx.fasta_sequences(blocks, ["chunk_id"], "payload"), ["chunk_id", "seq_no"], "seq", 1_000_000)
 
 
@@ -179,8 +179,9 @@ def reference_roundtrip(s, d):
     f, r, made = _coded(s, d)
     made = written(made, "links")
     back = reference.decode(made, "rec_no", f).withColumnRenamed("seq", "back")
-    j = r.join(back, "rec_no", "full").join(made.select("rec_no", "ref_seq_no", "script"), "rec_no", "left")
-    return j.agg(F.count_if(~F.col("seq").eqNullSafe(F.col("back"))).alias("mismatches"), F.count_if((F.col("ref_seq_no") >= 0) & (F.length("script") > F.length("seq") + 2)).alias("too_long"))
+    linked = made.where("ref_seq_no >= 0").select("rec_no", F.length("script").alias("script_len"))
+    j = r.join(back, "rec_no", "full").join(linked, "rec_no", "left")
+    return j.agg(F.count_if(~F.col("seq").eqNullSafe(F.col("back"))).alias("mismatches"), F.count_if(F.col("script_len") > F.length("seq") + 2).alias("too_long"))
 
 
 def fastq_scan(s, d):

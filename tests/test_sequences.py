@@ -248,3 +248,15 @@ def test_links_of_reads_with_chance_hits_take_little_time(spark, tmp_path):
     took = time.time() - began
     assert got[0] == 40_000 and got[1] > 3_000
     assert took < 20  # an alignment a read at a time took far longer
+
+
+def test_links_far_into_a_fragment_are_read_back_soon(spark):
+    bases = "".join(random.Random(9).choices("ACGT", k=1_000_000))
+    fragments = spark.createDataFrame([(0, bases)], "ref_seq_no int, bases string")
+    coded = spark.range(10_000).selectExpr("cast(id as int) as rec", "0 as ref_seq_no", "cast(980000 + id as int) as ref_pos", "150 as ref_len", "if(id % 2 = 0, '', 's5N') as script")
+    began = time.time()
+    got = dict(map(tuple, reference.decode(coded, "rec", fragments).collect()))
+    took = time.time() - began
+    plain = [bases[980_000 + i : 980_150 + i] for i in range(10_000)]
+    assert got == {i: x if i % 2 == 0 else x[:5] + "N" + x[6:] for i, x in enumerate(plain)}
+    assert took < 12  # counting letters from the fragment's beginning took far longer
